@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 
-#: Chunks kept between batches.
-MEMO = 300_000
+#: Chunks and words kept between batches.
+CHUNKS, WORDS = 300_000, 800_000
 #: Chunks that are encoded as one string.
 TOGETHER = 4000
-_BLANKS = str.maketrans("\n\t\r", "   ")
+#: Marks that end many words.
+MARKS = ".,!?;:"
+#: Latin words: composed letters whose lower case does not depend on their place (one is left out, whose lower case is two characters).
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the rest
+    for the characters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
 class ChunkTokenizer:
@@ -20,7 +33,9 @@ class ChunkTokenizer:
 
     The vocabulary's rules never look across ASCII white space (its normaliser composes and lowers
     single characters, its splitter drops white space), so the ids of a text are those of its chunks
-    in order, and each distinct chunk of a batch is encoded once.
+    in order, and each distinct chunk of a batch is encoded once. Nor does a run of letters ever join a
+    mark after it, so a Latin word with one mark at its end takes the ids of the lowered word, straight
+    from the merges, and those of the mark. All other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -28,31 +43,62 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
+        self.merge = self.tok.model.tokenize
+        self.letters = _byte_letters()
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.marks = self._encode([*MARKS]) | {"": b""}
+
+    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         for at in range(0, len(chunks), TOGETHER):
             part = chunks[at : at + TOGETHER]
             enc = self.tok.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(enc.ids, "<u4")
             starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
             first = np.fromiter((a for a, _ in enc.offsets), np.int64, len(ids))
-            cut = np.searchsorted(first, starts).tolist() + [len(ids)]
+            cut = (4 * np.searchsorted(first, starts)).tolist() + [4 * len(ids)]
             raw = ids.tobytes()
-            self.memo.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(part, cut, cut[1:], strict=False))
+            found.update((c, raw[a:b]) for c, a, b in zip(part, cut, cut[1:], strict=False))
+        return found
+
+    def _word(self, word: str) -> bytes:
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(plain)]).tobytes()
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        rest, found, words, latin = [], {}, self.words, _LATIN.fullmatch
+        if len(words) > WORDS:
+            words.clear()
+        for c in chunks:
+            mark = c[-1] if c[-1] in MARKS else ""
+            word = c[:-1] if mark else c
+            if not latin(word):
+                rest.append(c)
+                continue
+            word = word.lower()
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self._word(word)
+            found[c] = ids + self.marks[mark]
+        return found | self._encode(rest)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        seen: set[str] = set()
-        for chunks in split:
-            seen.update(chunks)
-        memo = self.memo
-        fresh = [c for c in seen if c not in memo]
-        if len(memo) + len(fresh) > MEMO:
-            self.memo = memo = {c: memo[c] for c in seen if c in memo} | {"": b""}
-        self._learn(fresh)
-        get = memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        get = self.chunks.get
+        found = [list(map(get, chunks)) for chunks in split]
+        fresh: set[str] = set()
+        for chunks, ids in zip(split, found, strict=True):
+            if None in ids:
+                fresh.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
+        new = self._learn(fresh)
+        out = []
+        for chunks, ids in zip(split, found, strict=True):
+            out.append(b"".join([new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)] if None in ids else ids))
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks = {c: x for chunks, ids in zip(split, found, strict=True) for c, x in zip(chunks, ids, strict=True) if x is not None} | {"": b""}
+        self.chunks |= new
+        return out
 
 
 @lru_cache(4)
