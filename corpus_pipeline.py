@@ -1,10 +1,62 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; run() writes it as Parquet and hands the
+re-read table to the next stage. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratavox.llm import decontaminate, langid, packing, simhash, substring
+from stratavox.runtime import settle
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models reject go: no letter, or unlike every learned language."""
+    model = langid.train(docs)
+    judged = langid.identify(docs, model)
+    gone = settle(judged.where("rejected and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences covered by a repeated span that isn't the first go from the texts; n_chars follows."""
+    return substring.remove_repeats(docs).select("doc_id", "text", "lang", "source", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", contamination),
+    ("packing", pack),
+]
+
+#: Language models, fuzzy hashing and packing are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), name)
+    return docs

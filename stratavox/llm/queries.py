@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import decontaminate, forest, langid, packing, quality, simhash, substring, toxicity, urlfilter
+from stratavox.llm import decontaminate, forest, langid, licenses, packing, quality, simhash, substring, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "removed")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_vectors": op3_vectors,
     "op4_simhash": op4_simhash,
     "op5_substring": op5_substring,
+    "op6_licenses": op6_licenses,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
