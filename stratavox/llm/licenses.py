@@ -105,9 +105,9 @@ def scan(text: str, lib: Library, lex: Lexer, containment: float = CONTAINMENT)
                 if share >= containment and share > best.get(t, (0,))[0]:
                     first, last = k * half + int(hit[0]), k * half + int(hit[-1]) + SHINGLE - 1
                     best[t] = (share, int(keep[first]), int(keep[last]) + 1)
-    # of templates in one place the fullest stays, then the longest: versions of one notice differ by a word
+    # of templates in one place the one with the most shingles there stays: versions of one notice differ by a word
     kept: list[tuple[int, float, int, int]] = []
-    for t, (share, first, end) in sorted(best.items(), key=lambda x: (-x[1][0], -len(lib.shingle_sets[x[0]]), x[0])):
+    for t, (share, first, end) in sorted(best.items(), key=lambda x: (-round(x[1][0] * len(lib.shingle_sets[x[0]])), -x[1][0], x[0])):
         if all(end <= f or e <= first for _, _, f, e in kept):
             kept.append((t, share, first, end))
     return [(lib.names[t], share, first, end) for t, share, first, end in sorted(kept)]
@@ -115,7 +115,7 @@ def scan(text: str, lib: Library, lex: Lexer, containment: float = CONTAINMENT)
 
 def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word, end_word): the license templates that each document holds,
-    of overlapping ones the fullest, then the longest.
+    of overlapping ones the one with the most shingles in the text.
 
     Shingles of five words in lower case without marks; a template is held if a window has at least
     `containment` of its distinct shingles. Of several places the fullest, then the first, is given, as

@@ -51,12 +51,13 @@ def _near_copy_key(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 3))), default=0)
 
 
-def token_labels(texts: list[str], toxic: list[int], min_odds: float = 3.0, min_share: float = 0.01) -> set[str]:
+def token_labels(texts: list[str], toxic: list[int], min_odds: float = 3.0, min_share: float = 0.01, min_surprise: float = 6.0) -> set[str]:
     """Words and word beginnings that mark toxic tokens, found from labels of whole documents.
 
-    A feature marks a token if at least `min_share` of the toxic documents (three at least) have it and its
-    log-odds against the other documents is `min_odds` or more. Near copies count once, else any word
-    of a text with many copies would look typical of its label.
+    A feature marks a token if at least `min_share` of the toxic documents (three at least) have it, its
+    log-odds against the other documents is `min_odds` or more, and it is no accident: the Chernoff bound on so many
+    of its documents being toxic is below exp(-min_surprise). Near copies count once, else any word of a text with
+    many copies would look typical of its label.
     """
     seen: set[int] = set()
     has: tuple[Counter, Counter] = Counter(), Counter()
@@ -73,7 +74,13 @@ def token_labels(texts: list[str], toxic: list[int], min_odds: float = 3.0, min_
         has[y].update(own)
     least = max(3, min_share * size[1])
     odds = lambda f: math.log((has[1][f] + 0.5) / (size[1] + 1)) - math.log((has[0][f] + 0.5) / (size[0] + 1))
-    return {f for f, n in has[1].items() if n >= least and odds(f) >= min_odds}
+    share = (size[1] + 1) / (sum(size) + 2)
+
+    def surprise(f: str) -> float:
+        a, b = has[1][f], has[0][f]
+        return a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
+
+    return {f for f, n in has[1].items() if n >= least and odds(f) >= min_odds and surprise(f) >= min_surprise}
 
 
 @dataclass
