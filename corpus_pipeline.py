@@ -17,10 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go: no letter, or unlike every learned language."""
-    model = langid.train(docs)
-    judged = langid.identify(docs, model)
-    gone = settle(judged.where("rejected and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*COLUMNS)
+    return langid.keep_known(docs, langid.train(docs)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """Rows whose text passes, all columns as they are: one pass, no join and no shuffle. A null text counts as empty."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(strings(b.column(at))), pa.bool_()))
+
+    return map_batches(df, run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes))
+
+
 def raw_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column without decoding; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

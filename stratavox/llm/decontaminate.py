@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.blocks import map_batches, pick, strings
+from stratavox.llm.blocks import filter_rows, map_batches, pick, strings
 from stratavox.llm.templates import SHINGLE, HashSet, Lexer, shingles
-from stratavox.runtime import settle
 
 #: Share of an item's shingles that a document must hold in one place.
 CONTAINMENT = 0.8
@@ -140,18 +140,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     Null or empty texts and items hold nothing; repeated rows give repeated results; null ids are kept.
     """
     spark = docs.sparkSession
-    items = pick(benchmark, item=item_col, text=item_text_col).where("text is not null")
-    sized = items.withColumn("n", F.length("text").cast("long"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_chars))
-    out: DataFrame | None = None
+    out = spark.createDataFrame([], "doc_id long, item_id long, containment double, kind string, first_word int, end_word int")
     source = pick(docs, doc_id=id_col, text=text_col)
-    for k in range(blocks):
-        # a block's expected size is block_chars at most: rows go to blocks by hash
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = make_block([(r["item"], r["text"]) for r in part.orderBy("item", "text").collect()])
-        if not block.ids:
-            continue
+    for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -162,14 +153,35 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "containment", "kind", "first_word", "end_word"])
 
-        found = map_batches(source, run, "doc_id long, item_id long, containment double, kind string, first_word int, end_word int")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, containment double, kind string, first_word int, end_word int")
+        out = out.unionByName(map_batches(source, run, "doc_id long, item_id long, containment double, kind string, first_word int, end_word int"))
+    return out
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[Block]:
+    """The benchmark's items in blocks of about block_chars characters; rows go to blocks by hash."""
+    items = pick(benchmark, item=item_col, text=item_text_col).where("text is not null")
+    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_chars))
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = make_block([(r["item"], r["text"]) for r in part.orderBy("item", "text").collect()])
+        if block.ids:
+            yield block
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Filter: rows whose text holds no benchmark item, judged in one pass per block of the benchmark; null texts stay."""
+    out = docs
+    for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(texts: list[str], shared=shared) -> np.ndarray:
+            return np.array([not matches(t, shared.value, _lexer(), containment) for t in texts], bool)
+
+        out = filter_rows(out, text_col, keep)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that hold no benchmark item; rows with a null id stay."""
-    gone = settle(find(docs, benchmark, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+@lru_cache(1)
+def _lexer() -> Lexer:
+    return Lexer()

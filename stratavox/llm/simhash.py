@@ -225,7 +225,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Filter: of each near-duplicate group only its smallest id stays, once; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col).where("doc_id is not null")
     seen = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "seen")
-    gone = seen.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id"))
+    # the texts are dealt by id at every size, against the ids to remove in memory and without sorting the texts
+    gone = seen.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).hint("shuffle_hash")
     kept = docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
     again = seen.where("component_id = doc_id and n > 1").select(F.col("doc_id").alias("again_id"))
     if again.isEmpty():

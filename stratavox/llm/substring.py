@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id count as one document; rows with a null id take no part and stay as they are. A null text
     stays null. A text of which nothing is left becomes empty; its row stays. No rows: no rows.
     """
-    spots = repeated(docs, id_col, text_col, run, min_words).select(F.col("doc").alias("_doc"), F.col("spots").alias("_spots"))
+    spots = repeated(docs, id_col, text_col, run, min_words).select(F.col("doc").alias("_doc"), F.col("spots").alias("_spots")).hint("shuffle_hash")
     both = docs.join(spots, docs[id_col] == spots["_doc"], "left").drop("_doc")
     names = [c for c in docs.columns]
     at = names.index(text_col)
