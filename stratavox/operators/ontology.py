@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.plans.schema import ANNOTATIONS, INVALID, NO_LABEL, ONTOLOGY, UNIVERSE
+from stratavox.runtime import read_text
 
 _FIELDS = [f.split() for f in ONTOLOGY.split(", ")]
 
@@ -27,10 +29,8 @@ def flatten_document(spark: SparkSession, document: Mapping) -> DataFrame:
 
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
-    """An ontology JSON file, read through Spark so it may lie in any store."""
-    import json
-
-    return flatten_document(spark, json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())))
+    """An ontology JSON file, in any store that Spark reads."""
+    return flatten_document(spark, json.loads(read_text(spark, path)))
 
 
 def to_document(onto: DataFrame) -> dict:

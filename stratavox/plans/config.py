@@ -144,11 +144,15 @@ class Config:
         return plain(asdict(self))
 
     @staticmethod
-    def read(path: str) -> Config:
+    def parse(text: str) -> Config:
         import yaml
 
+        return Config.from_dict(yaml.safe_load(text))
+
+    @staticmethod
+    def read(path: str) -> Config:
         with open(path) as f:
-            return Config.from_dict(yaml.safe_load(f))
+            return Config.parse(f.read())
 
     def write(self, path: str) -> None:
         import yaml

@@ -17,7 +17,7 @@ from stratavox.operators import volumes as V
 from stratavox.plans.catalog import Catalog, discover_projects
 from stratavox.plans.config import Config
 from stratavox.plans.schema import CHUNK, COORDS, MEASURES
-from stratavox.runtime import settle
+from stratavox.runtime import read_text, settle
 from stratavox.sources.volumes import read_volume
 
 log = logging.getLogger("stratavox")
@@ -334,10 +334,7 @@ def combine_projects(spark: SparkSession, root: str, out: str) -> DataFrame:
         raise FileNotFoundError(f"no project under {root}")
     configs = {}
     for n in names:
-        text = spark.read.text(f"{root}/{n}/config.yaml", wholetext=True).first()["value"]
-        import yaml
-
-        configs[n] = Config.from_dict(yaml.safe_load(text)).to_dict()["reference"]
+        configs[n] = Config.parse(read_text(spark, f"{root}/{n}/config.yaml")).to_dict()["reference"]
     combine.check_same_atlas(configs)
     tables = {n: Catalog(spark, f"{root}/{n}").read("cells_agg") for n in names}
     onto = Catalog(spark, f"{root}/{names[0]}").read("onto")

@@ -14,6 +14,7 @@ from stratavox.operators import combine, labels, mapping, objects, ontology, ras
 from stratavox.operators import volumes as V
 from stratavox.plans import fixtures as X
 from stratavox.plans.schema import COORDS
+from stratavox.runtime import settle
 from stratavox.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,12 +501,12 @@ def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the raw volume to objects: filters, threshold, components, size filter, maxima, watershed, extraction."""
     raw = X.volume(spark, sf_dir)
     grid = (1 << 20, X.GRID, X.GRID)
-    mask = V.map_blocks(raw, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=60)))
-    lab = labels.label_blocks(mask, X.CHUNK_SHAPE, grid)
+    mask = V.map_blocks(raw, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=20)))
+    lab = settle(labels.label_blocks(mask, X.CHUNK_SHAPE, grid), "labels")
     table = labels.component_table(labels.labelled_voxels(lab), X.CHUNK_SHAPE)
-    kept = V.map_blocks(labels.scatter_volumes(lab, table), lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8))
-    maxima = labels.label_blocks(stencils.local_maxima(raw, 1, kept), X.CHUNK_SHAPE, grid)
-    regions = labels.labelled_voxels(stencils.watershed(raw, maxima, kept))
+    kept = settle(V.map_blocks(labels.scatter_volumes(lab, table), lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8)), "kept")
+    maxima = settle(labels.label_blocks(stencils.local_maxima(raw, 1, kept), X.CHUNK_SHAPE, grid), "maxima")
+    regions = settle(labels.labelled_voxels(stencils.watershed(raw, maxima, kept)), "regions")
     return objects.extract_cells(X.voxels(spark, sf_dir), labels.labelled_voxels(maxima), labels.component_volumes(regions, X.CHUNK_SHAPE))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = 1000
 #: Bytes of one Arrow batch, for rows that are much longer than usual.
 ARROW_BYTES = 32 << 20
+_settled: list[str] = []
 
 
 def get_session(app: str = "stratavox", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -48,11 +50,37 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratavox/{name}-{uuid.uuid4().hex}"
+    if not _settled:
+        atexit.register(release, spark)
+    _settled.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that settle() has written; results that still read them must have been written out. Runs by
+    itself when the driver ends."""
+    jvm = spark._jvm
+    while _settled:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended first; the folder is scratch space
+            _settled.clear()
+
+
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches that Python operators of this session receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file from any store, hidden files too, which Spark's readers skip."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

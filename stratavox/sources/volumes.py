@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from stratavox.operators.mapping import natural_key
 from stratavox.operators.volumes import as_array, as_row, few_blocks, rechunk, to_batch
 from stratavox.plans.schema import BLOCK, CHUNK
+from stratavox.runtime import read_text
 from stratavox.sources import nifti, tiff, zarr
 
 
@@ -142,7 +143,7 @@ def read_single(spark: SparkSession, path: str, chunk: Sequence[int], decode=tif
 
 def read_zarr(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of a Zarr version 2 array of three axes: one row per stored chunk."""
-    meta = json.loads(spark.read.text(folder.rstrip("/") + "/.zarray", wholetext=True).first()["value"])
+    meta = json.loads(read_text(spark, folder.rstrip("/") + "/.zarray"))
     sep = meta.get("dimension_separator", ".")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     index = F.regexp_extract("path", rf"(\d+){re.escape(sep)}(\d+){re.escape(sep)}(\d+)$", 0)

@@ -6,6 +6,8 @@ taken on the whole label table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,9 +38,9 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 day"
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there and return the result table."""
+    """Process all that is there from the start and return the result table; each call has a checkpoint of its own."""
     spark = df.sparkSession
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/streams/{name}").trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 
