@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import decontaminate, langid, packing, simhash, substring
+from stratavox.llm import copies, decontaminate, langid, packing, substring
 from stratavox.runtime import settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each near-duplicate group stays, the one with the smallest id: groups by operator 4's links and by
+    its keys over distinct words with an exact check of five-word shingles."""
+    return copies.keep_one(docs).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ COSINE = 0.93
 SAMPLE_ROWS = 20_000
 #: Vectors of a leaf that isn't split further, and of one side of a cell of a leaf that can't be.
 LEAF_ROWS = 256
-CELL_ROWS = 1024
+CELL_ROWS = 512
 MIN_TREES = 6
 SEED = 20_240_607
 #: A split that sends more than this share of its rows to both sides is not worth making.

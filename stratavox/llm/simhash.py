@@ -221,21 +221,6 @@ def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Filter: of each near-duplicate group only its smallest id stays, once; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id is not null")
-    seen = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "seen")
-    # the texts are dealt by id at every size, against the ids to remove in memory and without sorting the texts
-    gone = seen.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).hint("shuffle_hash")
-    kept = docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
-    again = seen.where("component_id = doc_id and n > 1").select(F.col("doc_id").alias("again_id"))
-    if again.isEmpty():
-        return kept
-    # ids that occur more than once are few; only their rows are regrouped
-    single = kept.join(again, kept[id_col] == again["again_id"], "left_anti")
-    return single.unionByName(kept.join(again, kept[id_col] == again["again_id"], "left_semi").dropDuplicates([id_col]))
-
-
 def brute_force(rows: list[tuple[int, str]], bits: int = 3) -> dict[int, int]:
     """component_id of each id by comparing all pairs; for tests."""
     fp = {i: fingerprint_bytes((t or "").encode()) for i, t in rows}

@@ -23,6 +23,8 @@ SAMPLE_ROWS = 1000
 TABLE = 1 << 18
 #: Tokens of one segment of the parallel forward-backward pass.
 SEGMENT = 128
+#: Tokens of documents that go through the pass together.
+GROUP = 200_000
 THRESHOLD = 0.5
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _TOKEN = re.compile(r"\S+")
@@ -119,6 +121,11 @@ def messages(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[np.nd
     once, carries messages from segment to segment; then all segments run forward and backward from
     their own starting messages. Python steps follow the segment length, not the chain length.
     """
+    if len(sizes) > 1 and sizes.sum() > GROUP:  # a bounded number of tokens at a time
+        half = max(1, min(len(sizes) - 1, int(np.searchsorted(np.cumsum(sizes), sizes.sum() / 2))))
+        at = int(sizes[:half].sum())
+        each = [messages(e[:at], sizes[:half], trans), messages(e[at:], sizes[half:], trans)]
+        return tuple(np.concatenate(x) for x in zip(*each, strict=True))
     a = np.exp(trans - trans.max())
     n_seg = -(-sizes // SEGMENT)
     total = int(n_seg.sum())

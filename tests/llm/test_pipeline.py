@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratavox.llm import langid, simhash, substring
+from stratavox.llm import copies, langid, simhash, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,12 +20,30 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
+def group_by_force(rows):
+    """Smallest id of each group, by comparing all pairs on fingerprints and on shingles."""
+    root = simhash.brute_force(rows)
+    sets = {i: copies.shingle_hashes((t or "").encode()) for i, t in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if 0.8 * max(len(a), len(b)) <= min(len(a), len(b)) and copies.similarity(a, b) >= 0.8:
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+    return {i: top(i) for i in root}
+
+
 def test_run_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     model = langid.train(docs)
     rows = [(i, t) for (i, t), gone in zip(rows, model.judge([t for _, t in rows])[3], strict=True) if not gone]
-    root = simhash.brute_force(rows)
+    root = group_by_force(rows)
     rows = [(i, t) for i, t in rows if root[i] == i]
     clean = substring.brute_force(rows)
     rows = [(i, clean[i]) for i, _ in rows]
