@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
+sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent), str(Path(__file__).parent / "llm")]
 
 from stratavox.runtime import get_session  # noqa: E402
 
