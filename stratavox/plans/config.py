@@ -63,35 +63,35 @@ class Cluster:
 class Reference:
     """Which atlas files belong to the project."""
 
-    directory: str = "atlas"
-    version: str = "average_template_25"
-    annotation_version: str = "ccf_2017_25"
+    atlas_dir: str = "atlas"
+    ref_version: str = "average_template_25"
+    annot_version: str = "ccf_2016_25"
     map_version: str = "ABA_annotations"
 
 
 @dataclass(frozen=True)
 class Registration:
-    orientation: tuple[int, int, int] = (1, 2, 3)
-    reference_trim: Box = Box()
+    ref_orientation: tuple[int, int, int] = (1, 2, 3)
+    ref_trim: Box = Box()
     downsample_rough: tuple[int, int, int] = (3, 6, 6)
     downsample_fine: tuple[float, float, float] = (1.0, 0.6, 0.6)
-    trim: Box = Box()
+    reg_trim: Box = Box()
     lower_bound: int = 100
     lower_bound_mapto: int = 0
     upper_bound: int = 5000
     upper_bound_mapto: int = 5000
 
     def __post_init__(self) -> None:
-        if sorted(abs(v) for v in self.orientation) != [1, 2, 3]:
-            raise ValueError("orientation must be a signed permutation of 1, 2, 3")
+        if sorted(abs(v) for v in self.ref_orientation) != [1, 2, 3]:
+            raise ValueError("ref_orientation must be a signed permutation of 1, 2, 3")
         _positive(**{f"downsample_rough[{i}]": v for i, v in enumerate(self.downsample_rough)})
         if not all(0 < v <= 1 for v in self.downsample_fine):
             raise ValueError("downsample_fine must lie in (0, 1] on each axis")
         if not self.lower_bound_mapto <= self.lower_bound <= self.upper_bound <= self.upper_bound_mapto:
             raise ValueError("bounds must obey lower_bound_mapto <= lower_bound <= upper_bound <= upper_bound_mapto")
-        for axis, span in (("z", self.trim.z), ("y", self.trim.y), ("x", self.trim.x)):
+        for axis, span in (("z", self.reg_trim.z), ("y", self.reg_trim.y), ("x", self.reg_trim.x)):
             if (span.start or 0) < 0 or span.step not in (None, 1):
-                raise ValueError(f"trim.{axis}: a negative start or a step can't be mapped back to coordinates")
+                raise ValueError(f"reg_trim.{axis}: a negative start or a step can't be mapped back to coordinates")
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ class CellCounting:
     dog_sigma1: int = 1
     dog_sigma2: int = 4
     large_gauss_radius: int = 101
-    threshold_value: int = 100
+    threshd_value: int = 100
     min_threshd_size: int = 1
     max_threshd_size: int = 15_000
     maxima_radius: int = 5
@@ -118,7 +118,7 @@ class CellCounting:
 class VisualCheck:
     heatmap_raw_radius: int = 5
     heatmap_trfm_radius: int = 3
-    crop: Box = Box(z=Span(500, 510))
+    cellcount_trim: Box = Box(z=Span(500, 510))
 
     def __post_init__(self) -> None:
         _positive(heatmap_raw_radius=self.heatmap_raw_radius, heatmap_trfm_radius=self.heatmap_trfm_radius)
@@ -140,7 +140,7 @@ class Config:
         return _build(Config, values or {})
 
     def to_dict(self) -> dict[str, Any]:
-        plain = lambda v: {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else list(v) if isinstance(v, tuple) else v
+        plain = lambda v: {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else dict(zip("zyx", v, strict=True)) if isinstance(v, tuple) else v
         return plain(asdict(self))
 
     @staticmethod
@@ -161,7 +161,9 @@ class Config:
             yaml.safe_dump(self.to_dict(), f, sort_keys=False)
 
 
-_PARTS = {"chunks": Chunks, "tuning_trim": Box, "cluster": Cluster, "reference": Reference, "registration": Registration, "cell_counting": CellCounting, "visual_check": VisualCheck, "reference_trim": Box, "trim": Box, "crop": Box}
+_PARTS = {"chunks": Chunks, "tuning_trim": Box, "cluster": Cluster, "reference": Reference, "registration": Registration, "cell_counting": CellCounting, "visual_check": VisualCheck, "ref_trim": Box, "reg_trim": Box, "cellcount_trim": Box}
+#: One value per axis, as a mapping of z, y, x or as a list in this order.
+_TRIPLES = ("ref_orientation", "downsample_rough", "downsample_fine")
 
 
 def _build(cls: type, values: Any) -> Any:
@@ -174,5 +176,8 @@ def _build(cls: type, values: Any) -> Any:
         if f.name in values and values[f.name] is not None:
             v = values[f.name]
             part = Span if cls is Box else _PARTS.get(f.name)
-            made[f.name] = _build(part, v) if part else tuple(v) if isinstance(v, list) else v
+            if f.name in _TRIPLES:
+                made[f.name] = tuple(v[a] for a in "zyx") if isinstance(v, Mapping) else tuple(v)
+            else:
+                made[f.name] = _build(part, v) if part else v
     return cls(**made)

@@ -131,9 +131,9 @@ def prepare_reference(e: Engine, ref: DataFrame, annot: DataFrame, shape: Sequen
     """Atlas voxels in the orientation and crop of the project."""
     r = e.config.registration
     for name, vox in (("ref", ref), ("annot", annot)):
-        turned = V.reorient(vox, r.orientation, shape)
-        new_shape = [shape[abs(o) - 1] for o in r.orientation]
-        e.catalog.write(name, V.crop(turned, r.reference_trim.slices(), new_shape))
+        turned = V.reorient(vox, r.ref_orientation, shape)
+        new_shape = [shape[abs(o) - 1] for o in r.ref_orientation]
+        e.catalog.write(name, V.crop(turned, r.ref_trim.slices(), new_shape))
 
 
 @step(["raw"], ["downsmpl1"])
@@ -153,7 +153,7 @@ def reg_img_fine(e: Engine) -> dict:
 @step(["downsmpl2"], ["trimmed"])
 def reg_img_trim(e: Engine) -> dict:
     shape = [int(n) + 1 for n in e.read("downsmpl2").agg(*[F.max(c) for c in COORDS]).first()]
-    return {"trimmed": V.crop(e.read("downsmpl2"), e.config.registration.trim.slices(), shape)}
+    return {"trimmed": V.crop(e.read("downsmpl2"), e.config.registration.reg_trim.slices(), shape)}
 
 
 @step(["trimmed"], ["bounded"])
@@ -183,7 +183,7 @@ def adaptive_threshold_prep(e: Engine) -> dict:
 
 @step(["adaptv"], ["threshd"])
 def threshold(e: Engine) -> dict:
-    return {"threshd": stencils.threshold(e.read("adaptv"), e.config.cell_counting.threshold_value)}
+    return {"threshd": stencils.threshold(e.read("adaptv"), e.config.cell_counting.threshd_value)}
 
 
 @step(["threshd"], ["threshd_labels"])
@@ -252,7 +252,7 @@ def save_cells_table(e: Engine) -> dict:
 def transform_coords(e: Engine) -> dict:
     r = e.config.registration
     cells = e.read("cells_raw")
-    scaled = mapping.scale_coords(cells, r.downsample_rough, r.downsample_fine, [s.start for s in r.trim.slices()])
+    scaled = mapping.scale_coords(cells, r.downsample_rough, r.downsample_fine, [s.start for s in r.reg_trim.slices()])
     moved = mapping.transform_points(scaled.select("label", *COORDS), e.transforms)
     return {"cells_trfm": cells.join(moved.select("label", "z_trfm", "y_trfm", "x_trfm"), "label")}
 
@@ -308,7 +308,7 @@ def combine_reg(e: Engine) -> DataFrame:
 def combine_cellc(e: Engine) -> DataFrame:
     """Raw and both filtered volumes side by side, on the check crop unless the project is a tuning twin."""
     parts = [e.read(n) for n in ("raw", "threshd_filt", "wshed_filt")]
-    s, shape = e.config.visual_check.crop.slices(), e.shape()
+    s, shape = e.config.visual_check.cellcount_trim.slices(), e.shape()
     if not e.tuning:
         at = [x.indices(n) for x, n in zip(s, shape, strict=True)]
         parts = [V.prune_blocks(p, [a for a, _, _ in at], [z for _, z, _ in at]) for p in parts]

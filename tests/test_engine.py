@@ -13,8 +13,8 @@ CONFIG = {
     "chunks": {"z": 12, "y": 12, "x": 12},
     "tuning_trim": {"z": {"start": 0, "stop": 12}, "y": {"start": 0, "stop": 24}, "x": {"start": 12, "stop": 24}},
     "registration": {"downsample_rough": [2, 2, 2], "downsample_fine": [1.0, 0.5, 0.5], "lower_bound": 10, "upper_bound": 4000, "upper_bound_mapto": 4000},
-    "cell_counting": {"tophat_radius": 3, "dog_sigma1": 1, "dog_sigma2": 4, "large_gauss_radius": 9, "threshold_value": 20, "maxima_radius": 2},
-    "visual_check": {"crop": {"z": {"start": 0, "stop": 6}}},
+    "cell_counting": {"tophat_radius": 3, "dog_sigma1": 1, "dog_sigma2": 4, "large_gauss_radius": 9, "threshd_value": 20, "maxima_radius": 2},
+    "visual_check": {"cellcount_trim": {"z": {"start": 0, "stop": 6}}},
 }
 PLACES = [(5, 5, 5), (5, 17, 6), (17, 6, 18), (18, 18, 18), (6, 6, 17), (11, 18, 5)]
 
@@ -98,7 +98,7 @@ def test_projects_combine(project, tmp_path):
     wide = E.combine_projects(project.spark, root, str(tmp_path / "out"))
     one = {r["id"]: r for r in wide.collect()}
     assert one[1]["p1__count"] == one[1]["p10__count"] > 0 and one[0]["name"] == "universe"
-    changed = Config.from_dict(CONFIG | {"reference": {"version": "another"}})
+    changed = Config.from_dict(CONFIG | {"reference": {"ref_version": "another"}})
     changed.write(f"{root}/p10/config.yaml")
     with pytest.raises(ValueError):
         E.combine_projects(project.spark, root, str(tmp_path / "out"))
