@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Artefact -> folder; those marked with a star have a twin for the tuning crop.
 FOLDERS = {
-    "raw": "*cellcount", "bgrm": "*cellcount", "dog": "*cellcount", "adaptv": "*cellcount", "threshd": "*cellcount", "threshd_labels": "*cellcount", "threshd_volumes": "*cellcount", "threshd_filt": "*cellcount",
+    "raw": "*raw", "bgrm": "*cellcount", "dog": "*cellcount", "adaptv": "*cellcount", "threshd": "*cellcount", "threshd_labels": "*cellcount", "threshd_volumes": "*cellcount", "threshd_filt": "*cellcount",
     "maxima": "*cellcount", "maxima_labels": "*cellcount", "wshed_labels": "*cellcount", "wshed_volumes": "*cellcount", "wshed_filt": "*cellcount",
     "cells_raw": "*analysis", "cells_trfm": "*analysis", "cells": "*analysis", "cells_agg": "*analysis", "cells_agg_csv": "*analysis",
     "ref": "registration", "annot": "registration", "onto": "registration", "transforms": "registration", "downsmpl1": "registration", "downsmpl2": "registration", "trimmed": "registration", "bounded": "registration", "regresult": "registration",
-    "points_raw": "*visual_check", "heatmap_raw": "*visual_check", "points_trfm": "*visual_check", "heatmap_trfm": "*visual_check", "comb_reg": "visual_check", "comb_cellc": "*visual_check", "comb_heatmap": "*visual_check",
+    "points_raw": "*visual", "heatmap_raw": "*visual", "points_trfm": "*visual", "heatmap_trfm": "*visual", "comb_reg": "visual", "comb_cellc": "*visual", "comb_heatmap": "*visual",
 }
 
 
@@ -61,7 +61,7 @@ class Catalog:
         for tuning in (False, True):
             twin = Catalog(self.spark, self.root, tuning)
             for name, folder in FOLDERS.items():
-                if folder == "*cellcount" and name != "raw":
+                if folder == "*cellcount":
                     twin.drop(name)
 
     def missing(self, names: Sequence[str]) -> list[str]:

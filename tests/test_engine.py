@@ -127,3 +127,35 @@ def test_arriving_chunks(spark, tmp_path):
     assert got == {0: 20, 1: 10}
     timed = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 05:00:00", "a"), ("2024-01-02 01:00:00", "b")], "t string, k string").selectExpr("to_timestamp(t) t", "k")
     assert live.windowed_counts(timed, "t", "k").count() == 2
+
+
+def test_project_object(spark, tmp_path):
+    import json
+
+    from stratavox.plans.pipeline import Pipeline
+    from stratavox.sources import tiff
+
+    root, atlas, stack = tmp_path / "p", tmp_path / "atlas", tmp_path / "stack"
+    for d in (root, stack, atlas / "reference", atlas / "annotation", atlas / "region_mapping"):
+        d.mkdir(parents=True)
+    for i, page in enumerate(image()):
+        (stack / f"z{i}.tif").write_bytes(tiff.to_bytes(page))
+    annot = np.random.default_rng(0).choice([2, 3, 4], (12, 6, 6)).astype(np.uint32)
+    (atlas / "reference" / "average_template_25.tif").write_bytes(tiff.to_bytes(annot.astype(np.uint16)))
+    (atlas / "annotation" / "ccf_2016_25.tif").write_bytes(tiff.to_bytes(annot))
+    nodes = [{"id": i, "name": f"r{i}", "acronym": f"A{i}", "parent_structure_id": p, "children": []} for i, p in TREE]
+    nodes[2]["children"], nodes[0]["children"] = [nodes[3]], [nodes[1], nodes[2]]
+    (atlas / "region_mapping" / "ABA_annotations.json").write_text(json.dumps({"msg": [nodes[0]]}))
+    Config.from_dict(CONFIG | {"reference": {"atlas_dir": str(atlas)}}).write(f"{root}/config.yaml")
+    p = Pipeline(str(root), spark=spark, transforms=[Affine(np.eye(3), np.zeros(3), np.zeros(3))])
+    p.tiff2zarr(str(stack))
+    p.reg_ref_prepare()
+    p.run()
+    p.coords2points_raw()
+    assert set(PLACES[:5]) <= {(r["z"], r["y"], r["x"]) for r in p.catalog.read("cells_raw").collect()}
+    assert p.catalog.read("cells_agg").count() == 4 and p.catalog.exists("points_raw")
+    p.tophat_filter(overwrite=True)
+    p.clean_proj()
+    assert not p.catalog.exists("bgrm") and p.catalog.exists("raw") and p.catalog.exists("cells")
+    with pytest.raises(NotImplementedError):
+        p.reg_elastix()
