@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.blocks import map_batches, pick, raw_bytes
 from stratavox.llm.golay import codewords
-from stratavox.llm.simhash import HOT, SEGMENTS, near_duplicates
+from stratavox.llm.simhash import HOT, KEYED, SEGMENTS, near_duplicates
 from stratavox.operators.components import connected_components
 from stratavox.runtime import settle
 
@@ -127,8 +127,9 @@ def forests(a: np.ndarray, b: np.ndarray, weight: np.ndarray, times: int) -> tup
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.asarray(b.column(0))
-        if len(fp):
+        every = np.asarray(b.column(0))
+        for at in range(0, len(every), KEYED):
+            fp = every[at : at + KEYED]
             k, p = keys(fp)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp[p])], ["k", "fp"])
 

@@ -20,6 +20,8 @@ from stratavox.runtime import settle
 HOT = 2048
 #: Words of a text that are hashed at a time; bounds memory on very long texts.
 BLOCK_WORDS = 1 << 17
+#: Fingerprints whose keys are made at a time.
+KEYED = 4096
 #: Bits of the three segments of a fingerprint, from the lowest.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
@@ -99,8 +101,9 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _key_rows(roles: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.asarray(b.column(0))
-            if len(fp):
+            every = np.asarray(b.column(0))
+            for at in range(0, len(every), KEYED):
+                fp = every[at : at + KEYED]
                 k, r, p = keys(fp)
                 if roles != (0, 1):
                     k, r, p = k[r == 0], r[r == 0], p[r == 0]
