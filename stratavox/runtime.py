@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,8 +73,27 @@ def release(spark: SparkSession) -> None:
             _settled.clear()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: unless it is on PYTHONPATH or was itself shipped as a zip file, a zip of it
+    goes to the executors once per Spark context."""
+    sc = spark.sparkContext
+    home = Path(__file__).resolve().parent
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if getattr(sc, "_stratavox_shipped", False) or str(home.parent) in known or not home.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="stratavox-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/stratavox-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(path)
+    sc._stratavox_shipped = True
+
+
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches that Python operators of this session receive."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

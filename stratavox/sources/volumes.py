@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from stratavox.operators.mapping import natural_key
 from stratavox.operators.volumes import as_array, as_row, few_blocks, rechunk, to_batch
 from stratavox.plans.schema import BLOCK, CHUNK
-from stratavox.runtime import read_text
+from stratavox.runtime import read_text, ship
 from stratavox.sources import nifti, tiff, zarr
 
 
@@ -106,6 +106,7 @@ class _TiffReader(DataSourceReader):
 
 
 def read_big_tiff(spark: SparkSession, path: str, chunk: Sequence[int]) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(TiffPages)
     reader = spark.read.format("tiff_pages").option("path", path)
     for k, n in zip(CHUNK, chunk, strict=True):
