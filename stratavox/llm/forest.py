@@ -248,6 +248,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     return full.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def oracle_sql(cosine: float = COSINE) -> str:
+    """The same by all pairs of a label, for DuckDB on small tables."""
+    return f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {cosine}
+), reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+degree AS (SELECT a, count(*) AS n FROM pairs GROUP BY a), least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(l.low, e.vec_id)) AS component_id, least(e.vec_id, coalesce(l.low, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least_of l ON l.a = e.vec_id
+"""
+
+
 def brute_force(rows: list[tuple[int, int | None, list[float] | None]], cosine: float = COSINE) -> dict[int, tuple[int, int]]:
     """(n_links, component_id) of each id by comparing all pairs of a label; for tests."""
     good = {i: (lab, np.array(v, float)) for i, lab, v in rows if lab is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)}

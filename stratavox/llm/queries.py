@@ -81,5 +81,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_vectors": forest.oracle_sql(),
     "op9_url_filter": urlfilter.oracle_sql(),
 }
