@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratavox.llm.blocks import map_batches, pick, strings
 from stratavox.runtime import settle
 
-#: Sentences of a span, and the words that a span has at least.
+#: Sentences and words of a span at least: a span goes on until it has both.
 RUN = 3
 MIN_WORDS = 10
 #: A sentence of more words than this is cut into parts of half as many.
@@ -45,55 +45,78 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def run_ends(units: list[tuple[int, int, str]], run: int = RUN, min_words: int = MIN_WORDS) -> np.ndarray:
+    """For each sentence that a span starts at, the sentence after the span: at least `run` sentences on and at least
+    `min_words` words on. Sentences too near the end of the text start no span."""
+    words = np.cumsum([0] + [s.count(" ") + 1 for _, _, s in units])
+    ends = np.maximum(np.arange(len(units)) + run, np.searchsorted(words, words[:-1] + min_words))
+    return ends[ends <= len(units)]  # both terms grow with the start, so those that fit come first
+
+
+#: Odd multipliers of the two polynomial hashes, and their inverses modulo 2^64.
+_P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_Q = np.array([pow(int(p), -1, 1 << 64) for p in _P], np.uint64)
+
+
 def span_hashes(units: list[tuple[int, int, str]], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash, further 32 bits, first sentence) of every run of `run` sentences with enough words.
+    """(64-bit hash, further 32 bits, first sentence) of every span of consecutive sentences.
 
-    96 bits keep accidental equality unlikely for some 10^13 spans.
+    Sums of sentence hashes times powers, so a span of any length costs the same and starts anywhere alike. 96 bits
+    keep accidental equality unlikely for some 10^13 spans.
     """
-    n = len(units) - run + 1
-    if n <= 0:
+    ends = run_ends(units, run, min_words) if units else np.zeros(0, np.int64)
+    n = len(ends)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for _, _, s in units]), np.uint64).reshape(-1, 2)
-    words = np.cumsum([0] + [s.count(" ") + 1 for _, _, s in units])
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in range(run):
-        a = a * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n, 0]
-        b = b * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : i + n, 1]
-    ok = np.flatnonzero(words[run:] - words[:n] >= min_words)
-    return a[ok].view(np.int64), (b[ok] >> np.uint64(32)).astype(np.uint32).view(np.int32), ok.astype(np.int32)
+    one = np.ones((1, 2), np.uint64)
+    up = np.cumprod(np.concatenate([one, np.broadcast_to(_P, (len(units), 2))]), axis=0, dtype=np.uint64)
+    down = np.cumprod(np.concatenate([one, np.broadcast_to(_Q, (len(units), 2))]), axis=0, dtype=np.uint64)
+    total = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(h * up[:-1], axis=0, dtype=np.uint64)])
+    got = (total[ends] - total[:n]) * down[:n] + (ends - np.arange(n)).astype(np.uint64)[:, None]
+    return got[:, 0].view(np.int64).copy(), (got[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.arange(n, dtype=np.int32)
 
 
 def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+    """(h, h2, doc, pos, again): the spans of each text; `again` marks those that an earlier span of the same text equals."""
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [span_hashes(sentences(t), run, min_words) for t in strings(b.column(1))]
+            again = []
+            for h, _, _ in got:
+                later = np.ones(len(h), bool)
+                later[np.unique(h, return_index=True)[1]] = False
+                again.append(later)
             ids = np.repeat(np.asarray(b.column(0)), [len(x[0]) for x in got])
             cols = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, (np.int64, np.int32, np.int32)[i]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(ids, pa.int64()), pa.array(cols[2])], ["h", "h2", "doc", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(ids, pa.int64()), pa.array(cols[2]), pa.array(np.concatenate([*again, np.zeros(0, bool)]))], ["h", "h2", "doc", "pos", "again"])
 
-    return map_batches(docs.where("doc is not null"), fn, "h long, h2 int, doc long, pos int")
+    return map_batches(docs.where("doc is not null"), fn, "h long, h2 int, doc long, pos int, again boolean")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, spots): for each document with a repeated span that isn't the first, the first sentences of those spans.
 
-    The first occurrence of a span is the one with the smallest id, then position. Firsts and counts are
-    combined on the map side, so a passage in a third of all documents is no hot group; the join that
-    follows is a plain shuffle join on the hash, which AQE splits.
+    The first occurrence of a span is in the document with the smallest id. Repeats inside a text never are, so they
+    need no look at other texts, and a text brings each span to the join once. Smallest ids and counts are hashed
+    together on the map side and written, so that both sides of the join are plain shuffles, which AQE splits where a
+    passage stands in very many documents.
     """
     found = settle(spans(pick(docs, doc=id_col, text=text_col), run, min_words), "spans")
-    firsts = found.groupBy("h", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first")
-    later = found.join(firsts, ["h", "h2"]).where(F.struct("doc", "pos") != F.col("first"))
-    return later.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("spots"))
+    heads = found.where("not again").select("h", "h2", "doc", "pos")
+    firsts = settle(heads.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first"), "firsts")
+    later = heads.join(firsts, ["h", "h2"]).where("doc <> first").select("doc", "pos")
+    return later.unionByName(found.where("again").select("doc", "pos")).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("spots"))
 
 
-def cut_spans(text: str, spots: list[int], run: int = RUN) -> tuple[str, list[dict]]:
+def cut_spans(text: str, spots: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[str, list[dict]]:
     """The text without the sentences covered by spans from `spots`, and the character ranges taken out."""
     units = sentences(text)
-    gone = np.zeros(len(units) + 1, bool)
+    ends = run_ends(units, run, min_words)
+    gone = np.zeros(len(units), bool)
     for s in spots:
-        gone[s : s + run] = True
-    gone[-1] = False
+        gone[s : ends[s]] = True
     ranges: list[dict] = []
     for i in np.flatnonzero(gone):
         end = units[i + 1][0] if i + 1 < len(units) else len(text)
@@ -132,7 +155,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts, cut = cols[at].to_pylist(), []
                 for i, s in enumerate(held.to_pylist()):
                     if s and texts[i]:
-                        texts[i], r = cut_spans(texts[i], s, run)
+                        texts[i], r = cut_spans(texts[i], s, run, min_words)
                         cut.append(r)
                     else:
                         cut.append([])
@@ -145,14 +168,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def brute_force(rows: list[tuple[int, str]], run: int = RUN, min_words: int = MIN_WORDS) -> dict[int, str]:
     """Cleaned texts by comparing the spans themselves; for tests."""
-    firsts: dict[tuple, tuple[int, int]] = {}
+    def spans_of(u: list[tuple[int, int, str]]) -> Iterator[tuple[int, tuple[str, ...]]]:
+        for k in range(len(u)):
+            e = k + run
+            while e < len(u) and sum(len(x[2].split()) for x in u[k:e]) < min_words:
+                e += 1
+            if e <= len(u) and sum(len(x[2].split()) for x in u[k:e]) >= min_words:
+                yield k, tuple(x[2] for x in u[k:e])
+
     units = {i: sentences(t or "") for i, t in sorted(rows)}
+    firsts: dict[tuple, tuple[int, int]] = {}
     for i, u in units.items():
-        for k in range(len(u) - run + 1):
-            firsts.setdefault(tuple(x[2] for x in u[k : k + run]), (i, k))
-    out = {}
-    for i, t in rows:
-        u = units[i]
-        spots = [k for k in range(len(u) - run + 1) if sum(len(x[2].split()) for x in u[k : k + run]) >= min_words and firsts[tuple(x[2] for x in u[k : k + run])] != (i, k)]
-        out[i] = cut_spans(t or "", spots, run)[0]
-    return out
+        for k, span in spans_of(u):
+            firsts.setdefault(span, (i, k))
+    return {i: cut_spans(t or "", [k for k, span in spans_of(units[i]) if firsts[span] != (i, k)], run, min_words)[0] for i, t in rows}

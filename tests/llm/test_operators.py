@@ -386,6 +386,8 @@ def test_substring_against_brute_force(spark, docs, corpus, none):
 def test_removed_ranges_cover_what_went():
     text = "A b c d. E f g h. I j k l. M n o p. Q r s t."
     out, gone = substring.cut_spans(text, [1])
+    assert substring.run_ends(substring.sentences(text)).tolist() == [3, 4, 5]
+    assert substring.run_ends(substring.sentences("A! " * 12)).tolist() == [10, 11, 12]
     assert out == "A b c d. Q r s t." and [text[r["start"] : r["end"]] for r in gone] == ["E f g h. I j k l. M n o p. "]
 
 
