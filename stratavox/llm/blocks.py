@@ -17,9 +17,32 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*[docs[old].alias(new) for new, old in cols.items()])
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What this Python worker keeps from task to task, by name.
+_kept: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """An object that the tasks of one operator share in a worker."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def evict(keeps: str | None) -> None:
+    """Free all but one object. A function of its own, since only those act on the worker's module and not on a copy."""
+    for name in [n for n in _kept if n != keeps]:
+        del _kept[name]
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with bounded batches. A task of one operator frees what another operator has kept in its worker."""
     arrow_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evict(keeps)
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def filter_rows(df: DataFrame, text_col: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:

@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "r"] + ["ids"] * ids + ["part"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, r long" + ", ids array<int>" * ids + ", part int"
-    return map_batches(pick(docs, doc_id=id_col, text=text_col), run, schema)
+    return map_batches(pick(docs, doc_id=id_col, text=text_col), run, schema, keeps=tokenizer)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:

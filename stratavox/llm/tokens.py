@@ -6,10 +6,11 @@ import os
 import re
 from array import array
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 
+from stratavox.llm.blocks import worker_cache
+
 #: Chunks and words kept between batches.
 CHUNKS, WORDS = 300_000, 800_000
 #: Chunks that are encoded as one string.
@@ -101,9 +102,9 @@ class ChunkTokenizer:
         return out
 
 
-@lru_cache(4)
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+    """The tokenizer of a vocabulary file, kept in the worker with what it has learned."""
+    return worker_cache(path, lambda: ChunkTokenizer(path))
 
 
 class SortedSizes:
