@@ -18,10 +18,11 @@ def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
     """One row (node, root) for each node that an edge touches; root is the component's smallest node.
 
-    Every round hooks each node to its smallest neighbour, jumps one pointer and contracts the edges,
-    so the edge table shrinks geometrically and a long chain needs a logarithmic number of rounds.
-    The minimum is combined on the map side, hence a hub of any degree is cheap; relabelling is a
-    plain shuffle join that AQE can split. Rows with a null end are ignored; loops give no row.
+    Every round hooks each node to the neighbour, or itself, whose hash of the round is smallest, jumps one pointer
+    and contracts the edges. Hashes rather than numbers decide, so chains of consecutive numbers, which hooking to
+    the smaller number would only shift along themselves, shrink by a constant factor too, and the rounds are logarithmic.
+    The choice is combined on the map side, hence a hub of any degree is cheap; relabelling is a plain shuffle
+    join that AQE can split. Rows with a null end are ignored; loops give no row.
     """
     e = settle(
         edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
@@ -30,23 +31,25 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         "edges",
     )
     label: DataFrame | None = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         if e.isEmpty():
             break
-        ends = e.select(F.col("a").alias("node"), F.col("a").alias("to")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        # the smaller end of an edge is a candidate for both its ends
-        hook = settle(ends.groupBy("node").agg(F.min("to").alias("up")), "hook")
-        jump = hook.alias("h").join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
+        order = lambda c, turn=turn: F.xxhash64(c, F.lit(turn))
+        ends = e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        best = ends.groupBy("node").agg(F.min_by("to", order("to")).alias("to"))
+        hook = settle(best.select("node", F.when(order("to") < order("node"), F.col("to")).otherwise(F.col("node")).alias("up")), "hook")
+        jump = hook.join(hook.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
         hook = settle(jump.select("node", F.coalesce("top", "up").alias("up")), "jump")
         e = settle(_relabel(e, hook), "edges")
         if label is None:
             label = hook
-        else:
+        else:  # a node whose parent lost every edge in a round keeps it
             nxt = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             label = label.join(nxt, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if label is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
-    # a node that lost every edge in a round keeps its parent, which may itself have moved on in that round
-    return settle(label.select("node", F.col("up").alias("root")), "roots")
+    label = settle(label, "labels")
+    least = settle(label.groupBy("up").agg(F.min("node").alias("root")), "least")
+    return label.join(least, "up").select("node", "root")
