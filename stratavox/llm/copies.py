@@ -27,8 +27,12 @@ SHINGLE = 5
 #: Differing bits of word fingerprints that are looked at: texts at the least similarity differ in four to five on
 #: average, unrelated ones in about thirty.
 NEAR_BITS = 10
-#: Disjoint forests of candidate pairs that are checked.
-FORESTS = 3
+#: Candidate pairs for each text of a cell beyond which its texts are compared in place.
+DENSE = 8
+#: Texts, and bytes of their shingle hashes, of one side of a cell of dense groups.
+CELL_ROWS = 1024
+CELL_BYTES = 16 << 20
+SKETCH_BITS = 1024
 
 
 def word_fingerprint(text: bytes) -> int:
@@ -108,154 +112,254 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray
     return a[taken], b[taken]
 
 
-def forests(a: np.ndarray, b: np.ndarray, weight: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of several lightest forests, each of what the ones before left: still linear in nodes, but a node has several
-    of its closest partners, so that one pair that fails the check doesn't part it from the others."""
-    pairs, where = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0, return_index=True)
-    left, w, out = pairs, weight[where], []
-    for _ in range(times):
-        if not len(left):
-            break
-        x, y = forest(left[:, 0], left[:, 1], w)
-        out.append(np.column_stack([x, y]))
-        key = lambda p: p[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ p[:, 1].astype(np.uint64)
-        on = ~np.isin(key(left), key(out[-1]))
-        left, w = left[on], w[on]
-    got = np.concatenate(out) if out else np.zeros((0, 2), a.dtype)
-    return got[:, 0], got[:, 1]
-
-
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        every = np.asarray(b.column(0))
+        every, many = np.asarray(b.column(0)), np.asarray(b.column(1))
         for at in range(0, len(every), KEYED):
-            fp = every[at : at + KEYED]
+            fp, w = every[at : at + KEYED], many[at : at + KEYED]
             k, p = keys(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp[p])], ["k", "fp"])
-
-
-def _cells_to_forest(bits: int):
-    """Rows (k, i, j, own, fp) sorted by cell give candidate edges between fingerprints."""
-
-    def pairs_of(x: np.ndarray, y: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = []
-        other = x if y is None else y
-        for at in range(0, len(x), 1024):
-            d = np.bitwise_count(x[at : at + 1024, None] ^ other[None, :])
-            p, q = np.nonzero(d <= bits)
-            if y is None:
-                on = p + at < q
-                p, q = p[on], q[on]
-            out.append((x[p + at], other[q], d[p, q]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-    def of(cell: np.ndarray, own: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = np.flatnonzero(np.any(cell[1:] != cell[:-1], axis=1)) + 1
-        start, end = np.r_[0, cut], np.r_[cut, len(fp)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp[p]), pa.array(w[p])], ["k", "fp", "w"])
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], cells: int, of) -> Iterator[pa.RecordBatch]:
+    """of(columns) on runs of whole cells of rows sorted by their first `cells` columns."""
+    left: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = pa.Table.from_batches([b])
+        same = np.ones(b.num_rows, bool)
+        for c in range(cells):
+            v = np.asarray(b.column(c))
+            same &= v == v[-1]
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if left is None:
+            left = now.slice(0, 0)
+        if cut:
+            yield of(pa.concat_tables([left, now.slice(0, cut)]).combine_chunks())
+            left = now.slice(cut)
+        elif left.num_rows and any(left.column(c)[-1] != now.column(c)[0] for c in range(cells)):
+            yield of(left.combine_chunks())
+            left = now
+        else:
+            left = pa.concat_tables([left, now])
+    if left is not None and left.num_rows:
+        yield of(left.combine_chunks())
+
+
+def _starts(*cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cell], axis=0)) + 1
+    return np.r_[0, cut], np.r_[cut, len(cell[0])]
+
+
+def _near_in_cells(bits: int):
+    """Rows (k, i, j, own, fp, w) sorted by cell give near pairs (0, fp, fp), or of dense cells the members (1, k, fp)."""
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        k, i, j, own, fp, w = (np.asarray(t.column(c)) for c in range(6))
+        fp = fp.view(np.uint64)
+        start, end = _starts(k, i, j)
         m = end - start
-        off = cell[start, 1] != cell[start, 2]
+        off = i[start] != j[start]
+        pairs = [np.zeros((0, 2), np.uint64)]
+        members = [np.zeros((0, 2), np.uint64)]
         small = ~off & (m > 1) & (m <= 64)
         s, n = start[small], m[small]
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
         for size in np.unique(n):  # runs of one size together: one table of index pairs serves them all
             p, q = np.triu_indices(size, 1)
             rows = s[n == size]
             for at in range(0, len(rows), max(1, (1 << 20) // len(p))):
                 r = rows[at : at + max(1, (1 << 20) // len(p)), None]
-                x, y = fp[r + p].ravel(), fp[r + q].ravel()
+                x, y = fp[r + p], fp[r + q]
                 d = np.bitwise_count(x ^ y)
                 on = (d <= bits) & (d > 0)
-                found.append((x[on], y[on], d[on]))
-        for s, e, o in zip(start[~small & (m > 1)], end[~small & (m > 1)], off[~small & (m > 1)], strict=True):
-            x = fp[s:e]
-            side = own[s:e] == cell[s, 1]
-            a, b, d = pairs_of(x[side], x[~side]) if o else pairs_of(x, None)
-            a, b = forests(a, b, d, FORESTS)
-            found.append((a, b, np.bitwise_count(a ^ b)))
-        a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
-        return forests(a, b, d, FORESTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] | None = None
-
-        def out(part: list[np.ndarray]) -> pa.RecordBatch:
-            x, y = of(*part)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = [np.column_stack([np.asarray(b.column(c)) for c in (0, 1, 2)]), np.asarray(b.column(3)), np.asarray(b.column(4)).view(np.uint64)]
-            if left is not None:
-                now = [np.concatenate(x) for x in zip(left, now, strict=True)]
-            last = np.flatnonzero(np.any(now[0] != now[0][-1], axis=1))
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield out([v[:cut] for v in now])
-            left = [v[cut:] for v in now]
-        if left is not None:
-            yield out(left)
-
-    return run
+                dense = (on * w[r + p] * w[r + q]).sum(axis=1) > DENSE * w[r + np.arange(size)].sum(axis=1)
+                if dense.any():
+                    c, e = np.nonzero(on & dense[:, None])
+                    at_ = np.unique(np.concatenate([r[c, 0] + p[e], r[c, 0] + q[e]]))
+                    members.append(np.column_stack([k[at_].view(np.uint64), fp[at_]]))
+                    on &= ~dense[:, None]
+                pairs.append(np.column_stack([x[on], y[on]]))
+        for a, e, o in zip(start[~small & (m > 1)], end[~small & (m > 1)], off[~small & (m > 1)], strict=True):
+            one = np.arange(a, e) if not o else a + np.flatnonzero(own[a:e] == i[a])
+            two = one if not o else a + np.flatnonzero(own[a:e] != i[a])
+            weight, most, found, held = 0, DENSE * int(w[a:e].sum()), [], np.zeros(e - a, bool)
+            for at in range(0, len(one), 1024):
+                part = one[at : at + 1024]
+                d = np.bitwise_count(fp[part, None] ^ fp[None, two])
+                p, q = np.nonzero((d <= bits) & (d > 0))
+                p, q = part[p], two[q]
+                if not o:
+                    p, q = p[p < q], q[p < q]
+                held[p - a] = held[q - a] = True
+                weight += int((w[p] * w[q]).sum())
+                found = found + [np.column_stack([fp[p], fp[q]])] if weight <= most else []
+            if weight > most:
+                at_ = a + np.flatnonzero(held)
+                members.append(np.column_stack([k[at_].view(np.uint64), fp[at_]]))
+            else:
+                pairs += found
+        near = np.concatenate(pairs)
+        near = np.unique(np.sort(near.view(np.int64), axis=1), axis=0)
+        dense_ = np.concatenate(members).view(np.int64)
+        kind = np.repeat(np.array([0, 1], np.int32), [len(near), len(dense_)])
+        both = np.concatenate([near, dense_])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(both[:, 0]), pa.array(both[:, 1])], ["kind", "a", "b"])
+
+    return lambda batches: _by_cell(batches, 3, of)
 
 
 def candidate_edges(distinct: DataFrame, bits: int = NEAR_BITS, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) between distinct word fingerprints (column fp): lightest spanning forests of each cell's pairs.
+    """(kind, a, b) of distinct word fingerprints (columns fp, w: its texts): kind 0 are all pairs of unequal fingerprints
+    within `bits` that share a key, but of cells with more than DENSE pairs a text; of those kind 1 gives the key (a)
+    and its fingerprints with a partner (b), whose texts are to be compared in place.
 
     A key of more than `hot` fingerprints is dealt over a grid of cells, one for each pair of its parts, so no
     task holds the whole key and no pair is lost.
     """
-    rows = map_batches(distinct.select("fp"), _key_rows, "k long, fp long")
+    rows = map_batches(distinct.select("fp", "w"), _key_rows, "k long, fp long, w long")
     many = settle(rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
     zero = F.lit(0)
     if many.isEmpty():
-        dealt = rows.select("k", zero.alias("i"), zero.alias("j"), zero.alias("own"), "fp")
+        dealt = rows.select("k", zero.alias("i"), zero.alias("j"), zero.alias("own"), "fp", "w")
     else:
-        cold = rows.join(many, "k", "left_anti").select("k", zero.alias("i"), zero.alias("j"), zero.alias("own"), "fp")
+        cold = rows.join(many, "k", "left_anti").select("k", zero.alias("i"), zero.alias("j"), zero.alias("own"), "fp", "w")
         own = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
         wide = rows.join(many, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = cold.unionByName(wide.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp"))
+        dealt = cold.unionByName(wide.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "w"))
     cells = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
     spark = distinct.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    return cells.mapInArrow(_cells_to_forest(bits), "a long, b long")
+    return settle(cells.mapInArrow(_near_in_cells(bits), "kind int, a long, b long").distinct(), "candidates")
+
+
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes over SKETCH_BITS places. Two sketches differ in at most as many bits as the sets do in
+    members, so what they rule out is surely below the similarity."""
+    odd = np.bincount((s >> np.uint64(20)) & np.uint64(SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1 if len(s) else np.zeros(SKETCH_BITS, np.int64)
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def linked(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, equal: bool, bits: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows that have the similarity: every pair is compared, unless links found
+    before connect it. Equal fingerprints count if `equal`, others within `bits` if not; with sides, pairs of unequal
+    sides only."""
+    n, out = len(fp), []
+    size = np.array([len(s) for s in sets])
+    sketch = np.stack([odd_sketch(s) for s in sets])
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for at in range(0, n, 64):
+        part = np.arange(at, min(n, at + 64))
+        tops = np.array([top(x) for x in range(n)])
+        d = np.bitwise_count(fp[part, None] ^ fp[None, :])
+        on = (d == 0 if equal else (d > 0) & (d <= bits)) & (tops[part, None] != tops[None, :])
+        on &= part[:, None] < np.arange(n)[None, :]
+        if side is not None:
+            on &= side[part, None] != side[None, :]
+        on &= np.minimum(size[part, None], size[None, :]) >= least * np.maximum(size[part, None], size[None, :]) - 1e-6
+        p, q = np.nonzero(on)
+        p = part[p]
+        for k in range(0, len(p), 1 << 16):
+            x, y = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+            may = apart <= (1 - least) / (1 + least) * (size[x] + size[y]) + 1e-6
+            for u, v in zip(x[may].tolist(), y[may].tolist(), strict=True):
+                ru, rv = top(u), top(v)
+                if ru != rv and similarity(sets[u], sets[v]) >= least:
+                    root[max(ru, rv)] = min(ru, rv)
+                    out.append((u, v))
+    return out
+
+
+def _link_cells(bits: int, least: float):
+    """Rows (kind, k, i, j, own, node, fp, s) sorted by cell give similar edges, those of a run of cells thinned to a forest."""
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        kind, k, i, j, own, node, fp = (np.asarray(t.column(c)) for c in range(7))
+        a, b = [], []
+        for s, e in zip(*_starts(kind, k, i, j), strict=True):
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(7).slice(s, e - s).to_pylist()]
+            side = own[s:e] if i[s] != j[s] else None
+            for u, v in linked(fp[s:e].view(np.uint64), sets, side, kind[s] == 2, bits, least):
+                a.append(node[s + u])
+                b.append(node[s + v])
+        a, b = forest(np.array(a, np.int64), np.array(b, np.int64), np.zeros(len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return lambda batches: _by_cell(batches, 4, of)
+
+
+def dense_edges(members: DataFrame, texts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of similar texts of dense groups, members (kind, k, fp): each group is dealt over a grid of cells of
+    bounded rows and bytes, and compared there."""
+    rows = members.join(texts, "fp")
+    parts = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(8 * F.sum("n_words") / CELL_BYTES)).cast("int")
+    sizes = settle(rows.groupBy("kind", "k").agg(parts.alias("parts")), "dense")
+    own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")).otherwise(F.lit(0))
+    wide = rows.join(sizes, ["kind", "k"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = wide.select("kind", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp").join(sets, "node")
+    cells = cells.select("kind", "k", "i", "j", "own", "node", "fp", "s").repartition("kind", "k", "i", "j").sortWithinPartitions("kind", "k", "i", "j")
+    return map_batches(cells, _link_cells(NEAR_BITS, least), "a long, b long")
 
 
 def similar_edges(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) of ids of rows whose five-word shingles have a Jaccard similarity of `least` or more, enough to
-    connect near copies: equal fingerprints by a star, others by the candidates' forest, each edge checked."""
+    connect all such pairs of equal fingerprints or of a shared key: nothing is thinned before its similarity is known.
+
+    Groups with many candidate pairs are compared in place and give forests; of the pairs of the other ones those
+    that these forests don't connect are compared one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            words = [t.lower().split() for t in raw_bytes(b.column(1))]
             fp = np.array([word_fingerprint(t) for t in raw_bytes(b.column(1))], np.uint64)
-            same = [xxhash.xxh64_intdigest(t, 3) for t in raw_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(np.array(same, np.uint64).view(np.int64))], ["doc", "fp", "copy"])
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(w), 3) for w in words], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array(same.view(np.int64)), pa.array([len(w) for w in words], pa.int64())], ["doc", "fp", "copy", "n_words"])
 
     source = pick(docs, doc=id_col, text=text_col).where("doc is not null")
-    fps = settle(map_batches(source, run, "doc long, fp long, copy long"), "word_fingerprints")
-    # copies with equal bytes are told apart no further: operator 4 has linked them already
-    texts = settle(fps.groupBy("fp", "copy").agg(F.min("doc").alias("doc")).select("doc", "fp"), "texts")
-    heads = settle(texts.groupBy("fp").agg(F.min("doc").alias("head")), "heads")
-    alike = texts.join(heads, "fp").where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
-    edges = candidate_edges(heads).distinct()
-    named = edges.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
-    wanted = settle(alike.unionByName(named.select(F.col("ha").alias("a"), F.col("hb").alias("b"))), "candidates")
-    involved = wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("shuffle_hash")
+    fps = settle(map_batches(source, run, "doc long, fp long, copy long, n_words long"), "word_fingerprints")
+    # texts of equal words are told apart no further: operator 4 has linked them already
+    texts = settle(fps.groupBy("fp", "copy").agg(F.min(F.struct("doc", "n_words")).alias("x")).select(F.col("x.doc").alias("node"), "fp", F.col("x.n_words").alias("n_words")), "texts")
+    heads = settle(texts.groupBy("fp").agg(F.count("*").alias("w")), "heads")
+    found = candidate_edges(heads)
+    crowded = heads.where(F.col("w") > 2 * DENSE).select(F.lit(2).alias("kind"), F.col("fp").alias("k"), "fp")
+    members = settle(found.where("kind = 1").select("kind", F.col("a").alias("k"), F.col("b").alias("fp")).unionByName(crowded), "members")
+    named = found.where("kind = 0").join(texts.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(texts.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select("na", "nb")
+    few = texts.join(heads.where(F.col("w").between(2, 2 * DENSE)), "fp").select("fp", "node")
+    alike = few.select("fp", F.col("node").alias("na")).join(few.select("fp", F.col("node").alias("nb")), "fp").where("na < nb").select("na", "nb")
+    wanted = settle(named.unionByName(alike).select(F.col("na").alias("a"), F.col("nb").alias("b")), "pairs")
+    involved = wanted.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.join(texts, "fp").select(F.col("node").alias("id"))).distinct().hint("shuffle_hash")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t).tobytes() for t in raw_bytes(b.column(1))], pa.binary())], ["doc", "s"])
-
-    held = settle(map_batches(source.join(involved, source["doc"] == involved["id"], "left_semi"), sets, "doc long, s binary"), "shingles")
-    left = wanted.join(held.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(held.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t).tobytes() for t in raw_bytes(b.column(1))], pa.binary())], ["node", "s"])
+
+    # rows that share an id are compared by one of their texts
+    held = settle(map_batches(source.join(involved, source["doc"] == involved["id"], "left_semi"), sets, "node long, s binary"), "shingles")
+    edges = None
+    if not members.isEmpty():
+        edges = settle(dense_edges(members, texts, held, least), "dense_edges")
+        if not edges.isEmpty():
+            roots = connected_components(edges)
+            wanted = wanted.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            wanted = wanted.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+    left = wanted.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_batches(both, check, "a long, b long")
+    single = map_batches(both, check, "a long, b long")
+    return single if edges is None else single.unionByName(edges)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
