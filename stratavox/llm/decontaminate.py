@@ -66,11 +66,11 @@ def make_block(items: list[tuple[int, str]]) -> Block:
     return block
 
 
-def _best_window(spots: list[tuple[int, int]], size: int) -> tuple[int, int, int]:
-    """Most distinct shingles of an item among hits (document position, shingle) within 1.25 times its length; first and last position."""
-    spots.sort()
-    width, inside, left, best = size + size // 4 + 1, defaultdict(int), 0, (0, 0, 0)
-    for p, q in spots:
+def _windows(spots: list[tuple[int, int]], size: int, need: float) -> list[tuple[int, int, int]]:
+    """(distinct shingles, first spot, end spot) of the windows of 1.25 times an item's length, one for each last hit, that
+    hold `need` of its shingles or more, the fullest first. Hits are (document position, shingle), sorted."""
+    width, inside, left, out = size + size // 4 + 1, defaultdict(int), 0, []
+    for at, (p, q) in enumerate(spots):
         inside[q] += 1
         while p - spots[left][0] >= width:
             x = spots[left][1]
@@ -78,9 +78,24 @@ def _best_window(spots: list[tuple[int, int]], size: int) -> tuple[int, int, int
             if not inside[x]:
                 del inside[x]
             left += 1
-        if len(inside) > best[0]:
-            best = (len(inside), spots[left][0], p)
-    return best
+        if len(inside) >= need:
+            out.append((len(inside), left, at + 1))
+    return sorted(out, key=lambda w: (-w[0], w[2]))
+
+
+def _alignments(hits: list[tuple[int, int]], need: float) -> Iterator[dict[int, int]]:
+    """Shifts from the item's tokens to the document's: each token by the offset that most hits over it agree on, then by
+    each single offset with enough hits."""
+    votes: dict[int, int] = defaultdict(int)
+    for p, k in hits:
+        votes[p - k] += 1
+    shift: dict[int, int] = {}
+    for _, d, k in sorted((-votes[p - k], p - k, k) for p, k in hits):
+        for j in range(k, k + SHINGLE):
+            shift.setdefault(j, d)
+    yield shift
+    for d in [d for d, n in votes.items() if n >= need]:
+        yield {k + j: d for p, k in hits if p - k == d for j in range(SHINGLE)}
 
 
 def _slots_agree(pairs: list[tuple[str, str]]) -> tuple[bool, bool]:
@@ -109,21 +124,23 @@ def matches(text: str, block: Block, lex: Lexer, containment: float) -> list[tup
             for i, k in block.members[r]:
                 spots[i].add((p, k))
     for i, hits in spots.items():
-        if len({k for _, k in hits}) < containment * block.size[i]:
+        need = containment * block.size[i]
+        if len({k for _, k in hits}) < need:
             continue
-        n, first, last = _best_window(list(hits), block.size[i])
-        if n < containment * block.size[i]:
-            continue
-        # each slot of the item against the token that the nearest hits put it on
-        shift = {}
-        for p, k in hits:
-            if first <= p <= last:
-                for j in range(SHINGLE):
-                    shift.setdefault(k + j, p - k)
-        slots = [(block.words[i][j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (block.flags[i][j] | flags[j + d]) & _SLOTS]
-        agree, differ = _slots_agree(slots)
-        if agree:
-            out.append((block.ids[i], n / block.size[i], "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1))
+        every, best = sorted(hits), None
+        for n, left, right in _windows(every, block.size[i], need):
+            first, last = every[left][0], every[right - 1][0]
+            for shift in _alignments(every[left:right], need):
+                slots = [(block.words[i][j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (block.flags[i][j] | flags[j + d]) & _SLOTS]
+                agree, differ = _slots_agree(slots)
+                if agree and (best is None or not differ):
+                    best = (block.ids[i], n / block.size[i], "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1)
+                if agree and not differ:
+                    break
+            if best and best[2] == "verbatim":
+                break
+        if best:
+            out.append(best)
     return out
 
 
@@ -132,8 +149,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Numbers, units and names become typed placeholders; windows of five tokens are looked up in the
     windows of the items, with and without names typed. An item is held if at least `containment` of its
-    windows stand in one place of the document, and each slot value of the item is replaced consistently:
-    "verbatim" if all slots are as in the item, else "reparameterised". Items shorter than a window match
+    windows stand in one place of the document, and each slot value of the item is replaced consistently there:
+    "verbatim" if all slots are as in the item, else "reparameterised". Every place is tried, and a verbatim one given
+    first. Items shorter than a window match
     documents that consist of them alone. The benchmark is taken in blocks of bounded size, one pass over
     the documents for each, so what is shipped has a bound whatever its size.
 
