@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.llm.blocks import filter_rows, map_batches, pick, strings
-from stratavox.llm.templates import SHINGLE, HashSet, Lexer, shingles
+from stratavox.llm.templates import SHINGLE, HashSet, Lexer, opened, shingles
 
 #: Share of an item's shingles that a document must hold in one place.
 CONTAINMENT = 0.8
 #: Benchmark characters that are shipped to the executors at a time; more are taken in further passes.
 BLOCK_CHARS = 8 << 20
 _SLOTS = 8 | 16 | 32
+#: Words that open sentences, where they count as names.
+_OPENS = 64
 
 
 @dataclass
@@ -54,14 +56,15 @@ def make_block(items: list[tuple[int, str]]) -> Block:
             continue
         a, b = shingles(plain), shingles(typed)
         block.size.append(len(a))
-        for h in (a, b):
+        at, c = opened(typed, flags)
+        for h, own in ((a, range(len(a))), (b, range(len(b))), (c, at.tolist())):
             hashes.append(h)
-            owner += [(i, k) for k in range(len(h))]
+            owner += [(i, k) for k in own]
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     block.table = HashSet(every)
     block.members = [[] for _ in block.table.sorted]
     for rank, own in zip(np.searchsorted(block.table.sorted, every).tolist(), owner, strict=True):
-        if own not in block.members[rank][-2:]:
+        if own not in block.members[rank][-3:]:
             block.members[rank].append(own)
     return block
 
@@ -118,37 +121,56 @@ def matches(text: str, block: Block, lex: Lexer, containment: float) -> list[tup
                 out.append((block.ids[i], 1.0, "verbatim", int(keep[0]), int(keep[-1]) + 1))
         return out
     spots: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for h in (shingles(plain), shingles(typed)):
-        at, rank = block.table.find(h)
+
+    def add(at: np.ndarray, rank: np.ndarray) -> set[int]:
+        new = set()
         for p, r in zip(at.tolist(), rank.tolist(), strict=True):
             for i, k in block.members[r]:
                 spots[i].add((p, k))
-    for i, hits in spots.items():
-        need = containment * block.size[i]
-        if len({k for _, k in hits}) < need:
-            continue
-        every, best = sorted(hits), None
-        for n, left, right in _windows(every, block.size[i], need):
-            first, last = every[left][0], every[right - 1][0]
-            for shift in _alignments(every[left:right], need):
-                slots = [(block.words[i][j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (block.flags[i][j] | flags[j + d]) & _SLOTS]
-                agree, differ = _slots_agree(slots)
-                if agree and (best is None or not differ):
-                    best = (block.ids[i], n / block.size[i], "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1)
-                if agree and not differ:
-                    break
-            if best and best[2] == "verbatim":
-                break
-        if best:
-            out.append(best)
-    return out
+                new.add(i)
+        return new
+
+    for h in (shingles(plain), shingles(typed)):
+        add(*block.table.find(h))
+    found = {}
+
+    def judge(items: Iterable[int], slot: int) -> None:
+        for i in items:
+            got = _place(sorted(spots[i]), block, i, chunks, keep, flags, lex, containment, slot)
+            if got:
+                found[i] = got
+
+    judge(spots, _SLOTS)
+    # names that open sentences: for items not held with these words as they are
+    where, h = opened(typed, flags)
+    at, rank = block.table.find(h)
+    judge([i for i in {*add(where[at], rank), *spots} if i not in found], _SLOTS | _OPENS)
+    return [found[i] for i in spots if i in found]
+
+
+def _place(hits: list[tuple[int, int]], block: Block, i: int, chunks: list[str], keep: np.ndarray, flags: np.ndarray, lex: Lexer, containment: float, slot: int) -> tuple[int, float, str, int, int] | None:
+    """The fullest place of sorted hits where the slots of item i agree, a verbatim one before others."""
+    need, best = containment * block.size[i], None
+    if len({k for _, k in hits}) < need:
+        return None
+    for n, left, right in _windows(hits, block.size[i], need):
+        first, last = hits[left][0], hits[right - 1][0]
+        for shift in _alignments(hits[left:right], need):
+            slots = [(block.words[i][j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (block.flags[i][j] | flags[j + d]) & slot]
+            agree, differ = _slots_agree(slots)
+            if agree and (best is None or not differ):
+                best = (block.ids[i], n / block.size[i], "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1)
+            if agree and not differ:
+                return best
+    return best
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, containment, kind, first_word, end_word): the benchmark items that documents hold.
 
     Numbers, units and names become typed placeholders; windows of five tokens are looked up in the
-    windows of the items, with and without names typed. An item is held if at least `containment` of its
+    windows of the items, without names typed, with them, and with capitalised words that open sentences taken for
+    names as well. An item is held if at least `containment` of its
     windows stand in one place of the document, and each slot value of the item is replaced consistently there:
     "verbatim" if all slots are as in the item, else "reparameterised". Every place is tried, and a verbatim one given
     first. Items shorter than a window match

@@ -50,17 +50,19 @@ class Lexer:
         return word_hash(word), flags | (bare[:1].isupper() and bare[1:].islower())
 
     def stream(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes without and with names as placeholders, the chunk of each token, and its flags."""
+        """Hashes without and with names as placeholders, the chunk of each token, and its flags: 32 a name, 64 opens a
+        sentence and may be one."""
         if not chunks:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         got = list(map(self.memo.__getitem__, chunks))
         h = np.array([x for x, _ in got], np.uint64)
         f = np.array([x for _, x in got], np.int64)
         opens = np.r_[True, (f[:-1] & 2) > 0]
-        name = ((f & 1) > 0) & ~opens
+        capital = (f & 1) > 0
+        name = capital & ~opens
         keep = np.flatnonzero((f & 4) == 0)
         typed = np.where(name, np.uint64(NAME_HASH), h)
-        return h[keep], typed[keep], keep, np.where(name, f | 32, f)[keep]
+        return h[keep], typed[keep], keep, (f | 32 * name | 64 * (capital & opens))[keep]
 
 
 def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -75,6 +77,20 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def opened(typed: np.ndarray, flags: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of the shingles that change if capitalised words that open sentences are names too."""
+    spot = np.flatnonzero(flags & 64)
+    at = np.unique(spot[:, None] - np.arange(n)[None, :])
+    at = at[(at >= 0) & (at <= len(typed) - n)]
+    h = typed.copy()
+    h[spot] = NAME_HASH
+    out = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        out = (out ^ h[at + i]) * _P
+        out ^= out >> np.uint64(29)
+    return at, out
+
+
 class HashSet:
     """Sorted hashes behind a bit table that turns most probes away."""
 
