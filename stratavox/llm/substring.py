@@ -17,8 +17,11 @@ from stratavox.runtime import settle
 #: Sentences and words of a span at least: a span goes on until it has both.
 RUN = 3
 MIN_WORDS = 10
-#: A sentence of more words than this is cut into parts of half as many.
+#: Words that make a span of fewer sentences.
+ENOUGH = 20
+#: A sentence of more words than this is cut, before one word in CUT by the hash of the two words around the cut.
 LONG = 24
+CUT = 8
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
 
@@ -26,8 +29,8 @@ _WORD = re.compile(r"\S+")
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, words in lower case, space-joined) of the sentences of a text, in order; blank ones are left out.
 
-    A sentence ends after . ! or ? before white space, and at a line end. Very long ones are cut by words
-    from their start, so one passage gives the same parts wherever it stands.
+    A sentence ends after . ! or ? before white space, and at a line end. Very long ones are cut where the words around
+    the cut say so, so one passage gives the same parts wherever it stands, and after LONG words at the latest.
     """
     out = []
     at = 0
@@ -35,10 +38,11 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         words = text[at:start].lower().split()
         if len(words) > LONG:
             spots = [(m.start() + at, m.end() + at) for m in _WORD.finditer(text[at:start])]
-            half = LONG // 2
-            for k in range(0, len(spots), half):
-                part = spots[k : k + half]
-                out.append((part[0][0], part[-1][1], " ".join(words[k : k + half])))
+            k = 0
+            for e in range(1, len(words) + 1):
+                if e == len(words) or e - k == LONG or xxhash.xxh3_64_intdigest(f"{words[e - 1]} {words[e]}".encode("utf-8", "surrogatepass")) % CUT == 0:
+                    out.append((spots[k][0], spots[e - 1][1], " ".join(words[k:e])))
+                    k = e
         elif words:
             out.append((at, start, " ".join(words)))
         at = end
@@ -46,11 +50,12 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 
 def run_ends(units: list[tuple[int, int, str]], run: int = RUN, min_words: int = MIN_WORDS) -> np.ndarray:
-    """For each sentence that a span starts at, the sentence after the span: at least `run` sentences on and at least
-    `min_words` words on. Sentences too near the end of the text start no span."""
+    """For each sentence that a span starts at, the sentence after the span: at least `min_words` words on, and at least
+    `run` sentences or ENOUGH words on. Sentences too near the end of the text start no span."""
     words = np.cumsum([0] + [s.count(" ") + 1 for _, _, s in units])
-    ends = np.maximum(np.arange(len(units)) + run, np.searchsorted(words, words[:-1] + min_words))
-    return ends[ends <= len(units)]  # both terms grow with the start, so those that fit come first
+    ends = np.minimum(np.arange(len(units)) + run, np.searchsorted(words, words[:-1] + ENOUGH))
+    ends = np.maximum(ends, np.searchsorted(words, words[:-1] + min_words))
+    return ends[ends <= len(units)]  # all terms grow with the start, so those that fit come first
 
 
 #: Odd multipliers of the two polynomial hashes, and their inverses modulo 2^64.
@@ -170,11 +175,11 @@ def brute_force(rows: list[tuple[int, str]], run: int = RUN, min_words: int = MI
     """Cleaned texts by comparing the spans themselves; for tests."""
     def spans_of(u: list[tuple[int, int, str]]) -> Iterator[tuple[int, tuple[str, ...]]]:
         for k in range(len(u)):
-            e = k + run
-            while e < len(u) and sum(len(x[2].split()) for x in u[k:e]) < min_words:
-                e += 1
-            if e <= len(u) and sum(len(x[2].split()) for x in u[k:e]) >= min_words:
-                yield k, tuple(x[2] for x in u[k:e])
+            for e in range(k + 1, len(u) + 1):
+                n = sum(len(x[2].split()) for x in u[k:e])
+                if n >= min_words and (e - k >= run or n >= ENOUGH):
+                    yield k, tuple(x[2] for x in u[k:e])
+                    break
 
     units = {i: sentences(t or "") for i, t in sorted(rows)}
     firsts: dict[tuple, tuple[int, int]] = {}
