@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -90,7 +90,7 @@ def scan(text: str, lib: Library, lex: Lexer, containment: float = CONTAINMENT)
         for half in lib.halves[r]:
             k = p // half
             windows[half].update((k, k - 1) if k else (k,))
-    best: dict[int, tuple[float, int, int]] = {}
+    places: dict[tuple[int, int, int], tuple[int, float]] = {}
     for half, starts in windows.items():
         found = lib.bands[half]
         for k in sorted(starts):
@@ -101,24 +101,75 @@ def scan(text: str, lib: Library, lex: Lexer, containment: float = CONTAINMENT)
             for t in candidates:
                 mine = lib.shingle_sets[t]
                 hit = np.flatnonzero(np.isin(part, mine))
-                share = len(np.unique(part[hit])) / len(mine)
-                if share >= containment and share > best.get(t, (0,))[0]:
-                    first, last = k * half + int(hit[0]), k * half + int(hit[-1]) + SHINGLE - 1
-                    best[t] = (share, int(keep[first]), int(keep[last]) + 1)
-    # of templates in one place the one with the most shingles there stays: versions of one notice differ by a word
-    kept: list[tuple[int, float, int, int]] = []
-    for t, (share, first, end) in sorted(best.items(), key=lambda x: (-round(x[1][0] * len(lib.shingle_sets[x[0]])), -x[1][0], x[0])):
-        if all(end <= f or e <= first for _, _, f, e in kept):
-            kept.append((t, share, first, end))
-    return [(lib.names[t], share, first, end) for t, share, first, end in sorted(kept)]
+                for n, first, last in _places(hit, part[hit], len(mine), containment):
+                    places[t, k * half + first, k * half + last] = n, n / len(mine)
+    # of templates on the same shingles the one with the most stays: versions of one notice differ by a word
+    kept: dict[int, tuple[float, int, int]] = {}
+    taken = np.zeros(len(s), bool)
+    for (t, first, last), (_, share) in sorted(places.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
+        own = first + np.flatnonzero(np.isin(s[first : last + 1], lib.shingle_sets[t]))
+        if 2 * taken[own].sum() <= len(own):
+            taken[own] = True
+            kept.setdefault(t, (share, int(keep[first]), int(keep[last + SHINGLE - 1]) + 1))
+    return [(lib.names[t], *kept[t]) for t in sorted(kept)]
+
+
+def _places(at: np.ndarray, h: np.ndarray, size: int, containment: float) -> list[tuple[int, int, int]]:
+    """(distinct shingles, first, last position) of the places that hold a template of `size` shingles, from its hits (position,
+    hash) in a window: the fullest of 1.25 times its length, or failing that the tightest one that holds it; then again
+    beside it."""
+    need = containment * size
+    if len(np.unique(h)) < need:
+        return []
+    pos, ids = at.tolist(), np.unique(h, return_inverse=True)[1].tolist()
+    best = _fullest(pos, ids, size + size // 4 + 1) or (0, 0, 0)
+    if best[0] < need:
+        best = _tightest(pos, ids, need)
+    n, a, b = best
+    out = [(n, pos[a], pos[b])]
+    for x, y in ((0, a), (b + 1, len(pos))):
+        out += _places(at[x:y], h[x:y], size, containment)
+    return out
+
+
+def _fullest(pos: list[int], ids: list[int], width: int) -> tuple[int, int, int]:
+    """Most distinct ids of hits within `width` positions, of the tightest window; its count, first and last hit."""
+    inside, left, best = Counter(), 0, (0, 0, 0)
+    for right, i in enumerate(ids):
+        inside[i] += 1
+        while pos[right] - pos[left] >= width or inside[ids[left]] > 1:
+            inside[ids[left]] -= 1
+            if not inside[ids[left]]:
+                del inside[ids[left]]
+            left += 1
+        now = (len(inside), left, right)
+        if now[0] > best[0] or now[0] == best[0] and pos[right] - pos[left] < pos[best[2]] - pos[best[1]]:
+            best = now
+    return best
+
+
+def _tightest(pos: list[int], ids: list[int], need: float) -> tuple[int, int, int]:
+    """The shortest window with `need` distinct ids; its count, first and last hit."""
+    inside, left, best = Counter(), 0, None
+    for right, i in enumerate(ids):
+        inside[i] += 1
+        while len(inside) >= need:
+            if best is None or pos[right] - pos[left] < pos[best[2]] - pos[best[1]]:
+                best = (len(inside), left, right)
+            inside[ids[left]] -= 1
+            if not inside[ids[left]]:
+                del inside[ids[left]]
+            left += 1
+    return best
 
 
 def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, first_word, end_word): the license templates that each document holds,
-    of overlapping ones the one with the most shingles in the text.
+    of those that mostly match the same shingles of the text the one with the most.
 
     Shingles of five words in lower case without marks; a template is held if a window has at least
-    `containment` of its distinct shingles. Of several places the fullest, then the first, is given, as
+    `containment` of its distinct shingles. Of several places the fullest, then the first, of those not taken by
+    another template is given, as
     numbers of white-space separated words. Null, empty and short texts hold nothing; repeated rows give
     repeated results; a null id is kept.
     """
