@@ -26,16 +26,18 @@ def test_true_pairs_among_boilerplate_are_compared(spark, monkeypatch, dense, ce
     monkeypatch.setattr(copies, "DENSE", dense)
     monkeypatch.setattr(copies, "CELL_ROWS", cell)
     rng = np.random.default_rng(5)
-    shared = [f"b{k}" for k in range(300)]
+    shared = [f"b{k}" for k in range(200)]
     rows = []
-    for g in range(300):
-        own = [f"o{g}x{k}" for k in range(60)]
-        rows.append((len(rows), " ".join(shared + own)))
-        at = int(rng.integers(60))
+    for g in range(200):
+        base = [*shared, f"o{g}", f"p{g}"]
+        rng.shuffle(base)  # near in words, far in shingles
+        rows.append((len(rows), " ".join(base)))
         if g % 2:
-            rows.append((len(rows), " ".join(shared + own[:at] + ["zz"] + own[at + 1 :])))
+            for at in (20, 90, 160):
+                base[at] = f"n{g}x{at}"
+            rows.append((len(rows), " ".join(base)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    edges = [(r["a"], r["b"]) for r in copies.similar_edges(table, "doc_id", "text", 0.9).collect()]
+    edges = [(r["a"], r["b"]) for r in copies.similar_edges(table, "doc_id", "text").collect()]
     root = {i: i for i, _ in rows}
     for _ in range(len(rows)):
         before = dict(root)
@@ -44,7 +46,7 @@ def test_true_pairs_among_boilerplate_are_compared(spark, monkeypatch, dense, ce
         if root == before:
             break
     text = dict(rows)
-    assert all(copies.similarity(copies.shingle_hashes(text[a].encode()), copies.shingle_hashes(text[b].encode())) >= 0.9 for a, b in edges)
-    missed, similar = lost(root, rows, 0.9)
-    assert similar > 100 and not missed
+    assert all(copies.similarity(copies.shingle_hashes(text[a].encode()), copies.shingle_hashes(text[b].encode())) >= 0.8 for a, b in edges)
+    missed, similar = lost(root, rows)
+    assert similar > 50 and not missed
     assert len(edges) <= 30 * len(rows)
