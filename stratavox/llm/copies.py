@@ -28,7 +28,7 @@ SHINGLE = 5
 #: average, unrelated ones in about thirty.
 NEAR_BITS = 10
 #: Candidate pairs for each text of a cell beyond which its texts are compared in place.
-DENSE = 8
+DENSE = 2
 #: Texts, and bytes of their shingle hashes, of one side of a cell of dense groups.
 CELL_ROWS = 1024
 CELL_BYTES = 16 << 20
