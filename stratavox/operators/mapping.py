@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratavox.functions.kernels import bspline3
 from stratavox.operators.raster import in_bounds, rounded
 from stratavox.plans.schema import COORDS, INVALID
-from stratavox.runtime import ship
+from stratavox.runtime import arrow_batches
 
 
 def scale_coords(points: DataFrame, rough: Sequence[float], fine: Sequence[float], trim_start: Sequence[int | None], out: Sequence[str] = COORDS) -> DataFrame:
@@ -94,7 +94,7 @@ def transform_points(points: DataFrame, transforms: Sequence[Affine | BSpline],
         flip = np.eye(3)[::-1]
         cols = affine_columns((flip @ m @ flip).tolist(), (flip @ s).tolist())
         return points.withColumns(dict(zip(out, cols, strict=True)))
-    ship(points.sparkSession)
+    arrow_batches(points.sparkSession)
     names, kinds = points.columns, ", ".join(f"`{n}` {t}" for n, t in points.dtypes)
     shared = points.sparkSession.sparkContext.broadcast(list(transforms))  # control grids: bounded by the atlas
 

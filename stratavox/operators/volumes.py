@@ -15,19 +15,16 @@ from pyspark.sql import functions as F
 
 from stratavox.functions.kernels import orient_axes
 from stratavox.plans.schema import BLOCK, CHUNK, COORDS
-from stratavox.runtime import ship
+from stratavox.runtime import arrow_batches
 
 _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
 _KINDS = {"cz": pa.int32(), "cy": pa.int32(), "cx": pa.int32(), "z0": pa.int64(), "y0": pa.int64(), "x0": pa.int64(), "nz": pa.int32(), "ny": pa.int32(), "nx": pa.int32(), "dtype": pa.string(), "data": pa.binary()}
-#: Blocks of one Arrow batch; a block may have many MB.
-BATCH = 4
-
 Kernel = Callable[..., np.ndarray]
 
 
 def few_blocks(df: DataFrame) -> DataFrame:
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """Blocks may have many MB: a batch has one of them, or as many as stay within the bytes of a batch."""
+    arrow_batches(df.sparkSession)
     return df
 
 

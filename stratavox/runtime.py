@@ -1,10 +1,11 @@
-"""Session helpers shared by all operators: lineage cuts in the shared folder, Arrow batch sizes."""
+"""Session helpers shared by all operators: lineage cuts in the shared folder, the size of Arrow batches."""
 
 from __future__ import annotations
 
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch handed to Python; texts are a few KB, so a batch is a few MB.
-ARROW_ROWS = 1000
-#: Bytes of one Arrow batch, for rows that are much longer than usual.
+#: Bytes of one Arrow batch handed to Python, the same for all operators: the setting is read when a plan runs, so an
+#: operator must not change it for others. Operators that want fewer rows slice batches in the task.
 ARROW_BYTES = 32 << 20
 _settled: list[str] = []
 
@@ -66,11 +66,14 @@ def release(spark: SparkSession) -> None:
     itself when the driver ends."""
     jvm = spark._jvm
     while _settled:
+        path = _settled.pop()
         try:
-            p = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended first; the folder is scratch space
-            _settled.clear()
+        except Exception as e:  # one table that can't be deleted doesn't keep the others; the session may have ended first
+            if spark.sparkContext._jsc is None:
+                return
+            print(f"{path} was not deleted: {e}", file=sys.stderr)
 
 
 def ship(spark: SparkSession) -> None:
@@ -91,10 +94,9 @@ def ship(spark: SparkSession) -> None:
     sc._stratavox_shipped = True
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches that Python operators of this session receive."""
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that Python operators of this session receive."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
