@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.runtime import arrow_batches
+from stratavox.runtime import ARROW_BYTES, arrow_batches
 
 
 def pick(docs: DataFrame, **cols: str) -> DataFrame:
@@ -34,13 +35,37 @@ def evict(keeps: str | None) -> None:
         del _kept[name]
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None) -> DataFrame:
-    """mapInArrow with bounded batches. A task of one operator frees what another operator has kept in its worker."""
+#: Rows of texts that are worked on together.
+ROWS = 1000
+
+
+def resized(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows; shorter ones are joined as long as they stay within it and within
+    runtime.ARROW_BYTES. Empty batches pass."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+    for b in batches:
+        if held and (n + b.num_rows > rows or size + b.nbytes > ARROW_BYTES):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, size = [], 0, 0
+        if b.num_rows >= rows or not b.num_rows:
+            for at in range(0, max(1, b.num_rows), rows):
+                yield b.slice(at, rows)
+        else:
+            held.append(b)
+            n, size = n + b.num_rows, size + b.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None, rows: int = ROWS) -> DataFrame:
+    """mapInArrow with batches of at most `rows` rows and runtime.ARROW_BYTES. A task of one operator frees what another
+    operator has kept in its worker."""
     arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evict(keeps)
-        return fn(batches)
+        return fn(resized(batches, rows))
 
     return df.mapInArrow(run, schema)
 
@@ -91,19 +116,27 @@ def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordMemo(dict):
-    """A bounded memo of a function of a word. Words of natural text are Zipfian, so two generations
-    keep the frequent ones: when the young one is full it becomes the old one. Results never depend on it."""
+    """A memo of a function of a word, bounded by bytes. Words of natural text are Zipfian, so two generations
+    keep the frequent ones: when the young one is full it becomes the old one. Long words are not kept. Results never
+    depend on it."""
 
-    def __init__(self, fn: Callable, size: int = 250_000):
+    #: Bytes of a dictionary entry beside its key and value.
+    ENTRY = 120
+
+    def __init__(self, fn: Callable, size: int = 32 << 20, longest: int = 200):
         super().__init__()
-        self.fn, self.size, self.old = fn, size, {}
+        self.fn, self.size, self.longest, self.held, self.old = fn, size, longest, 0, {}
 
     def __missing__(self, word):
         found = self.old.get(word)
         if found is None:
             found = self.fn(word)
-        if len(self) >= self.size:
+        if len(word) > self.longest:
+            return found
+        if self.held >= self.size:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += getsizeof(word) + getsizeof(found) + self.ENTRY
         self[word] = found
         return found

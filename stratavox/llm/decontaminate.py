@@ -2,71 +2,71 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
-from functools import lru_cache
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavox.llm.blocks import filter_rows, map_batches, pick, strings
-from stratavox.llm.templates import SHINGLE, HashSet, Lexer, opened, shingles
+from stratavox.llm.blocks import map_batches, pick, strings
+from stratavox.llm.templates import SHINGLE, Lexer, opened, shingles
+from stratavox.runtime import settle
 
 #: Share of an item's shingles that a document must hold in one place.
 CONTAINMENT = 0.8
-#: Benchmark characters that are shipped to the executors at a time; more are taken in further passes.
-BLOCK_CHARS = 8 << 20
+#: Bits of the filter in front of the window join for each window of an item that is asked for, and at most: 32 MB.
+FILTER_BITS, MOST_FILTER_BITS = 256, 1 << 28
+#: Items that one text is compared with at a time; a text that may hold more is compared with several such parts.
+ITEMS_TOGETHER = 64
 _SLOTS = 8 | 16 | 32
 #: Words that open sentences, where they count as names.
 _OPENS = 64
+#: Mixed into the hash of an item or text that is shorter than a window, which matches as a whole only.
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
+FOUND = "item_id long, containment double, kind string, first_word int, end_word int"
+
+
+def windows(plain: np.ndarray, typed: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of the three streams of one text: as it is, with names typed, and with capitalised words that
+    open sentences typed too. A text shorter than a window has one hash of the whole."""
+    if 0 < len(plain) < SHINGLE:
+        h = shingles(plain, len(plain)) ^ (_WHOLE >> np.uint64(len(plain)))
+        return h, h, h
+    return shingles(plain), shingles(typed), shingles(opened(typed, flags))
 
 
 @dataclass
-class Block:
-    """Items of one pass: their hashes, tokens and slots."""
-
-    ids: list[int] = field(default_factory=list)
-    size: list[int] = field(default_factory=list)
-    flags: list[np.ndarray] = field(default_factory=list)
-    words: list[list[str]] = field(default_factory=list)
-    whole: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
-    table: HashSet | None = None
-    #: for each rank in the table, (item, shingle of the item)
-    members: list[list[tuple[int, int]]] = field(default_factory=list)
-
-
-def make_block(items: list[tuple[int, str]]) -> Block:
-    lex, block = Lexer(), Block()
-    hashes, owner = [], []
-    for item, text in items:
-        chunks = (text or "").split()
-        plain, typed, keep, flags = lex.stream(chunks)
-        if not len(keep):
-            continue
-        i = len(block.ids)
-        block.ids.append(item)
-        block.flags.append(flags)
-        block.words.append([lex.core(chunks[k]) for k in keep])
-        if len(keep) < SHINGLE:
-            block.size.append(0)
-            block.whole[int(shingles(plain, len(plain))[0])].append(i)
-            continue
-        a, b = shingles(plain), shingles(typed)
-        block.size.append(len(a))
-        at, c = opened(typed, flags)
-        for h, own in ((a, range(len(a))), (b, range(len(b))), (c, at.tolist())):
-            hashes.append(h)
-            owner += [(i, k) for k in own]
-    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    block.table = HashSet(every)
-    block.members = [[] for _ in block.table.sorted]
-    for rank, own in zip(np.searchsorted(block.table.sorted, every).tolist(), owner, strict=True):
-        if own not in block.members[rank][-3:]:
-            block.members[rank].append(own)
-    return block
+class Item:
+    """A benchmark item: its words, their flags, and its windows by hash."""
+
+    id: int
+    words: list[str]
+    flags: np.ndarray
+    size: int
+    where: dict[int, list[int]]
+    hashes: np.ndarray
+
+
+def make_item(item: int, text: str, lex: Lexer) -> Item | None:
+    chunks = (text or "").split()
+    plain, typed, keep, flags = lex.stream(chunks)
+    if not len(keep):
+        return None
+    where: dict[int, list[int]] = defaultdict(list)
+    for h in windows(plain, typed, flags):
+        for k, x in enumerate(h.tolist()):
+            if k not in where[x]:
+                where[x].append(k)
+    return Item(item, [lex.core(chunks[k]) for k in keep], flags, max(0, len(keep) - SHINGLE + 1), dict(where), np.array(sorted(where), np.uint64))
+
+
+def make_block(items: list[tuple[int, str]]) -> list[Item]:
+    lex = Lexer()
+    return [x for x in (make_item(i, t, lex) for i, t in items) if x is not None]
 
 
 def _windows(spots: list[tuple[int, int]], size: int, need: float) -> list[tuple[int, int, int]]:
@@ -110,118 +110,212 @@ def _slots_agree(pairs: list[tuple[str, str]]) -> tuple[bool, bool]:
     return True, any(a != b for a, b in value.items())
 
 
-def matches(text: str, block: Block, lex: Lexer, containment: float) -> list[tuple[int, float, str, int, int]]:
-    """(item, containment, kind, start, end) of the items that a whole text holds; offsets are of its white-space chunks."""
+def matches(text: str, items: list[Item], lex: Lexer, containment: float) -> list[tuple[int, float, str, int, int]]:
+    """(item, containment, kind, start, end) of those of the items that a whole text holds; offsets are of its white-space
+    chunks."""
     chunks = text.split()
     plain, typed, keep, flags = lex.stream(chunks)
+    if not len(keep):
+        return []
+    three = windows(plain, typed, flags)
     out = []
-    if len(keep) and len(keep) < SHINGLE:
-        for i in block.whole.get(int(shingles(plain, len(plain))[0]), []):
-            if len(block.words[i]) == len(keep):
-                out.append((block.ids[i], 1.0, "verbatim", int(keep[0]), int(keep[-1]) + 1))
-        return out
-    spots: dict[int, set[tuple[int, int]]] = defaultdict(set)
-
-    def add(at: np.ndarray, rank: np.ndarray) -> set[int]:
-        new = set()
-        for p, r in zip(at.tolist(), rank.tolist(), strict=True):
-            for i, k in block.members[r]:
-                spots[i].add((p, k))
-                new.add(i)
-        return new
-
-    for h in (shingles(plain), shingles(typed)):
-        add(*block.table.find(h))
-    found = {}
-
-    def judge(items: Iterable[int], slot: int) -> None:
-        for i in items:
-            got = _place(sorted(spots[i]), block, i, chunks, keep, flags, lex, containment, slot)
-            if got:
-                found[i] = got
-
-    judge(spots, _SLOTS)
-    # names that open sentences: for items not held with these words as they are
-    where, h = opened(typed, flags)
-    at, rank = block.table.find(h)
-    judge([i for i in {*add(where[at], rank), *spots} if i not in found], _SLOTS | _OPENS)
-    return [found[i] for i in spots if i in found]
-
-
-def _place(hits: list[tuple[int, int]], block: Block, i: int, chunks: list[str], keep: np.ndarray, flags: np.ndarray, lex: Lexer, containment: float, slot: int) -> tuple[int, float, str, int, int] | None:
-    """The fullest place of sorted hits where the slots of item i agree, a verbatim one before others."""
-    need, best = containment * block.size[i], None
+    for item in items:
+        if len(keep) < SHINGLE or not item.size:
+            if len(keep) == len(item.words) < SHINGLE and int(three[0][0]) in item.where:
+                out.append((item.id, 1.0, "verbatim", int(keep[0]), int(keep[-1]) + 1))
+            continue
+        got = None
+        spots: set[tuple[int, int]] = set()
+        # names that open sentences: for items not held with these words as they are
+        for streams, slot in ((three[:2], _SLOTS), (three[2:], _SLOTS | _OPENS)):
+            for h in streams:
+                for p in np.flatnonzero(np.isin(h, item.hashes)).tolist():
+                    spots.update((p, k) for k in item.where[int(h[p])])
+            got = got or _place(sorted(spots), item, chunks, keep, flags, lex, containment, slot)
+        if got:
+            out.append(got)
+    return out
+
+
+def _place(hits: list[tuple[int, int]], item: Item, chunks: list[str], keep: np.ndarray, flags: np.ndarray, lex: Lexer, containment: float, slot: int) -> tuple[int, float, str, int, int] | None:
+    """The fullest place of sorted hits where the slots of the item agree, a verbatim one before others."""
+    need, best = containment * item.size, None
     if len({k for _, k in hits}) < need:
         return None
-    for n, left, right in _windows(hits, block.size[i], need):
+    for n, left, right in _windows(hits, item.size, need):
         first, last = hits[left][0], hits[right - 1][0]
         for shift in _alignments(hits[left:right], need):
-            slots = [(block.words[i][j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (block.flags[i][j] | flags[j + d]) & slot]
+            slots = [(item.words[j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (item.flags[j] | flags[j + d]) & slot]
             agree, differ = _slots_agree(slots)
             if agree and (best is None or not differ):
-                best = (block.ids[i], n / block.size[i], "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1)
+                best = (item.id, n / item.size, "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1)
             if agree and not differ:
                 return best
     return best
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def item_windows(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The items under a key of their own (key, item, text), and their windows (key, k, size, h)."""
+    items = settle(pick(benchmark, item=item_col, text=item_text_col).where("text is not null").withColumn("key", F.monotonically_increasing_id()), "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexer()
+        for b in batches:
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
+                plain, typed, keep, flags = lex.stream(text.split())
+                three = windows(plain, typed, flags)
+                rows += [(key, k, max(0, len(keep) - SHINGLE + 1), h) for k, hs in enumerate(zip(*(x.view(np.int64).tolist() for x in three), strict=True)) for h in set(hs)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["key", "k", "size", "h"])
+
+    return items, settle(map_batches(items.select("key", "text"), run, "key long, k long, size long, h long"), "item_windows")
+
+
+def asked_windows(wins: DataFrame, containment: float) -> DataFrame:
+    """(h, key): of each item so many of its windows that whoever holds `containment` of them holds one of these: all but
+    those it may hold besides. They are the windows that fewest items have, so those of common phrases are hardly
+    ever asked for."""
+    common = wins.groupBy("h").agg(F.count_distinct("key").alias("n"))
+    each = wins.join(common, "h").groupBy("key", "k", "size").agg(F.max("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "k"))  # the windows of one item
+    enough = F.col("size") - F.ceil(F.col("size") * F.lit(containment) - 1e-9) + 1
+    asked = each.withColumn("rank", rank).where(F.col("rank") <= F.greatest(enough, F.lit(1))).select("key", "k")
+    return settle(wins.join(asked, ["key", "k"]).select("h", "key").distinct(), "asked")
+
+
+class WindowFilter:
+    """Two bits for each hash. A text's window that lacks one is in no item; how full it is only decides how many
+    windows go on to the join in vain."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.bits, self.table = bits, table
+
+    @staticmethod
+    def spots(h, bits: int):
+        """Positions of the bits of a column of hashes, counted from 1 as Spark's bitmap functions do."""
+        return F.array(F.shiftrightunsigned(h, 64 - bits) + 1, h.bitwiseAND(F.lit((1 << bits) - 1)) + 1)
+
+    @staticmethod
+    def of(asked: DataFrame) -> WindowFilter:
+        """Bitmaps of 32,768 bits made in the cluster; the driver receives the table, MOST_FILTER_BITS at most."""
+        n = asked.select("h").distinct().count()
+        bits = int(min(math.log2(MOST_FILTER_BITS), max(15, math.ceil(math.log2(max(1, n) * FILTER_BITS)))))
+        p = asked.select(F.explode(WindowFilter.spots(F.col("h"), bits)).alias("p"))
+        maps = p.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        table = np.zeros(1 << (bits - 3), np.uint8)
+        for r in maps.toLocalIterator():
+            table[(r["b"] - 1) << 12 : r["b"] << 12] = np.frombuffer(r["m"], np.uint8)
+        return WindowFilter(bits, table)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may be asked for."""
+        p = h >> np.uint64(64 - self.bits)
+        at = np.flatnonzero(self.table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1)
+        p = h[at] & np.uint64((1 << self.bits) - 1)
+        return at[(self.table[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1) > 0]
+
+    def hits(self, texts: list[str], lex: Lexer) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the windows of whole texts that may be asked for, each once; all texts in one stream."""
+        chunks: list[str] = []
+        ends = []
+        for t in texts:
+            chunks += t.split()
+            ends.append(len(chunks))
+        ends = np.array(ends, np.int64)
+        plain, typed, keep, flags = lex.stream(chunks, ends)
+        owner = np.searchsorted(ends, keep, side="right")
+        rows, found = [], []
+        for h in (plain, typed, opened(typed, flags)):
+            s = shingles(h)
+            at = self.find(s)
+            at = at[owner[at] == owner[at + SHINGLE - 1]]  # within one text
+            rows.append(owner[at])
+            found.append(s[at])
+        size = np.bincount(owner, minlength=len(texts))
+        for i in np.flatnonzero((size > 0) & (size < SHINGLE)):
+            a = int(np.searchsorted(owner, i))
+            s = windows(plain[a : a + size[i]], typed[a : a + size[i]], flags[a : a + size[i]])[0]
+            at = self.find(s)
+            rows.append(np.full(len(at), i))
+            found.append(s[at])
+        both = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(found)], names="row,h"))
+        return both["row"], both["h"]
+
+
+def candidates(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (row, doc, text, hits) of the texts that may hold an item: one pass over whole texts, those without a window in
+    the filter end there."""
+    shared = docs.sparkSession.sparkContext.broadcast(WindowFilter.of(asked))  # MOST_FILTER_BITS at most
+    kind = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexer()
+        for b in batches:
+            row, h = shared.value.hits(strings(b.column(1)), lex)
+            own, first = np.unique(row, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(h.view(np.int64)))
+            some = b.take(pa.array(own.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), lists.cast(kind)], ["doc", "text", "hits"])
+
+    found = map_batches(pick(docs, doc=id_col, text=text_col).where("text is not null"), run, "doc long, text string, hits array<long>")
+    return settle(found.withColumn("row", F.monotonically_increasing_id()), "candidates")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, containment: float) -> DataFrame:
+    """(row, doc, text_hash, item_id, containment, kind, first_word, end_word) of the items that the texts hold."""
+    items, wins = item_windows(benchmark, item_col, item_text_col)
+    asked = asked_windows(wins, containment)
+    some = candidates(docs, asked, id_col, text_col)
+    pairs = settle(some.select("row", F.explode("hits").alias("h")).join(asked, "h").select("row", "key").distinct(), "pairs")
+    parts = pairs.groupBy("row").agg(F.ceil(F.count("*") / ITEMS_TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "row").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    asks = dealt.join(items, "key").groupBy("row", "part").agg(F.collect_list(F.struct("item", F.col("text").alias("body"))).alias("items"))
+    both = asks.join(some.select("row", "doc", "text"), "row").select("row", "doc", F.xxhash64("text").alias("text_hash"), "text", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexer()
+        for b in batches:
+            rows = []
+            for i, (text, asked_items) in enumerate(zip(strings(b.column(3)), b.column(4).to_pylist(), strict=True)):
+                made = [x for x in (make_item(it["item"], it["body"], lex) for it in asked_items) if x is not None]
+                rows += [(i, *m) for m in matches(text, made, lex, containment)]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            same = b.select([0, 1, 2]).take(pa.array(list(cols[0]), pa.int64()))
+            kinds = (pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(list(c), t) for c, t in zip(cols[1:], kinds, strict=True))], ["row", "doc", "text_hash", "item_id", "containment", "kind", "first_word", "end_word"])
+
+    return map_batches(both, run, f"row long, doc long, text_hash long, {FOUND}", rows=100)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, containment, kind, first_word, end_word): the benchmark items that documents hold.
 
-    Numbers, units and names become typed placeholders; windows of five tokens are looked up in the
-    windows of the items, without names typed, with them, and with capitalised words that open sentences taken for
-    names as well. An item is held if at least `containment` of its
-    windows stand in one place of the document, and each slot value of the item is replaced consistently there:
-    "verbatim" if all slots are as in the item, else "reparameterised". Every place is tried, and a verbatim one given
-    first. Items shorter than a window match
-    documents that consist of them alone. The benchmark is taken in blocks of bounded size, one pass over
-    the documents for each, so what is shipped has a bound whatever its size.
+    Numbers, units and names become typed placeholders; windows of five tokens join the windows of the items, without
+    names typed, with them, and with capitalised words that open sentences taken for names as well. An item is held if
+    at least `containment` of its windows stand in one place of the document, and each slot value of the item is replaced
+    consistently there: "verbatim" if all slots are as in the item, else "reparameterised". Every place is tried, and a
+    verbatim one given first. Items shorter than a window match documents that consist of them alone.
 
-    Null or empty texts and items hold nothing; repeated rows give repeated results; null ids are kept.
-    """
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], "doc_id long, item_id long, containment double, kind string, first_word int, end_word int")
-    source = pick(docs, doc_id=id_col, text=text_col)
-    for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lex = Lexer()
-            for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True) for m in matches(t, shared.value, lex, containment)]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "containment", "kind", "first_word", "end_word"])
-
-        out = out.unionByName(map_batches(source, run, "doc_id long, item_id long, containment double, kind string, first_word int, end_word int"))
-    return out
+    The join asks for the windows of an item that fewest other items have, as many as no holder can lack, and a filter
+    of bounded size stands before it, so that the documents are read once whatever the size of the benchmark.
 
+    Null or empty texts and items hold nothing; repeated rows, of documents or items, give repeated results; null ids are
+    kept, other columns don't matter; no documents or no items: no rows.
+    """
+    found = judged(docs, benchmark, id_col, text_col, item_col, item_text_col, containment)
+    return found.select(F.col("doc").alias("doc_id"), "item_id", "containment", "kind", "first_word", "end_word")
 
-def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[Block]:
-    """The benchmark's items in blocks of about block_chars characters; rows go to blocks by hash."""
-    items = pick(benchmark, item=item_col, text=item_text_col).where("text is not null")
-    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_chars))
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = make_block([(r["item"], r["text"]) for r in part.orderBy("item", "text").collect()])
-        if block.ids:
-            yield block
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Filter: rows whose text holds no benchmark item, judged in one pass per block of the benchmark; null texts stay."""
-    out = docs
-    for block in item_blocks(benchmark, item_col, item_text_col, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def keep(texts: list[str], shared=shared) -> np.ndarray:
-            return np.array([not matches(t, shared.value, _lexer(), containment) for t in texts], bool)
 
-        out = filter_rows(out, text_col, keep)
-    return out
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+    """Filter: rows whose text holds no benchmark item, all columns as they are; null texts stay. A row is known by its id and the
+    hash of its text: equal rows share their fate."""
+    found = judged(docs, benchmark, id_col, text_col, item_col, item_text_col, containment)
+    bad = settle(found.select(F.col("doc").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text_col]) == bad["bad_hash"]), "left_anti")
 
 
-@lru_cache(1)
-def _lexer() -> Lexer:
-    return Lexer()
+def brute_force(rows: list[tuple[int, str]], items: list[tuple[int, str]], containment: float = CONTAINMENT) -> list[tuple]:
+    """Results of find() by looking every item up in every text; for tests."""
+    block, lex = make_block(items), Lexer()
+    return [(d, *m) for d, t in rows for m in matches(t or "", block, lex, containment)]

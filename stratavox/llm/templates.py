@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
+from array import array
+from sys import getsizeof
 
 import numpy as np
 import xxhash
 
-from stratavox.llm.blocks import WordMemo
-
 #: Words of a shingle.
 SHINGLE = 5
 #: Units of measure that become a placeholder (fixed values).
@@ -27,20 +27,34 @@ NAME_HASH = word_hash("\x00name")
 
 
 class Lexer:
-    """Numbers of the chunks of texts: their hash with placeholders, whether they can be a name, whether they end a sentence."""
+    """Numbers of the chunks of texts: their hash with placeholders, whether they can be a name, whether they end a sentence.
+
+    What is known of a chunk has a place in two arrays, and the memo keeps the place: a stream is one pass over the
+    memo and two gathers. When the memo has `size` bytes it starts afresh; long chunks aren't kept.
+    """
+
+    #: Bytes of an entry beside its chunk; longest chunk that is kept.
+    ENTRY, LONGEST = 140, 200
 
-    def __init__(self, typed: bool = True, size: int = 250_000):
-        self.typed = typed
-        self.memo = WordMemo(self.look, size)
+    def __init__(self, typed: bool = True, size: int = 96 << 20):
+        self.typed, self.size = typed, size
+        self.place = _Places(self)
+        self.hashes, self.flags, self.held = array("Q"), array("B"), 0
 
     def core(self, chunk: str) -> str:
         return _EDGE.sub("", chunk).lower()
 
     def look(self, chunk: str) -> tuple[int, int]:
         """(hash, flags): 1 may be a name, 2 ends a sentence, 4 has no word, 8 number, 16 unit."""
+        bare = chunk[:-1] if chunk[-1] in ".,;:!?" else chunk
+        if bare.isalpha():  # most chunks: letters, and perhaps a mark
+            word = bare.lower()
+            if self.typed and word in UNITS:
+                return word_hash("\x00unit"), 2 * (chunk[-1] in ".!?") | 16
+            return word_hash(word), 2 * (chunk[-1] in ".!?") | (bare[:1].isupper() and bare[1:].islower())
         word = self.core(chunk)
         flags = 2 * (chunk[-1] in ".!?")
-        if not any(c.isalnum() or c == "%" for c in word):
+        if not word.isalnum() and not any(c.isalnum() or c == "%" for c in word):
             return 0, flags | 4
         if self.typed and _NUMBER.fullmatch(word):
             return word_hash("\x00number"), flags | 8
@@ -49,15 +63,20 @@ class Lexer:
         bare = chunk.strip(".,;:!?\"'()[]")
         return word_hash(word), flags | (bare[:1].isupper() and bare[1:].islower())
 
-    def stream(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def stream(self, chunks: list[str], starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes without and with names as placeholders, the chunk of each token, and its flags: 32 a name, 64 opens a
-        sentence and may be one."""
+        sentence and may be one. `starts`: the first chunks of further texts, where sentences open too."""
         if not chunks:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        got = list(map(self.memo.__getitem__, chunks))
-        h = np.array([x for x, _ in got], np.uint64)
-        f = np.array([x for _, x in got], np.int64)
-        opens = np.r_[True, (f[:-1] & 2) > 0]
+        if self.held > self.size:
+            self.place.clear()
+            self.hashes, self.flags, self.held = array("Q"), array("B"), 0
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        h, f = np.frombuffer(self.hashes, np.uint64)[at], np.frombuffer(self.flags, np.uint8)[at].astype(np.int64)
+        opens = np.ones(len(at), bool)
+        opens[1:] = (f[:-1] & 2) > 0
+        if starts is not None:
+            opens[starts[starts < len(at)]] = True
         capital = (f & 1) > 0
         name = capital & ~opens
         keep = np.flatnonzero((f & 4) == 0)
@@ -65,6 +84,25 @@ class Lexer:
         return h[keep], typed[keep], keep, (f | 32 * name | 64 * (capital & opens))[keep]
 
 
+class _Places(dict):
+    """Chunk to place in a lexer's arrays."""
+
+    def __init__(self, lexer: Lexer):
+        super().__init__()
+        self.lexer = lexer
+
+    def __missing__(self, chunk: str) -> int:
+        x, k = self.lexer, len(self.lexer.hashes)
+        h, f = x.look(chunk)
+        x.hashes.append(h)
+        x.flags.append(f)
+        x.held += 9
+        if len(chunk) <= x.LONGEST:
+            x.held += getsizeof(chunk) + x.ENTRY
+            self[chunk] = k
+        return k
+
+
 def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     """A 64-bit hash of every n consecutive tokens."""
     m = len(h) - n + 1
@@ -77,18 +115,9 @@ def shingles(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def opened(typed: np.ndarray, flags: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the shingles that change if capitalised words that open sentences are names too."""
-    spot = np.flatnonzero(flags & 64)
-    at = np.unique(spot[:, None] - np.arange(n)[None, :])
-    at = at[(at >= 0) & (at <= len(typed) - n)]
-    h = typed.copy()
-    h[spot] = NAME_HASH
-    out = np.zeros(len(at), np.uint64)
-    for i in range(n):
-        out = (out ^ h[at + i]) * _P
-        out ^= out >> np.uint64(29)
-    return at, out
+def opened(typed: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """The typed stream with capitalised words that open sentences as names too."""
+    return np.where(flags & 64 > 0, np.uint64(NAME_HASH), typed)
 
 
 class HashSet:
