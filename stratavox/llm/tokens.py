@@ -5,20 +5,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from bisect import bisect_right
 
 import numpy as np
 
-from stratavox.llm.blocks import worker_cache
+from stratavox.llm.blocks import WordMemo, worker_cache
 
-#: Chunks and words kept between batches.
-CHUNKS, WORDS = 300_000, 800_000
-#: Chunks that are encoded as one string.
-TOGETHER = 4000
-#: Marks that end many words.
-MARKS = ".,!?;:"
-#: Latin words: composed letters whose lower case does not depend on their place (one is left out, whose lower case is two characters).
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Bytes of the memos of chunks and of words.
+CHUNK_BYTES, WORD_BYTES = 72 << 20, 40 << 20
+#: Latin-1 letters in lower case, and marks that stand beside words. An apostrophe is none: it may begin a token of its own.
+_LETTERS = b"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_PLAIN = re.compile(rb"([" + _LETTERS + rb"]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,14 +25,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
+def _folded() -> bytes:
+    """Latin-1 bytes in lower case, white space as blanks."""
+    space = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
+    return bytes(32 if b in space else ord(chr(b).lower()) for b in range(256))
+
+
 class ChunkTokenizer:
     """ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's rules never look across ASCII white space (its normaliser composes and lowers
+    The vocabulary's rules never look across white space (its normaliser composes and lowers
     single characters, its splitter drops white space), so the ids of a text are those of its chunks
-    in order, and each distinct chunk of a batch is encoded once. Nor does a run of letters ever join a
-    mark after it, so a Latin word with one mark at its end takes the ids of the lowered word, straight
-    from the merges, and those of the mark. All other chunks go through the whole tokenizer.
+    in order. Texts of Latin-1 characters, which the normaliser leaves composed, are lowered and split as bytes. A run of
+    letters never joins the marks after it, so a chunk of letters and marks takes the ids of the word, straight from the
+    merges, and those of the marks. All other chunks go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -45,82 +47,41 @@ class ChunkTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.merge = self.tok.model.tokenize
-        self.letters = _byte_letters()
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.marks = self._encode([*MARKS]) | {"": b""}
-
-    def _encode(self, chunks: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        for at in range(0, len(chunks), TOGETHER):
-            part = chunks[at : at + TOGETHER]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
-            starts = np.cumsum([0] + [len(c) + 1 for c in part[:-1]])
-            first = np.fromiter((a for a, _ in enc.offsets), np.int64, len(ids))
-            cut = (4 * np.searchsorted(first, starts)).tolist() + [4 * len(ids)]
-            raw = ids.tobytes()
-            found.update((c, raw[a:b]) for c, a, b in zip(part, cut, cut[1:], strict=False))
-        return found
-
-    def _word(self, word: str) -> bytes:
-        plain = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        self.letters, self.fold = _byte_letters(), _folded()
+        self.words = WordMemo(self._word, WORD_BYTES)
+        self.marks = WordMemo(self._marks, 1 << 20)
+        self.latin = WordMemo(self._latin, CHUNK_BYTES)
+        self.other = WordMemo(self._whole, CHUNK_BYTES // 4)
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
+
+    def _word(self, word: bytes) -> bytes:
+        plain = word.decode("ascii") if word.isascii() else word.decode("latin-1").encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.merge(plain)]).tobytes()
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        rest, found, words, latin = [], {}, self.words, _LATIN.fullmatch
-        if len(words) > WORDS:
-            words.clear()
-        for c in chunks:
-            mark = c[-1] if c[-1] in MARKS else ""
-            word = c[:-1] if mark else c
-            if not latin(word):
-                rest.append(c)
-                continue
-            word = word.lower()
-            ids = words.get(word)
-            if ids is None:
-                ids = words[word] = self._word(word)
-            found[c] = ids + self.marks[mark]
-        return found | self._encode(rest)
+    def _marks(self, marks: bytes) -> bytes:
+        return self._whole(marks.decode("ascii"))
+
+    def _latin(self, chunk: bytes) -> bytes:
+        found = _PLAIN.fullmatch(chunk)
+        if not found:
+            return self._whole(chunk.decode("latin-1"))
+        word, marks = found.groups()
+        return (self.words[word] if word else b"") + (self.marks[marks] if marks else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        get = self.chunks.get
-        found = [list(map(get, chunks)) for chunks in split]
-        fresh: set[str] = set()
-        for chunks, ids in zip(split, found, strict=True):
-            if None in ids:
-                fresh.update([c for c, x in zip(chunks, ids, strict=True) if x is None])
-        new = self._learn(fresh)
-        out = []
-        for chunks, ids in zip(split, found, strict=True):
-            out.append(b"".join([new[c] if x is None else x for c, x in zip(chunks, ids, strict=True)] if None in ids else ids))
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks = {c: x for chunks, ids in zip(split, found, strict=True) for c, x in zip(chunks, ids, strict=True) if x is not None} | {"": b""}
-        self.chunks |= new
+        out, latin, other = [], self.latin.__getitem__, self.other.__getitem__
+        for t in texts:
+            try:
+                chunks = t.encode("latin-1").translate(self.fold).split()
+            except UnicodeEncodeError:
+                out.append(b"".join(map(other, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+            else:
+                out.append(b"".join(map(latin, chunks)))
         return out
 
 
 def chunk_tokenizer(path: str) -> ChunkTokenizer:
     """The tokenizer of a vocabulary file, kept in the worker with what it has learned."""
     return worker_cache(path, lambda: ChunkTokenizer(path))
-
-
-class SortedSizes:
-    """Sizes in ascending order with successor search; used for at most as many sizes as the capacity."""
-
-    def __init__(self) -> None:
-        self.sizes: list[int] = []
-
-    def add(self, size: int) -> None:
-        at = bisect_right(self.sizes, size)
-        if not at or self.sizes[at - 1] != size:
-            self.sizes.insert(at, size)
-
-    def drop(self, size: int) -> None:
-        self.sizes.pop(bisect_right(self.sizes, size) - 1)
-
-    def successor(self, size: int) -> int | None:
-        at = bisect_right(self.sizes, size - 1)
-        return self.sizes[at] if at < len(self.sizes) else None
