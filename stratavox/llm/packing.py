@@ -185,7 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     shared = spark.sparkContext.broadcast(plan)  # its size follows the capacity, not the documents
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["part", "length"])
+    ranked = cut.join(base.hint("shuffle_hash"), ["part", "length"])  # a row for each task and length: too many to broadcast
     extra = ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
