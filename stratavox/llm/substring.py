@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.llm.blocks import map_batches, pick, strings
@@ -24,20 +24,28 @@ LONG = 24
 CUT = 8
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
+#: Scripts that are written without blanks: Thai, Lao, Myanmar, Khmer, Kana, Han. There each character counts as a word.
+_CLOSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_CLOSE = re.compile(f"[{_CLOSE}]")
+_CLOSE_WORD = re.compile(f"[{_CLOSE}]|[^\\s{_CLOSE}]+")
+_CLOSE_CUT = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f\uff61])\s*(?=\S)|\s*\n\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, words in lower case, space-joined) of the sentences of a text, in order; blank ones are left out.
 
-    A sentence ends after . ! or ? before white space, and at a line end. Very long ones are cut where the words around
-    the cut say so, so one passage gives the same parts wherever it stands, and after LONG words at the latest.
+    A sentence ends after . ! or ? before white space, after the full stops of East Asian scripts, and at a line end. Very
+    long ones are cut where the words around the cut say so, so one passage gives the same parts wherever it stands, and
+    after LONG words at the latest. A character of a script without blanks counts as a word.
     """
     out = []
     at = 0
-    for start, end in [(m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]:
-        words = text[at:start].lower().split()
+    close = not text.isascii() and _HAS_CLOSE.search(text) is not None
+    cut, word = (_CLOSE_CUT, _CLOSE_WORD) if close else (_CUT, _WORD)
+    for start, end in [(m.start(), m.end()) for m in cut.finditer(text)] + [(len(text), len(text))]:
+        words = word.findall(text[at:start].lower()) if close else text[at:start].lower().split()
         if len(words) > LONG:
-            spots = [(m.start() + at, m.end() + at) for m in _WORD.finditer(text[at:start])]
+            spots = [(m.start() + at, m.end() + at) for m in word.finditer(text[at:start])]
             k = 0
             for e in range(1, len(words) + 1):
                 if e == len(words) or e - k == LONG or xxhash.xxh3_64_intdigest(f"{words[e - 1]} {words[e]}".encode("utf-8", "surrogatepass")) % CUT == 0:
@@ -83,7 +91,8 @@ def span_hashes(units: list[tuple[int, int, str]], run: int = RUN, min_words: in
 
 
 def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """(h, h2, doc, pos, again): the spans of each text; `again` marks those that an earlier span of the same text equals."""
+    """(h, h2, doc, row, pos, again) of rows (doc, text, row): the spans of each text; `again` marks those that an earlier span
+    of the same text equals. `row` tells texts that share an id apart."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,26 +102,33 @@ def spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
                 later = np.ones(len(h), bool)
                 later[np.unique(h, return_index=True)[1]] = False
                 again.append(later)
-            ids = np.repeat(np.asarray(b.column(0)), [len(x[0]) for x in got])
+            size = [len(x[0]) for x in got]
+            ids, rows = np.repeat(np.asarray(b.column(0)), size), np.repeat(np.asarray(b.column(2)), size)
             cols = [np.concatenate([x[i] for x in got]) if got else np.zeros(0, (np.int64, np.int32, np.int32)[i]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(ids, pa.int64()), pa.array(cols[2]), pa.array(np.concatenate([*again, np.zeros(0, bool)]))], ["h", "h2", "doc", "pos", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(ids, pa.int64()), pa.array(rows, pa.int32()), pa.array(cols[2]), pa.array(np.concatenate([*again, np.zeros(0, bool)]))], ["h", "h2", "doc", "row", "pos", "again"])
 
-    return map_batches(docs.where("doc is not null"), fn, "h long, h2 int, doc long, pos int, again boolean")
+    return map_batches(docs.where("doc is not null"), fn, "h long, h2 int, doc long, row int, pos int, again boolean")
+
+
+def row_key(text: Column) -> Column:
+    """What tells rows apart that share an id: a 32-bit hash of the text."""
+    return F.hash(text)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, spots): for each document with a repeated span that isn't the first, the first sentences of those spans.
+    """(doc, row, spots): for each text with a repeated span that isn't the first, the first sentences of those spans.
 
     The first occurrence of a span is in the document with the smallest id. Repeats inside a text never are, so they
     need no look at other texts, and a text brings each span to the join once. Smallest ids and counts are hashed
     together on the map side and written, so that both sides of the join are plain shuffles, which AQE splits where a
     passage stands in very many documents.
     """
-    found = settle(spans(pick(docs, doc=id_col, text=text_col), run, min_words), "spans")
-    heads = found.where("not again").select("h", "h2", "doc", "pos")
+    source = pick(docs, doc=id_col, text=text_col).withColumn("row", row_key(F.col("text")))
+    found = settle(spans(source, run, min_words), "spans")
+    heads = found.where("not again").select("h", "h2", "doc", "row", "pos")
     firsts = settle(heads.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "first"), "firsts")
-    later = heads.join(firsts, ["h", "h2"]).where("doc <> first").select("doc", "pos")
-    return later.unionByName(found.where("again").select("doc", "pos")).groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("spots"))
+    later = heads.join(firsts, ["h", "h2"]).where("doc <> first").select("doc", "row", "pos")
+    return later.unionByName(found.where("again").select("doc", "row", "pos")).groupBy("doc", "row").agg(F.sort_array(F.collect_set("pos")).alias("spots"))
 
 
 def cut_spans(text: str, spots: list[int], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[str, list[dict]]:
@@ -121,7 +137,8 @@ def cut_spans(text: str, spots: list[int], run: int = RUN, min_words: int = MIN_
     ends = run_ends(units, run, min_words)
     gone = np.zeros(len(units), bool)
     for s in spots:
-        gone[s : ends[s]] = True
+        if s < len(ends):  # else of another text with the same id and row key
+            gone[s : ends[s]] = True
     ranges: list[dict] = []
     for i in np.flatnonzero(gone):
         end = units[i + 1][0] if i + 1 < len(units) else len(text)
@@ -141,12 +158,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the character ranges [start, end) of the original text that went.
 
     Sentences compare in lower case with single blanks. Spans within one document count too. Rows that
-    share an id count as one document; rows with a null id take no part and stay as they are. A null text
-    stays null. A text of which nothing is left becomes empty; its row stays. No rows: no rows.
+    share an id are one document: they don't repeat one another, and each is cut by its own text. Rows with a null id take
+    no part and stay as they are. A null text stays null. A text of which nothing is left becomes empty; its row stays.
+    No rows: no rows. Other columns may have any name; one named `removed` is replaced.
     """
-    spots = repeated(docs, id_col, text_col, run, min_words).select(F.col("doc").alias("_doc"), F.col("spots").alias("_spots")).hint("shuffle_hash")
-    both = docs.join(spots, docs[id_col] == spots["_doc"], "left").drop("_doc")
-    names = [c for c in docs.columns]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "removed"])
+    taken = {c.lower() for c in docs.columns}
+    doc, row, held_at = (next(n for k in range(len(taken) + 1) if (n := f"_{x}{k}") not in taken) for x in ("doc", "row", "spots"))
+    spots = repeated(docs, id_col, text_col, run, min_words).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("spots").alias(held_at)).hint("shuffle_hash")
+    both = docs.join(spots, (docs[id_col] == spots[doc]) & (row_key(docs[text_col]) == spots[row]), "left").drop(doc, row)
+    names = list(docs.columns)
     at = names.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
