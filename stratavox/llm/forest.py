@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,115 +16,165 @@ from stratavox.operators.components import connected_components
 from stratavox.runtime import settle
 
 COSINE = 0.93
-#: Vectors that the trees' split points are fitted on, those with the smallest hash of the id; all rows are indexed.
-SAMPLE_ROWS = 20_000
 #: Vectors of a leaf that isn't split further, and of one side of a cell of a leaf that can't be.
-LEAF_ROWS = 256
-CELL_ROWS = 512
-MIN_TREES = 6
+LEAF_ROWS = 2048
+CELL_ROWS = 2048
+#: Sampled vectors that the splits of one node are fitted on, and the least that one split is fitted on. All rows are indexed.
+SAMPLE_ROWS, SPLIT_ROWS = 1024, 32
+#: Chance that a pair just at the threshold is missed by all trees, and the trees at least.
+MISS, MIN_TREES = 1e-5, 3
 SEED = 20_240_607
-#: A split that sends more than this share of its rows to both sides is not worth making.
-MAX_SPILL = 0.5
-
-
-class Forest:
-    """Trees of (label, dimension) groups; each node has a direction, a threshold and children (negative: leaf)."""
-
-    def __init__(self, cosine: float):
-        self.cosine = cosine
-        #: by group: list of trees; a tree is (directions, thresholds, left, right)
-        self.trees: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-    def margin(self, dim: int) -> float:
-        """Half a standard deviation of the projected distance of two unit vectors at the least cosine."""
-        return 0.5 * math.sqrt((2 - 2 * self.cosine) / dim)
-
-    def fit(self, label: int, sample: np.ndarray, scale: float) -> None:
-        """scale: rows of the table for each row of the sample."""
-        dim = sample.shape[1]
-        levels = max(1.0, math.log(max(len(sample) * scale / LEAF_ROWS, 1.01)) / math.log(1.74))
-        # a pair just at the threshold is separated by one level with a chance of 0.025 at most
-        trees = max(MIN_TREES, math.ceil(math.log(1e-5) / math.log(min(0.9, 0.025 * levels))))
-        self.trees[label, dim] = [self._grow(np.random.default_rng([SEED, abs(label), dim, t]), sample, scale) for t in range(trees)]
-
-    def _grow(self, rng: np.random.Generator, sample: np.ndarray, scale: float):
-        dirs, cuts, left, right = [], [], [], []
-        delta = self.margin(sample.shape[1])
-        leaves = 0
-
-        def node(rows: np.ndarray, depth: int) -> int:
-            nonlocal leaves
-            if len(rows) * scale > LEAF_ROWS and len(rows) >= 16 and depth < 60:
-                u = rng.standard_normal(sample.shape[1])
-                u /= np.linalg.norm(u)
-                p = sample[rows] @ u
-                cut = float(np.median(p))
-                a, b = rows[p <= cut + delta], rows[p > cut - delta]
-                if len(a) + len(b) - len(rows) <= MAX_SPILL * len(rows) and len(a) < len(rows) and len(b) < len(rows):
-                    i = len(dirs)
-                    dirs.append(u)
-                    cuts.append(cut)
-                    left.append(0)
-                    right.append(0)
-                    left[i] = node(a, depth + 1)
-                    right[i] = node(b, depth + 1)
-                    return i
+#: A split that sends more than this share of its rows to both sides is not worth making; directions that are tried.
+MAX_SPILL, TRIES = 0.5, 3
+
+
+def margin(dim: int, cosine: float) -> float:
+    """Half a standard deviation of the projected distance of two unit vectors at the least cosine."""
+    return 0.5 * math.sqrt((2 - 2 * cosine) / dim)
+
+
+def trees_for(n):
+    """Trees of a group of n rows, as a column. A level keeps 0.575 of a node's rows, spill included, and separates a pair
+    just at the threshold with a chance of 0.025 at most."""
+    levels = F.greatest(F.lit(1.0), F.log(n / LEAF_ROWS) / math.log(1.74))
+    trees = F.ceil(F.lit(math.log(MISS)) / F.log(F.least(F.lit(0.9), levels * 0.025)))
+    return F.when(n <= LEAF_ROWS, 1).otherwise(F.greatest(F.lit(MIN_TREES), trees)).cast("int")
+
+
+def directions(node: int, tries: int, dim: int) -> np.ndarray:
+    """The random directions of a node's splits, the same wherever they are made."""
+    u = np.random.default_rng([SEED, node & 0xFFFFFFFFFFFFFFFF]).standard_normal((tries, dim))
+    return u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+class Splits:
+    """Some levels of splits below one node. A split has a direction by its number, a threshold and children (negative: leaf)."""
+
+    #: Most splits of one node, and so most directions.
+    MOST = 2 * TRIES * SAMPLE_ROWS // SPLIT_ROWS
+
+    @staticmethod
+    def fit(node: int, x: np.ndarray, scale: float, cosine: float, leaf_rows: int) -> list[tuple[int, float, int, int]]:
+        """From a sample of unit vectors; scale: rows of the node for each row of the sample. No splits: it can't be split."""
+        delta, every, out = margin(x.shape[1], cosine), directions(node, Splits.MOST, x.shape[1]), []
+        used = leaves = 0
+
+        def grow(rows: np.ndarray) -> int:
+            nonlocal used, leaves
+            if len(rows) * scale > leaf_rows and len(rows) >= min(SPLIT_ROWS, len(x)):
+                for _ in range(TRIES):
+                    if used == len(every):
+                        break
+                    k, used = used, used + 1
+                    p = x[rows] @ every[k]
+                    cut = float(np.median(p))
+                    a, b = rows[p <= cut + delta], rows[p > cut - delta]
+                    if len(a) + len(b) - len(rows) <= MAX_SPILL * len(rows) and len(a) < len(rows) and len(b) < len(rows):
+                        i = len(out)
+                        out.append((k, cut, 0, 0))
+                        out[i] = (k, cut, grow(a), grow(b))
+                        return i
             leaves += 1
             return -leaves
 
-        node(np.arange(len(sample)), 0)
-        return np.array(dirs).reshape(-1, sample.shape[1]), np.array(cuts), np.array(left, np.int64), np.array(right, np.int64)
-
-    def leaves(self, label: int, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each tree, (rows, leaf numbers from 0) of unit vectors; a row near a threshold is in several leaves."""
-        out = []
-        delta = self.margin(x.shape[1])
-        for dirs, cuts, left, right in self.trees.get((label, x.shape[1]), [(np.zeros((0, x.shape[1])),) * 4]):
-            rows, leaf = [], []
-            stack = [(0 if len(dirs) else -1, np.arange(len(x)))]
-            while stack:
-                i, r = stack.pop()
-                if not len(r):
-                    continue
-                if i < 0:
-                    rows.append(r)
-                    leaf.append(np.full(len(r), -i - 1))
-                    continue
-                p = x[r] @ dirs[i]
-                stack += [(int(left[i]), r[p <= cuts[i] + delta]), (int(right[i]), r[p > cuts[i] - delta])]
-            out.append((np.concatenate(rows), np.concatenate(leaf)))
+        grow(np.arange(len(x)))
         return out
 
+    @staticmethod
+    def route(node: int, splits: list[tuple[int, float, int, int]], x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, leaf numbers from 1) of unit vectors; a row near a threshold is in several leaves."""
+        delta, every = margin(x.shape[1], cosine), directions(node, Splits.MOST, x.shape[1])
+        rows, leaf = [], []
+        stack = [(0 if splits else -1, np.arange(len(x)))]
+        while stack:
+            i, r = stack.pop()
+            if not len(r):
+                continue
+            if i < 0:
+                rows.append(r)
+                leaf.append(np.full(len(r), -i))
+                continue
+            k, cut, left, right = splits[i]
+            p = x[r] @ every[k]
+            stack += [(left, r[p <= cut + delta]), (right, r[p > cut - delta])]
+        return np.concatenate(rows), np.concatenate(leaf)
 
-def _unit(values: list) -> np.ndarray:
-    x = np.array(values, np.float64)
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, of components of any size."""
+    x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _index(shared):
-    """Rows (rep, n, label, vec) become one row per leaf: the leaf's key, and all leaves of the vector."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equal lengths."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+_SPLIT = "array<struct<k:int,cut:double,left:int,right:int>>"
+
+
+def _fit(cosine: float, leaf_rows: int):
+    """The sample (node, n, vec) of one node gives (node, splits)."""
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("cut", pa.float64()), ("left", pa.int32()), ("right", pa.int32())]))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, n = table.column("node")[0].as_py(), table.column("n")[0].as_py()
+        splits = Splits.fit(node, _unit(_matrix(table.column("vec"))), n / table.num_rows, cosine, leaf_rows)
+        return pa.table([pa.array([node], pa.int64()), pa.array([[dict(zip(("k", "cut", "left", "right"), x, strict=True)) for x in splits]], kind)], ["node", "splits"])
+
+    return run
+
+
+def _route(cosine: float):
+    """Rows (key, node, vec, splits) become one row (key, node, leaf) per leaf; leaf 0: the node stays as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
         for b in batches:
-            labels, vecs = np.asarray(b.column(2)), b.column(3).to_pylist()
-            dims = np.array([len(v) for v in vecs], np.int64)
-            for label, dim in sorted(set(zip(labels.tolist(), dims.tolist(), strict=True))):
-                own = np.flatnonzero((labels == label) & (dims == dim))
-                found = forest.leaves(label, _unit([vecs[i] for i in own]))
-                # tree and leaf in one number: trees are fewer than 2^10, leaves of a tree fewer than 2^40
-                row = np.concatenate([r for r, _ in found])
-                key = np.concatenate([leaf + (t << 40) for t, (_, leaf) in enumerate(found)])
-                order = np.lexsort((key, row))
-                row, key = row[order], key[order]
-                counts = np.bincount(row, minlength=len(own))
-                every = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key))
-                take = pa.array(own[row])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim, np.int32)), pa.array(key), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take), every.take(pa.array(row))], ["dim", "leaf", "rep", "n", "label", "vec", "leaves"])
+            key, node = np.asarray(b.column(0)), np.asarray(b.column(1))
+            every, first, inv = np.unique(node, return_index=True, return_inverse=True)
+            order, cut = np.argsort(inv, kind="stable"), np.cumsum(np.bincount(inv))[:-1]
+            out = [(np.zeros(0, np.int64),) * 3]
+            for x, at, own in zip(every.tolist(), first.tolist(), np.split(order, cut) if len(every) else [], strict=True):
+                splits = [tuple(s.values()) for s in b.column(3)[at].as_py() or []]
+                if splits:
+                    rows, leaf = Splits.route(x, splits, _unit(_matrix(b.column(2).take(pa.array(own)))), cosine)
+                    out.append((key[own[rows]], node[own[rows]], leaf))
+                else:
+                    out.append((key[own], node[own], np.zeros(len(own), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "node", "leaf"])
 
     return run
 
 
+def leaves(reps: DataFrame, groups: DataFrame, cosine: float) -> DataFrame:
+    """(key, leaf) of vectors (key, label, vec): every vector in every tree of its group (label, dim, n, trees).
+
+    Nodes of more than LEAF_ROWS rows are split some levels at a time, by thresholds that tasks of the cluster fit on a
+    sample of each such node; so leaves are small however many rows there are, and nothing of the trees passes
+    the driver. Nodes that can't be split stay large.
+    """
+    rooted = reps.join(groups, (reps["label"] == groups["label"]) & (F.size(reps["vec"]) == groups["dim"]))
+    tree = F.explode(F.sequence(F.lit(1), F.col("trees")))
+    rooted = rooted.select("key", "vec", "n", reps["label"], "dim", tree.alias("tree")).select("key", F.xxhash64("label", "dim", "tree").alias("node"), "n", "vec")
+    done = [rooted.where(F.col("n") <= LEAF_ROWS).select("key", F.col("node").alias("leaf"))]
+    large = rooted.where(F.col("n") > LEAF_ROWS)
+    while not large.isEmpty():
+        share = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) < F.lit(float(1 << 30) * SAMPLE_ROWS) / F.col("n")
+        splits = settle(large.where(share).select("node", "n", "vec").groupBy("node").applyInArrow(_fit(cosine, LEAF_ROWS), f"node long, splits {_SPLIT}"), "splits")
+        asked = large.select("key", "node", "vec").join(splits, "node", "left").select("key", "node", "vec", "splits")
+        routed = settle(map_batches(asked, _route(cosine), "key long, node long, leaf long", rows=10_000), "routed")
+        below = routed.where("leaf > 0").select("key", F.xxhash64("node", "leaf").alias("node"))
+        sizes = settle(below.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS), "large")
+        done.append(routed.where("leaf = 0").select("key", F.col("node").alias("leaf")))
+        done.append(below.join(sizes, "node", "left_anti").select("key", F.col("node").alias("leaf")))
+        large = below.join(sizes, "node").join(reps.select("key", "vec"), "key").select("key", "node", "n", "vec")
+    return reduce(DataFrame.unionByName, done)
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
     """Whether rows of a and b (leaves, padded) share no leaf before this one."""
     ok = np.ones(len(a), bool)
@@ -163,17 +214,17 @@ def _compare(cosine: float):
         held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
+            t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            get = lambda c: t.column(c).combine_chunks()
-            lists = get("leaves").to_pylist()
-            width = max(map(len, lists))
-            padded = np.array([v + [1 << 60] * (width - len(v)) for v in lists], np.int64)
+            lists = t.column("leaves").combine_chunks()
+            width = np.diff(np.asarray(lists.offsets))
+            padded = np.full((len(lists), int(width.max())), 1 << 62, np.int64)
+            padded[np.arange(padded.shape[1])[None, :] < width[:, None]] = np.asarray(lists.flatten())
             i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
-            side = (np.asarray(get("own")) == j).astype(int)
-            r, links, node, root = cell(side, int(t.column("leaf")[0].as_py()), np.asarray(get("rep")), np.asarray(get("n")), _unit(get("vec").to_pylist()), padded, i == j)
+            side = (np.asarray(t.column("own")) == j).astype(int)
+            r, links, node, root = cell(side, int(t.column("leaf")[0].as_py()), np.asarray(t.column("key")), np.asarray(t.column("n")), _unit(_matrix(t.column("vec"))), padded, i == j)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([r, node])), pa.array(np.concatenate([links, np.zeros(len(node), np.int64)])), pa.array([None] * len(r) + root.tolist(), pa.int64())], ["rep", "links", "root"]
+                [pa.array(np.concatenate([r, node])), pa.array(np.concatenate([links, np.zeros(len(node), np.int64)])), pa.array([None] * len(r) + root.tolist(), pa.int64())], ["key", "links", "root"]
             )
 
         key = None
@@ -195,54 +246,45 @@ def _compare(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors with the same non-null label link if their cosine, in double precision, is `cosine` or more.
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null label or
     null id, link with nothing: n_links 0, component_id their own id. Equal vectors of a label are compared once;
-    each counts the others as links. Repeated rows (same id) are separate vectors that link with each other.
+    each counts the others as links. Rows that share an id are separate vectors, equal or not: each has its own links, and
+    equal ones link with each other. Other columns don't matter. No rows: no rows.
 
-    The trees' thresholds come from at most `sample_rows` vectors; every vector is put into every tree, into
-    both children where it is near a threshold. A leaf that can't be split is dealt over a grid of
-    cells. A cell counts a pair only in the first leaf that its vectors share, so neither pairs nor their
+    Every vector is put into every tree, into both children where it is near a threshold. A leaf that can't be split is
+    dealt over a grid of cells. A cell counts a pair only in the first leaf that its vectors share, so neither pairs nor their
     repeats are ever shuffled: a cell returns counts and star edges, linear in its rows.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[label_col].cast("long").alias("label"), vectors[vec_col].cast("array<double>").alias("vec"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[label_col].cast("long").alias("label"), vectors[vec_col].cast(kind if kind == "array<float>" else "array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & finite
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     usable = rows.where("good")
-    reps = settle(usable.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "label", "vec"), "vectors")
-    total = {(int(r["label"]), int(r["dim"])): int(r["n"]) for r in reps.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") > LEAF_ROWS).collect()}
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("label", "vec").toPandas() if total else None
-    forest = Forest(cosine)
-    if sample is not None:
-        dims = sample["vec"].map(len)
-        for (label, dim), n in total.items():
-            own = sample[(sample["label"] == label) & (dims == dim)]
-            if len(own) >= 32:
-                forest.fit(label, _unit(list(own["vec"])), n / len(own))
-    shared = spark.sparkContext.broadcast(forest)  # bounded by sample_rows: a leaf holds 16 sampled vectors or more
-    indexed = settle(map_batches(reps.select("rep", "n", "label", "vec"), _index(shared), "dim int, leaf long, rep long, n long, label long, vec array<double>, leaves array<long>"), "leaves")
-    sizes = indexed.groupBy("label", "dim", "leaf").agg(F.count("*").alias("size")).where(F.col("size") > CELL_ROWS)
-    big = settle(sizes.select("label", "dim", "leaf", F.ceil(F.col("size") / CELL_ROWS).cast("int").alias("parts")), "big")
-    one = F.lit(0)
-    if big.isEmpty():
-        dealt = indexed.select("*", one.alias("own"), one.alias("i"), one.alias("j"))
-    else:
-        key = ["label", "dim", "leaf"]
-        small = indexed.join(big, key, "left_anti").select("*", one.alias("own"), one.alias("i"), one.alias("j"))
-        own = F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")
-        wide = indexed.join(big, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = small.unionByName(wide.select(*indexed.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    cells = dealt.repartition("label", "dim", "leaf", "i", "j").sortWithinPartitions("label", "dim", "leaf", "i", "j")
-    found = settle(map_batches(cells, _compare(cosine), "rep long, links long, root long"), "links")
-    links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where("root is not null"), "rep", "root")
-    merged = reps.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    known = merged.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    reps = settle(usable.groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()), "vectors")
+    sizes = reps.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
+    groups = settle(sizes.withColumn("trees", trees_for(F.col("n"))), "groups")
+    found = settle(leaves(reps.select("key", "label", "vec"), groups, cosine), "leaves")
+    many = found.groupBy("leaf").agg(F.count("*").alias("size")).where(F.col("size") > CELL_ROWS)
+    big = settle(many.select("leaf", F.ceil(F.col("size") / CELL_ROWS).cast("int").alias("parts")), "big")
+    lists = found.groupBy("key").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # bounded by trees and spill
+    placed = lists.join(reps.select("key", "n", "label", F.size("vec").alias("dim"), "vec"), "key").select("*", F.explode("leaves").alias("leaf"))
+    dealt = placed.join(big, "leaf", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("key"), parts.cast("long")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = dealt.select("label", "dim", "leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "vec", "leaves")
+    cells = cells.repartition("label", "dim", "leaf", "i", "j").sortWithinPartitions("label", "dim", "leaf", "i", "j")
+    linked = settle(map_batches(cells, _compare(cosine), "key long, links long, root long"), "links")
+    links = linked.where("links > 0").groupBy("key").agg(F.sum("links").alias("links"))
+    roots = connected_components(linked.where("root is not null"), "key", "root")
+    merged = reps.join(links, "key", "left").join(roots.withColumnRenamed("root", "top"), F.col("key") == F.col("node"), "left").withColumn("top", F.coalesce("top", "key"))
+    least = merged.groupBy("top").agg(F.min("first").alias("component_id"))
+    known = merged.join(least, "top").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     full = usable.join(known, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return full.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -277,7 +319,7 @@ def brute_force(rows: list[tuple[int, int | None, list[float] | None]], cosine:
     for i, (lab, v) in good.items():
         by_label.setdefault((lab, len(v)), []).append(i)
     for ids in by_label.values():
-        x = _unit([good[i][1] for i in ids])
+        x = _unit(np.array([good[i][1] for i in ids]))
         for p, q in zip(*np.nonzero(np.triu(x @ x.T >= cosine, 1)), strict=True):
             i, j = ids[p], ids[q]
             links[i] += 1
