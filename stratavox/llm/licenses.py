@@ -104,14 +104,14 @@ def scan(text: str, lib: Library, lex: Lexer, containment: float = CONTAINMENT)
                 for n, first, last in _places(hit, part[hit], len(mine), containment):
                     places[t, k * half + first, k * half + last] = n, n / len(mine)
     # of templates on the same shingles the one with the most stays: versions of one notice differ by a word
-    kept: dict[int, tuple[float, int, int]] = {}
+    kept: list[tuple[int, float, int, int]] = []
     taken = np.zeros(len(s), bool)
     for (t, first, last), (_, share) in sorted(places.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
         own = first + np.flatnonzero(np.isin(s[first : last + 1], lib.shingle_sets[t]))
         if 2 * taken[own].sum() <= len(own):
             taken[own] = True
-            kept.setdefault(t, (share, int(keep[first]), int(keep[last + SHINGLE - 1]) + 1))
-    return [(lib.names[t], *kept[t]) for t in sorted(kept)]
+            kept.append((t, share, int(keep[first]), int(keep[last + SHINGLE - 1]) + 1))
+    return [(lib.names[t], *place) for t, *place in sorted(kept, key=lambda x: (x[0], x[2]))]
 
 
 def _places(at: np.ndarray, h: np.ndarray, size: int, containment: float) -> list[tuple[int, int, int]]:
@@ -168,8 +168,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     of those that mostly match the same shingles of the text the one with the most.
 
     Shingles of five words in lower case without marks; a template is held if a window has at least
-    `containment` of its distinct shingles. Of several places the fullest, then the first, of those not taken by
-    another template is given, as
+    `containment` of its distinct shingles. Every place that isn't mostly taken by a fuller one is given, a row each, as
     numbers of white-space separated words. Null, empty and short texts hold nothing; repeated rows give
     repeated results; a null id is kept.
     """

@@ -63,6 +63,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 with a table of redirects, as the given pages hold no link: every url redirects to a page of its host."""
+    pages = table(spark, sf_dir, "pages")
+    host = urlfilter.host_of(F.col("url"))
+    moved = pages.where(host != "").select(F.col("url").alias("src"), F.concat(F.lit("https://www."), host, F.lit("/de/")).alias("dst"))
+    return urlfilter.judge(pages, redirects=moved)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,9 +86,11 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "url_aliases": url_aliases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_vectors": forest.oracle_sql(),
     "op9_url_filter": urlfilter.oracle_sql(),
+    "url_aliases": urlfilter.oracle_sql(redirects=f"SELECT url, 'https://www.' || {urlfilter.host_sql('url')} || '/de/' FROM pages WHERE {urlfilter.host_sql('url')} <> ''"),
 }

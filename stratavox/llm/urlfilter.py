@@ -14,6 +14,9 @@ from stratavox.runtime import settle
 #: (action, host and path) of the rules of the contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
+#: Parts that the rows of one host are dealt over, so that a host with very many pages isn't the work of one task.
+PARTS = 16
+
 _TAG = r"(?is)<(?:link|meta)\b[^>]*?(?:\brel\s*=\s*[\"']?\s*canonical\b|\bhttp-equiv\s*=\s*[\"']?\s*refresh\b)[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _URL = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*['\"]?([^\"'>\s]+)"
@@ -99,7 +102,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
         found = matching_rule(urls, rules)
         fits = F.filter("found", lambda r: F.col("path").startswith(r["rule_path"]))
         best = F.array_max(fits)
-        return urls.join(found, "host", "left").withColumn("best", best).drop("found")
+        dealt = urls.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int"))
+        found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))  # hosts with a rule only
+        return dealt.join(found, ["host", "part"], "left").withColumn("best", best).drop("found", "part")
 
     own = ruled(base)
     ends = links.select(F.explode(F.array("src", "dst")).alias("url")).distinct()
@@ -112,11 +117,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
     return all_rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), by.alias("decided_by"))
 
 
-def oracle_sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
-    """The same in one DuckDB statement, by recursive reachability; canonical links and refresh tags included."""
+def host_sql(url: str) -> str:
+    """host_of() in DuckDB."""
+    return f"coalesce(translate(regexp_extract({url}, '^(?s:.*?)://([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}'), '')"
+
+
+def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, redirects: str = "") -> str:
+    """The same in one DuckDB statement, by recursive reachability; canonical links, and redirects by a SELECT of src and dst."""
     values = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}', '{a}')" for a, r in rules)
-    up = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    host = lambda u: f"coalesce({up.format(f'''regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1)''')}, '')"
+    host = host_sql
     path = lambda u: f"coalesce(regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
     rest = lambda u: f"regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^#]*)', 1)"
     node = lambda u: f"CASE WHEN {u} LIKE '%://%' THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
@@ -125,7 +134,7 @@ WITH RECURSIVE rules(host, path, rule, action) AS (VALUES {values}),
 tags AS (
   SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*?\\brel\\s*=\\s*["'']?\\s*canonical\\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL
 ), links AS (
-  SELECT src, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1) AS dst FROM tags
+  SELECT src, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1) AS dst FROM tags{" UNION ALL " + redirects if redirects else ""}
 ), edges AS (
   SELECT {node('src')} AS a, {node('dst')} AS b FROM links WHERE dst LIKE '%://%'
 ), linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
