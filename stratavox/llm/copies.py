@@ -79,6 +79,14 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(pos)
 
 
+def is_own_key(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether a key is made of the nearest codewords of its fingerprint's segments, and not of farther ones."""
+    u = fp.view(np.uint64)
+    near = [codewords((u >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64))[:, 0] for at, n in SEGMENTS]
+    own = np.stack([kind << 24 | near[i] << 12 | near[j] for kind, (i, j) in enumerate(combinations(range(3), 2))])
+    return own[key >> 24, np.arange(len(key))] == key
+
+
 def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A lightest spanning forest of the pairs (a, b): linear in nodes, and whatever is connected by light pairs
     stays connected by pairs as light."""
@@ -228,9 +236,7 @@ def candidate_edges(distinct: DataFrame, bits: int = NEAR_BITS, hot: int = HOT)
         wide = rows.join(many, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = cold.unionByName(wide.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "w"))
     cells = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    return settle(cells.mapInArrow(_near_in_cells(bits), "kind int, a long, b long").distinct(), "candidates")
+    return settle(map_batches(cells, _near_in_cells(bits), "kind int, a long, b long", rows=100_000).distinct(), "candidates")
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
@@ -240,14 +246,14 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.uint64)
 
 
-def linked(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, equal: bool, bits: int, least: float) -> list[tuple[int, int]]:
+def linked(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, equal: bool, bits: int, least: float, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of rows that have the similarity: every pair is compared, unless links found
-    before connect it. Equal fingerprints count if `equal`, others within `bits` if not; with sides, pairs of unequal
-    sides only."""
+    before connect it, or rows have the same `known` group. Equal fingerprints count if `equal`, others within `bits` if
+    not; with sides, pairs of unequal sides only."""
     n, out = len(fp), []
     size = np.array([len(s) for s in sets])
     sketch = np.stack([odd_sketch(s) for s in sets])
-    root = list(range(n))
+    root = list(range(n)) if known is None else (lambda first, inv: first[inv])(*np.unique(known, return_index=True, return_inverse=True)[1:]).tolist()
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -279,15 +285,15 @@ def linked(fp: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, equa
 
 
 def _link_cells(bits: int, least: float):
-    """Rows (kind, k, i, j, own, node, fp, s) sorted by cell give similar edges, those of a run of cells thinned to a forest."""
+    """Rows (kind, k, i, j, own, node, fp, root, s) sorted by cell give similar edges, those of a run of cells thinned to a forest."""
 
     def of(t: pa.Table) -> pa.RecordBatch:
-        kind, k, i, j, own, node, fp = (np.asarray(t.column(c)) for c in range(7))
+        kind, k, i, j, own, node, fp, known = (np.asarray(t.column(c)) for c in range(8))
         a, b = [], []
         for s, e in zip(*_starts(kind, k, i, j), strict=True):
-            sets = [np.frombuffer(x, np.uint64) for x in t.column(7).slice(s, e - s).to_pylist()]
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(8).slice(s, e - s).to_pylist()]
             side = own[s:e] if i[s] != j[s] else None
-            for u, v in linked(fp[s:e].view(np.uint64), sets, side, kind[s] == 2, bits, least):
+            for u, v in linked(fp[s:e].view(np.uint64), sets, side, kind[s] == 2, bits, least, known[s:e]):
                 a.append(node[s + u])
                 b.append(node[s + v])
         a, b = forest(np.array(a, np.int64), np.array(b, np.int64), np.zeros(len(a)))
@@ -296,19 +302,47 @@ def _link_cells(bits: int, least: float):
     return lambda batches: _by_cell(batches, 4, of)
 
 
-def dense_edges(members: DataFrame, texts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) of similar texts of dense groups, members (kind, k, fp): each group is dealt over a grid of cells of
-    bounded rows and bytes, and compared there."""
-    rows = members.join(texts, "fp")
+def cell_edges(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of similar texts of groups, rows (kind, k, fp, node, n_words, root): each group is dealt over a grid of cells of
+    bounded rows and bytes, and compared there. Texts of the same root are connected already."""
     parts = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(8 * F.sum("n_words") / CELL_BYTES)).cast("int")
     sizes = settle(rows.groupBy("kind", "k").agg(parts.alias("parts")), "dense")
     own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")).otherwise(F.lit(0))
     wide = rows.join(sizes, ["kind", "k"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = wide.select("kind", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp").join(sets, "node")
-    cells = cells.select("kind", "k", "i", "j", "own", "node", "fp", "s").repartition("kind", "k", "i", "j").sortWithinPartitions("kind", "k", "i", "j")
+    cells = wide.select("kind", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "fp", "root").join(sets, "node")
+    cells = cells.select("kind", "k", "i", "j", "own", "node", "fp", "root", "s").repartition("kind", "k", "i", "j").sortWithinPartitions("kind", "k", "i", "j")
     return map_batches(cells, _link_cells(NEAR_BITS, least), "a long, b long")
 
 
+def dense_edges(members: DataFrame, texts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of similar texts of dense groups, members (kind, k, fp).
+
+    Near copies share many keys. First they are compared under the keys of their nearest codewords, three at most a text.
+    Then the other keys follow, without those whose texts are all connected by now: their pairs could
+    connect nothing. Keys with one codeword in common are taken together, as many as leave groups of a quarter of a cell's
+    rows on average, so that a text isn't sent to one group for each of its keys; a group compares all that its keys would."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, k, fp = (np.asarray(b.column(c)) for c in range(3))
+            own = kind == 2
+            own[~own] = is_own_key(k[~own], fp[~own])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], ["kind", "k", "fp", "nearest"])
+
+    rows = settle(map_batches(members, mark, "kind int, k long, fp long, nearest boolean", rows=KEYED).join(texts, "fp"), "dense_texts")
+    columns = ["kind", "k", "fp", "node", "n_words"]
+    first = settle(cell_edges(rows.where("nearest").select(*columns, F.col("node").alias("root")), sets, least), "nearest_edges")
+    roots = connected_components(first).select(F.col("node").alias("linked"), F.col("root").alias("top"))
+    rest = rows.where("kind = 1").join(roots, F.col("node") == F.col("linked"), "left").select(*columns, F.coalesce("top", "node").alias("root"))
+    rest = settle(rest, "dense_rest")
+    apart = rest.groupBy("kind", "k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("kind", "k")
+    rest = settle(rest.join(apart, ["kind", "k"], "left_semi"), "dense_apart")
+    keep = min(1 << 12, max(1, 4 * rest.count() // (3 * CELL_ROWS << 12)))  # values of the first codeword's number that stay apart
+    second = F.col("k").bitwiseAND(F.lit(0xFFF))
+    grouped = (F.shiftright("k", 24) * (1 << 24)) + second * (1 << 12) + F.pmod(F.shiftright("k", 12), F.lit(keep))
+    return first.unionByName(cell_edges(rest.withColumn("k", grouped).distinct(), sets, least))
+
+
 def similar_edges(docs: DataFrame, id_col: str, text_col: str, least: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) of ids of rows whose five-word shingles have a Jaccard similarity of `least` or more, enough to
     connect all such pairs of equal fingerprints or of a shared key: nothing is thinned before its similarity is known.

@@ -185,7 +185,6 @@ def link_edges(distinct: DataFrame, bits: int = 3, hot: int = HOT) -> DataFrame:
     """
     if not 0 <= bits <= 3:
         raise ValueError("the Golay keys find fingerprints within 0 to 3 bits")
-    spark = distinct.sparkSession
     rows = map_batches(distinct.select("fp"), _key_rows((0, 1)), "k long, r byte, fp long")
     held = map_batches(distinct.select("fp"), _key_rows((0,)), "k long, r byte, fp long")
     many = settle(held.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k", F.ceil(F.col("n") / hot).cast("int").alias("cells")), "hot")
@@ -198,8 +197,7 @@ def link_edges(distinct: DataFrame, bits: int = 3, hot: int = HOT) -> DataFrame:
         warm = warm.select("k", "r", "fp", F.when(F.col("r") == 0, F.col("own") * F.col("cells") + F.col("over")).otherwise(F.col("over") * F.col("cells") + F.col("own")).alias("cell"))
         rows = rows.join(many, "k", "left_anti").withColumn("cell", F.lit(0).cast("long")).unionByName(warm)
     dealt = rows.select("k", "cell", "r", "fp").repartition("k", "cell").sortWithinPartitions("k", "cell", "r")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    return dealt.mapInArrow(_runs_to_edges(bits), "a long, b long")
+    return map_batches(dealt, _runs_to_edges(bits), "a long, b long", rows=100_000)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 3, shingle: int = 3) -> DataFrame:
