@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.blocks import map_batches, pick, strings
 from stratavox.llm.tokens import chunk_tokenizer
-from stratavox.runtime import settle
+from stratavox.runtime import settle, ship
 
 CAPACITY = 4096
 END_ID = 1
@@ -150,6 +150,7 @@ def rounds(classes: DataFrame, capacity: int) -> DataFrame:
     Lengths are whole numbers up to the capacity, so rows are runs of equal documents or gaps, and what a range holds
     follows the capacity, whatever the number of documents.
     """
+    ship(classes.sparkSession)
     far = F.col("length") > capacity // 2
     seq, zero = F.col("length") * F.lit(1 << 40), F.lit(0).cast("long")  # numbers of their own for each length
 
