@@ -131,12 +131,16 @@ class WordMemo(dict):
         found = self.old.get(word)
         if found is None:
             found = self.fn(word)
+        self.keep(word, found)
+        return found
+
+    def keep(self, word, found) -> None:
+        """Take a result that is known from elsewhere."""
         if len(word) > self.longest:
-            return found
+            return
         if self.held >= self.size:
             self.old = dict(self)
             self.clear()
             self.held = 0
         self.held += getsizeof(word) + getsizeof(found) + self.ENTRY
         self[word] = found
-        return found

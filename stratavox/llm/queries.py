@@ -1,4 +1,4 @@
-"""Queries opN_<name> of the ten operators, and SQL for those that SQL can express."""
+"""Queries opN_<name> of the twelve operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm import decontaminate, forest, langid, licenses, packing, quality, simhash, substring, toxicity, urlfilter
+from stratavox.llm import bpe, decontaminate, forest, langid, licenses, packing, quality, runs, simhash, substring, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.plant_runs(table(spark, sf_dir, "documents")))
+    line = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(line, F.lit("\n"))).otherwise("")
+    milli = F.expr("1000 * top.length div top.period")
+    digests = [F.sha2(c, 256).alias(n) for c, n in ((lines, "runs_sha256"), (F.col("collapsed"), "collapsed_sha256"))]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"), *digests)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded, and decoded again from the ids alone."""
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), packed=True))
+    return done.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +101,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_bpe": op12_bpe,
     "url_aliases": url_aliases,
 }
 

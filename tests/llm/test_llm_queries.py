@@ -19,15 +19,17 @@ def test_names_and_contract_columns(spark, small):
         7: {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
         8: {"doc_id", "held_out", "lang_pred", "score"},
         9: {"page_id", "host", "path", "rule", "verdict"},
+        11: {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+        12: {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     }
     dealt = {n: q for n, q in Q.QUERIES.items() if n.startswith("op")}
     numbers = [int(n[2:].split("_")[0]) for n in dealt]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 13))
     for name, query in dealt.items():
         n = int(name[2:].split("_")[0])
         df = query(spark, small)
         assert columns.get(n, set()) <= set(df.columns)
-        if n in (1, 2, 4, 5, 8):
+        if n in (1, 2, 4, 5, 8, 11, 12):
             assert df.count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
