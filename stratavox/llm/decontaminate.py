@@ -41,13 +41,13 @@ def windows(plain: np.ndarray, typed: np.ndarray, flags: np.ndarray) -> tuple[np
 
 @dataclass
 class Item:
-    """A benchmark item: its words, their flags, and its windows by hash."""
+    """A benchmark item: its words, their flags, and by the hash of a window the places where it stands, as bits."""
 
     id: int
     words: list[str]
     flags: np.ndarray
     size: int
-    where: dict[int, list[int]]
+    where: dict[int, int]
     hashes: np.ndarray
 
 
@@ -56,11 +56,10 @@ def make_item(item: int, text: str, lex: Lexer) -> Item | None:
     plain, typed, keep, flags = lex.stream(chunks)
     if not len(keep):
         return None
-    where: dict[int, list[int]] = defaultdict(list)
+    where: dict[int, int] = defaultdict(int)
     for h in windows(plain, typed, flags):
         for k, x in enumerate(h.tolist()):
-            if k not in where[x]:
-                where[x].append(k)
+            where[x] |= 1 << k
     return Item(item, [lex.core(chunks[k]) for k in keep], flags, max(0, len(keep) - SHINGLE + 1), dict(where), np.array(sorted(where), np.uint64))
 
 
@@ -69,38 +68,6 @@ def make_block(items: list[tuple[int, str]]) -> list[Item]:
     return [x for x in (make_item(i, t, lex) for i, t in items) if x is not None]
 
 
-def _windows(spots: list[tuple[int, int]], size: int, need: float) -> list[tuple[int, int, int]]:
-    """(distinct shingles, first spot, end spot) of the windows of 1.25 times an item's length, one for each last hit, that
-    hold `need` of its shingles or more, the fullest first. Hits are (document position, shingle), sorted."""
-    width, inside, left, out = size + size // 4 + 1, defaultdict(int), 0, []
-    for at, (p, q) in enumerate(spots):
-        inside[q] += 1
-        while p - spots[left][0] >= width:
-            x = spots[left][1]
-            inside[x] -= 1
-            if not inside[x]:
-                del inside[x]
-            left += 1
-        if len(inside) >= need:
-            out.append((len(inside), left, at + 1))
-    return sorted(out, key=lambda w: (-w[0], w[2]))
-
-
-def _alignments(hits: list[tuple[int, int]], need: float) -> Iterator[dict[int, int]]:
-    """Shifts from the item's tokens to the document's: each token by the offset that most hits over it agree on, then by
-    each single offset with enough hits."""
-    votes: dict[int, int] = defaultdict(int)
-    for p, k in hits:
-        votes[p - k] += 1
-    shift: dict[int, int] = {}
-    for _, d, k in sorted((-votes[p - k], p - k, k) for p, k in hits):
-        for j in range(k, k + SHINGLE):
-            shift.setdefault(j, d)
-    yield shift
-    for d in [d for d, n in votes.items() if n >= need]:
-        yield {k + j: d for p, k in hits if p - k == d for j in range(SHINGLE)}
-
-
 def _slots_agree(pairs: list[tuple[str, str]]) -> tuple[bool, bool]:
     """Whether equal slots of the item are equal in the document, and whether any slot differs from the item's."""
     value: dict[str, str] = {}
@@ -125,32 +92,112 @@ def matches(text: str, items: list[Item], lex: Lexer, containment: float) -> lis
                 out.append((item.id, 1.0, "verbatim", int(keep[0]), int(keep[-1]) + 1))
             continue
         got = None
-        spots: set[tuple[int, int]] = set()
+        held: dict[int, int] = {}
         # names that open sentences: for items not held with these words as they are
         for streams, slot in ((three[:2], _SLOTS), (three[2:], _SLOTS | _OPENS)):
             for h in streams:
                 for p in np.flatnonzero(np.isin(h, item.hashes)).tolist():
-                    spots.update((p, k) for k in item.where[int(h[p])])
-            got = got or _place(sorted(spots), item, chunks, keep, flags, lex, containment, slot)
+                    held[p] = held.get(p, 0) | item.where[int(h[p])]
+            got = got or _place(held, item, chunks, keep, flags, lex, containment, slot)
         if got:
             out.append(got)
     return out
 
 
-def _place(hits: list[tuple[int, int]], item: Item, chunks: list[str], keep: np.ndarray, flags: np.ndarray, lex: Lexer, containment: float, slot: int) -> tuple[int, float, str, int, int] | None:
-    """The fullest place of sorted hits where the slots of the item agree, a verbatim one before others."""
+def _bits(mask: int) -> list[int]:
+    return [k for k in range(mask.bit_length()) if mask >> k & 1]
+
+
+def _offsets(held: dict[int, int], size: int, need: float) -> list[int]:
+    """Offsets (document position less item position) on which so many windows agree, the fullest first. Positions that
+    agree with the same windows of the item are counted together."""
+    groups: dict[int, list[int]] = defaultdict(list)
+    for p, mask in held.items():
+        groups[mask].append(p)
+    counts = np.zeros(max(held) + size + 1, np.int64)
+    for mask, at in groups.items():
+        k, p = np.array(_bits(mask)), np.array(at) + size
+        for i in range(0, len(p), max(1, (1 << 20) // len(k))):
+            counts += np.bincount((p[i : i + max(1, (1 << 20) // len(k)), None] - k).ravel(), minlength=len(counts))
+    good = np.flatnonzero(counts >= need)
+    return (good[np.argsort(-counts[good], kind="stable")] - size).tolist()
+
+
+def longest_chain(held: dict[int, int], at: list[int], size: int, need: float) -> list[tuple[int, int]]:
+    """The longest chain of pairs (document position, item position) that goes up in both, or none if it has fewer than `need`.
+    The common subsequence of two sequences, one addition of whole rows for each document position."""
+    full = (1 << size) - 1
+    row, rows = full, []
+    for p in at:
+        both = row & held[p]
+        row = (row + both | row & ~both) & full
+        rows.append(row)
+    if size - row.bit_count() < need:
+        return []
+    out, i, k = [], len(at) - 1, size - 1
+    while i >= 0 and k >= 0:
+        if rows[i] >> k & 1:
+            k -= 1
+        elif i and not rows[i - 1] >> k & 1:
+            i -= 1
+        else:
+            out.append((at[i], k))
+            i, k = i - 1, k - 1
+    return out[::-1]
+
+
+def _chains(held: dict[int, int], size: int, need: float) -> Iterator[list[tuple[int, int]]]:
+    """Pairs of one place each: first of single offsets, then chains over stretches of 1.25 times the item's length, for copies
+    with words put in or left out. Stretches start an eighth of the item apart and are as much longer, so none is missed."""
+    for d in _offsets(held, size, need):
+        yield [(k + d, k) for k in range(size) if held.get(k + d, 0) >> k & 1]
+    at, step = sorted(held), max(1, size // 8)
+    width, left, right = size + size // 4 + 1 + step, 0, 0
+    for start in range(at[0], at[-1] + 1, step):
+        while left < len(at) and at[left] < start:
+            left += 1
+        right = max(right, left)
+        while right < len(at) and at[right] < start + width:
+            right += 1
+        if right - left >= need and (found := longest_chain(held, at[left:right], size, need)):
+            yield _extended(held, found)
+
+
+def _extended(held: dict[int, int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A chain with the windows beyond its ends that go on at the same offsets: a stretch may have cut them off."""
+    (p, k), (q, j) = pairs[0], pairs[-1]
+    before, after = [], []
+    while k and held.get(p - 1, 0) >> (k - 1) & 1:
+        p, k = p - 1, k - 1
+        before.append((p, k))
+    while held.get(q + 1, 0) >> (j + 1) & 1:
+        q, j = q + 1, j + 1
+        after.append((q, j))
+    return before[::-1] + pairs + after
+
+
+def _place(held: dict[int, int], item: Item, chunks: list[str], keep: np.ndarray, flags: np.ndarray, lex: Lexer, containment: float, slot: int) -> tuple[int, float, str, int, int] | None:
+    """A place where the document holds the item and its slots agree, a verbatim one before others. `held`: for positions of the
+    document, the windows of the item that are equal, as bits.
+
+    Each window of the document stands for one of the item. Windows of placeholders alone say nothing of the template, so a
+    re-parameterised copy also holds `containment` of the windows that have a word of their own, of which there must be one."""
     need, best = containment * item.size, None
-    if len({k for _, k in hits}) < need:
+    if len(held) < need:
         return None
-    for n, left, right in _windows(hits, item.size, need):
-        first, last = hits[left][0], hits[right - 1][0]
-        for shift in _alignments(hits[left:right], need):
-            slots = [(item.words[j], lex.core(chunks[keep[j + d]])) for j, d in shift.items() if (item.flags[j] | flags[j + d]) & slot]
-            agree, differ = _slots_agree(slots)
-            if agree and (best is None or not differ):
-                best = (item.id, n / item.size, "reparameterised" if differ else "verbatim", int(keep[first]), int(keep[last + SHINGLE - 1]) + 1)
-            if agree and not differ:
-                return best
+    own = sum(1 << k for k in range(item.size) if not (item.flags[k : k + SHINGLE] & slot).all())
+    for pairs in _chains(held, item.size, need):
+        to: dict[int, int] = {}
+        for p, k in pairs:
+            for j in range(SHINGLE):
+                to.setdefault(k + j, p + j)
+        slots = [(item.words[j], lex.core(chunks[keep[p]])) for j, p in to.items() if (item.flags[j] | flags[p]) & slot]
+        agree, differ = _slots_agree(slots)
+        if not agree or differ and (best or not own or sum(own >> k & 1 for _, k in pairs) < containment * own.bit_count()):
+            continue
+        best = (item.id, len(pairs) / item.size, "reparameterised" if differ else "verbatim", int(keep[pairs[0][0]]), int(keep[pairs[-1][0] + SHINGLE - 1]) + 1)
+        if not differ:
+            return best
     return best
 
 
@@ -293,9 +340,11 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Numbers, units and names become typed placeholders; windows of five tokens join the windows of the items, without
     names typed, with them, and with capitalised words that open sentences taken for names as well. An item is held if
-    at least `containment` of its windows stand in one place of the document, and each slot value of the item is replaced
-    consistently there: "verbatim" if all slots are as in the item, else "reparameterised". Every place is tried, and a
-    verbatim one given first. Items shorter than a window match documents that consist of them alone.
+    at least `containment` of its windows stand in one place of the document, each of them for one window of the document and in the
+    item's order, and each slot value of the item is replaced consistently there: "verbatim" if all slots are as in the item, else
+    "reparameterised", which also asks for `containment` of the windows with a word that is no placeholder. Every offset with
+    enough windows is tried, and a verbatim place given first; copies with words put in or left out are aligned by one longest
+    chain for each stretch of the text. Items shorter than a window match documents that consist of them alone.
 
     The join asks for the windows of an item that fewest other items have, as many as no holder can lack, and a filter
     of bounded size stands before it, so that the documents are read once whatever the size of the benchmark.
