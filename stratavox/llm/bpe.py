@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -17,13 +17,13 @@ from stratavox.llm.blocks import WordMemo, map_batches, pick, strings, worker_ca
 from stratavox.llm.tokens import _byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Bytes of the memo of words, nodes of a trie, verdicts on pairs of tokens that are kept.
-WORD_BYTES, TRIE_NODES, PAIRS = 96 << 20, 1 << 17, 400_000
-#: Words of more bytes are walked alone, without nodes: they share next to nothing.
-LONGEST = 256
+#: Bytes of one generation of the memo of words, verdicts on pairs of tokens that are kept, texts that share a trie.
+WORD_BYTES, PAIRS, TEXTS = 40 << 20, 300_000, 500
 #: How the vocabulary's splitter cuts a text (fixed value).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_END = -1
+#: Characters from here on may be letters in one table of Unicode and unknown in another.
+_SETTLED = 0x370
+_BEYOND = regex.compile(f"[^\\x00-{chr(_SETTLED - 1)}]")
 
 
 class Merges:
@@ -43,13 +43,12 @@ class Merges:
         self.halves = halves
         self.right: dict[int, list[tuple[int, float]]] = {}
         self.left: dict[int, list[tuple[int, float]]] = {}
-        #: Tokens by their bytes from the last to the first: a node is a dict from byte to node, and its token under _END.
-        self.suffixes: dict = {}
-        for i, raw in self.bytes.items():
-            node = self.suffixes
-            for b in reversed(raw):
-                node = node.setdefault(b, {})
-            node[_END] = i
+        self.tokens = {raw: i for i, raw in self.bytes.items()}
+        self.packed = {i: np.array([i], "<u4").tobytes() for i in self.bytes}
+        #: The length of the longest token that ends in these two bytes, or is this one.
+        self.longest: dict[bytes, int] = {}
+        for raw in self.tokens:
+            self.longest[raw[-2:]] = max(len(raw), self.longest.get(raw[-2:], 1))
         self.apart: dict[int, bool] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -80,130 +79,88 @@ class Merges:
         return found
 
 
-class Path:
-    """The bytes from the root to where a walk stands, and the last token of the encoding of each prefix.
+def encode_words(words: Iterable[bytes], merges: Merges) -> dict[bytes, bytes]:
+    """ids of distinct words, as little-endian unsigned 32-bit numbers.
 
-    The encoding of a prefix ends in one token, and what stands before that token is the encoding of a shorter prefix. So the
-    token of a new prefix is the one token that ends it and stays apart from the last token of the prefix before it.
+    The words go into a trie, kept as sorted words and the length of the prefix that each shares with the one before: in this order
+    they are the depth-first walk, and what lies below a shared prefix is all that is new. The walk carries down, for each
+    prefix on its path, the last token of the encoding of that prefix. What stands before that token is the encoding of a
+    shorter prefix on the path; so the token of a new prefix is the one that ends it and stays apart from the last token of
+    the prefix before it. Encodings of shared prefixes are worked out once.
     """
-
-    def __init__(self, merges: Merges):
-        self.merges = merges
-        self.bytes = bytearray()
-        self.last: list[int] = []
-
-    def push(self, byte: int) -> None:
-        path, last, apart = self.bytes, self.last, self.merges.stay_apart
-        path.append(byte)
-        node, k = self.merges.suffixes, len(path)
-        while k:
-            k -= 1
-            node = node.get(path[k])
-            if node is None:
-                break
-            token = node.get(_END)
-            if token is not None and (not k or apart(last[k - 1], token)):
-                last.append(token)
-                return
-        raise ValueError("the vocabulary lacks a byte")
-
-    def cut(self, depth: int) -> None:
-        del self.bytes[depth:], self.last[depth:]
-
-    def ids(self) -> bytes:
-        """The encoding of all that is on the path, as little-endian unsigned 32-bit numbers."""
-        out, k = array("I"), len(self.last)
-        while k:
-            token = self.last[k - 1]
-            out.append(token)
-            k -= len(self.merges.bytes[token])
-        out.reverse()
-        return out.tobytes()
-
-
-def encode_words(words: Iterable[bytes], merges: Merges) -> dict[bytes, bytes]:
-    """ids of distinct words: they go into a trie, and one walk from its root, depth first, carries the last tokens down, so
-    what a shared prefix needs is worked out once. A full trie is walked and a new one begun."""
+    tokens, longest, bytes_of, packed, apart = merges.tokens, merges.longest, merges.bytes, merges.packed, merges.apart
     out: dict[bytes, bytes] = {}
-    root: dict = {}
-    path = Path(merges)
-    nodes = 0
-
-    def walk() -> None:
-        todo: list[tuple[int, int, dict]] = [(0, b, child) for b, child in root.items()]
-        while todo:
-            depth, byte, node = todo.pop()
-            path.cut(depth)
-            path.push(byte)
-            for b, child in node.items():
-                if b == _END:
-                    out[child] = path.ids()
-                else:
-                    todo.append((depth + 1, b, child))
-        path.cut(0)
-        root.clear()
-
-    for w in words:
-        if len(w) > LONGEST:
-            alone = Path(merges)
-            for b in w:
-                alone.push(b)
-            out[w] = alone.ids()
-            continue
-        node = root
-        for b in w:
-            below = node.get(b)
-            if below is None:
-                below = node[b] = {}
-                nodes += 1
-            node = below
-        if node is not root:
-            node[_END] = w
-        if nodes >= TRIE_NODES:
-            walk()
-            nodes = 0
-    walk()
+    last: list[int] = []
+    before = b""
+    for w in sorted(words):
+        shared, most = 0, min(len(w), len(before))
+        while shared < most and w[shared] == before[shared]:
+            shared += 1
+        del last[shared:]
+        for end in range(shared + 1, len(w) + 1):
+            start = end - min(end, longest.get(w[max(0, end - 2) : end], 1))
+            while True:
+                token = tokens.get(w[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    pair = last[start - 1] << 32 | token
+                    if apart[pair] if pair in apart else merges.stay_apart(last[start - 1], token):
+                        break
+                start += 1
+            last.append(token)
+        ids, k = [], len(w)
+        while k:
+            ids.append(packed[last[k - 1]])
+            k -= len(bytes_of[last[k - 1]])
+        ids.reverse()
+        out[w] = b"".join(ids)
+        before = w
     return out
 
 
 class ByteCodec:
-    """Encoder and decoder of a byte-level vocabulary file, kept in a worker with the words that it knows."""
+    """Encoder of a byte-level vocabulary file, kept in a worker with the words that it knows."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splitter = spec["pre_tokenizer"] or {}
         if spec["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex") or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("only byte-level vocabularies without a normaliser, prefix blank and stripping special tokens")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.merges = Merges(spec)
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.words = WordMemo(self._alone, WORD_BYTES)
-        self.known_chars, self.odd_chars = set(map(chr, range(128))), set()
-        self.spelled = self.merges.bytes | {i: t.encode() for t, i in self.merges.special.items()}
+        self.alike, self.odd = set(map(chr, range(_SETTLED))), set()
 
     def _alone(self, word: str) -> bytes:
         raw = word.encode()
         return encode_words([raw], self.merges)[raw]
 
+    @cached_property
+    def splitter(self):
+        """The library's own splitter, loaded when a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path).pre_tokenizer.pre_tokenize_str
+
     def _odd(self, text: str) -> bool:
         """Whether a character counts otherwise here than in the library, whose tables of letters may be of another age: each
         character is tried once beside a letter, a digit and a mark."""
-        fresh = set(text) - self.known_chars
-        for c in fresh - self.odd_chars:
+        fresh = set(text) - self.alike
+        for c in fresh - self.odd:
             probe = f"a{c}1{c}!{c} {c}\n"
-            same = [m.span() for m in _PIECES.finditer(probe)] == [s for _, s in self.library.pre_tokenizer.pre_tokenize_str(probe)]
-            (self.known_chars if same else self.odd_chars).add(c)
-        return bool(fresh & self.odd_chars)
+            same = [m.span() for m in _PIECES.finditer(probe)] == [s for _, s in self.splitter(probe)]
+            (self.alike if same else self.odd).add(c)
+        return bool(fresh & self.odd)
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
-        if not text.isascii() and self._odd(text):
-            return [text[a:z] for _, (a, z) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        if not text.isascii() and _BEYOND.search(text) and self._odd(text):
+            return [text[a:z] for _, (a, z) in self.splitter(text)]
         return _PIECES.findall(text)
 
     def split(self, text: str) -> list[str]:
@@ -219,25 +176,49 @@ class ByteCodec:
         """ids of whole texts; words that aren't known yet go into one trie."""
         split = [self.split(t) for t in texts]
         memo = self.words
-        fresh = {w for words in split for w in words if w not in memo and w not in memo.old}
-        special = {t: np.array([i], "<u4").tobytes() for t, i in self.merges.special.items()}
-        found = {w.decode(): ids for w, ids in encode_words((w.encode() for w in fresh if w not in special), self.merges).items()} | special
-        out = []
-        for words in split:
-            out.append(b"".join([found[w] if w in found else memo[w] for w in words]))
-        for w, ids in found.items():
-            memo.keep(w, ids)
-        return out
+        ids = {t: np.array([i], "<u4").tobytes() for t, i in self.merges.special.items()}
+        fresh = []
+        for w in set().union(*split).difference(ids):
+            if w in memo:
+                ids[w] = memo[w]
+            elif w in memo.old:
+                ids[w] = memo[w]
+            else:
+                fresh.append(w)
+        made = {w.decode(): x for w, x in encode_words(map(str.encode, fresh), self.merges).items()}
+        for w, x in made.items():
+            memo.keep(w, x)
+        ids |= made
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
+
+
+class Spelling:
+    """Decoder of a byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = {c: b for b, c in _byte_letters().items()}
+        self.bytes = {i: bytes(map(byte_of.__getitem__, t)) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; ids that the vocabulary lacks are passed over, and bytes that are no text become U+FFFD."""
-        return b"".join([self.spelled.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        spell = self.bytes
+        try:
+            raw = b"".join([spell[i] for i in memoryview(ids).cast("I")])
+        except KeyError:
+            raw = b"".join([spell.get(i, b"") for i in memoryview(ids).cast("I")])
+        return raw.decode("utf-8", "replace")
 
 
 def byte_codec(path: str) -> ByteCodec:
     return worker_cache(path, lambda: ByteCodec(path))
 
 
+def spelling(path: str) -> Spelling:
+    return worker_cache(f"{path} spelled", lambda: Spelling(path))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, packed: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): token ids of whole texts, as the vocabulary's own library gives them without added tokens.
 
@@ -246,7 +227,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     token of each prefix down to its continuations.
 
     A null text counts as empty and has no ids; repeated rows and null ids are kept; other columns don't matter; no rows: no rows.
-    A text is encoded at once, whatever its length, a very long word byte by byte along one path.
+    A text is encoded at once, whatever its length, and so is a word.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
@@ -262,7 +243,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), ids], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(pick(docs, doc_id=id_col, text=text_col), run, f"doc_id {kind}, n_tokens bigint, ids {'binary' if packed else 'array<int>'}", keeps=path)
+    return map_batches(pick(docs, doc_id=id_col, text=text_col), run, f"doc_id {kind}, n_tokens bigint, ids {'binary' if packed else 'array<int>'}", keeps=path, rows=TEXTS)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -278,9 +259,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
         return value if isinstance(value, bytes) else np.array([x for x in value if x is not None and x >= 0], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = byte_codec(path)
+        codec = spelling(path)
         for b in batches:
             texts = [None if v is None else codec.decode(packed(v)) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return map_batches(pick(encoded, doc_id=id_col, ids=ids_col), run, f"doc_id {kind}, ids {held}, text string", keeps=path)
+    return map_batches(pick(encoded, doc_id=id_col, ids=ids_col), run, f"doc_id {kind}, ids {held}, text string", keeps=f"{path} spelled", rows=TEXTS)

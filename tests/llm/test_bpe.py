@@ -22,11 +22,17 @@ def codec():
     return bpe.ByteCodec(PATH)
 
 
+@pytest.fixture(scope="module")
+def spell():
+    return bpe.Spelling(PATH)
+
+
 def held_alike(codec, library, texts):
+    spell = bpe.Spelling(PATH)
     for t, raw in zip(texts, codec.encode(texts), strict=True):
         ids = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(raw, "<u4").tolist() == ids, t
-        assert codec.decode(raw) == library.decode(ids, skip_special_tokens=False)
+        assert spell.decode(raw) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_odd_texts(codec, library):
@@ -53,19 +59,26 @@ def test_tokens_side_by_side(codec, library):
         assert m.stay_apart(a, b) == (whole == [a, b])
 
 
-def test_small_tries_and_long_words(codec, library, monkeypatch):
-    monkeypatch.setattr(bpe, "TRIE_NODES", 3)
-    monkeypatch.setattr(bpe, "LONGEST", 4)
-    fresh = bpe.ByteCodec(PATH)
-    held_alike(fresh, library, ["the them themes theme thematic then", "x" * 1000, *ODD])
+def test_settled_letters_and_long_words(codec, library):
+    settled = "".join(f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}\n" for c in range(bpe._SETTLED))
+    assert [m.span() for m in bpe._PIECES.finditer(settled)] == [s for _, s in library.pre_tokenizer.pre_tokenize_str(settled)]
+    held_alike(bpe.ByteCodec(PATH), library, [settled, "the them themes theme thematic then", "x" * 1000, "ab" * 3000, "-=" * 700 + "-" * 900])
+
+
+def test_a_small_memo(library, monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_BYTES", 500)
+    monkeypatch.setattr(bpe, "PAIRS", 2)
+    small = bpe.ByteCodec(PATH)
+    for t in ["the cat sat on the mat", "then the cats sit on other mats", *ODD]:
+        held_alike(small, library, [t, t + " and more of the same"])
 
 
-def test_decoding_any_ids(codec, library):
+def test_decoding_any_ids(spell, library):
     rng = random.Random(4)
     for _ in range(300):
         ids = [rng.randrange(50257) for _ in range(rng.randint(0, 12))] + [50256] * rng.randint(0, 1)
-        assert codec.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
-    assert codec.decode(np.array([60000, 64], "<u4").tobytes()) == library.decode([60000, 64], skip_special_tokens=False)
+        assert spell.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False)
+    assert spell.decode(np.array([60000, 64], "<u4").tobytes()) == library.decode([60000, 64], skip_special_tokens=False)
 
 
 def test_tables(spark, library):
