@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratavox.functions import kernels as K
 from stratavox.operators.components import connected_components
-from stratavox.operators.volumes import _NAMES, as_array, as_row, few_blocks, to_batch
+from stratavox.operators.volumes import _NAMES, as_array, as_row, block_rows, few_blocks, to_batches, to_columns
 from stratavox.plans.schema import BLOCK, CHUNK, COORDS
 
 
@@ -26,12 +26,13 @@ def label_blocks(mask: DataFrame, chunk: Sequence[int], grid: Sequence[int]) ->
     the chunk's row-major place in the grid times the label budget, as 64-bit integers."""
     budget, (_, gy, gx) = label_budget(chunk), grid
 
+    def label(row: dict) -> dict:
+        lab = K.label6(as_array(row))
+        lab[lab > 0] += ((row["cz"] * gy + row["cy"]) * gx + row["cx"]) * budget
+        return as_row(row, lab)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                lab = K.label6(as_array(row))
-                lab[lab > 0] += ((row["cz"] * gy + row["cy"]) * gx + row["cx"]) * budget
-                yield to_batch([as_row(row, lab)])
+        yield from to_batches(map(label, block_rows(batches)))
 
     return few_blocks(mask.select(*_NAMES)).mapInArrow(run, BLOCK)
 
@@ -75,12 +76,53 @@ def component_table(labels: DataFrame, chunk: Sequence[int]) -> DataFrame:
 
     The graph has a node per label that touches a face, not per voxel, and stays distributed.
     """
-    roots = connected_components(boundary_pairs(labels, chunk), "lo", "hi")
-    named = label_sizes(labels).join(roots, F.col("label") == F.col("node"), "left").select("label", F.coalesce("root", "label").alias("root"), "n")
+    return _with_roots(label_sizes(labels), connected_components(boundary_pairs(labels, chunk), "lo", "hi"))
+
+
+def _with_roots(sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    named = sizes.join(roots, F.col("label") == F.col("node"), "left").select("label", F.coalesce("root", "label").alias("root"), "n")
     total = named.groupBy("root").agg(F.sum("n").alias("size"))
     return named.join(total, "root").select("label", "root", "n", "size")
 
 
+def block_label_sizes(labels: DataFrame) -> DataFrame:
+    """(label, n) of a label block table, counted inside each block. A label belongs to one chunk, so nothing is shuffled."""
+
+    def count(row: dict) -> list[np.ndarray]:
+        ids, n = np.unique(as_array(row), return_counts=True)
+        return [ids[ids > 0].astype(np.int64), n[ids > 0].astype(np.int64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from to_columns(map(count, block_rows(batches)), ["label", "n"])
+
+    return few_blocks(labels.select(*_NAMES)).mapInArrow(run, "label long, n long")
+
+
+def block_face_voxels(labels: DataFrame) -> DataFrame:
+    """(z, y, x, label) of the labelled voxels on the faces of a label block table: inner voxels stay in their block."""
+
+    def faces(row: dict) -> list[np.ndarray]:
+        a = as_array(row)
+        edge = np.zeros(a.shape, bool)
+        for axis in range(3):
+            for side in (0, -1):
+                edge[(slice(None),) * axis + (side,)] = True
+        at = np.flatnonzero(edge & (a > 0))
+        return [k + row[o] for k, o in zip(np.unravel_index(at, a.shape), ("z0", "y0", "x0"), strict=True)] + [a.ravel()[at].astype(np.int64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from to_columns(map(faces, block_rows(batches)), [*COORDS, "label"])
+
+    return few_blocks(labels.select(*_NAMES)).mapInArrow(run, "z long, y long, x long, label long")
+
+
+def block_component_table(labels: DataFrame, chunk: Sequence[int]) -> DataFrame:
+    """component_table() of a label block table: counts and faces are taken inside the blocks, so of the volume only voxels
+    on chunk faces are shuffled."""
+    pairs = neighbour_edges(block_face_voxels(labels), chunk).where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    return _with_roots(block_label_sizes(labels), connected_components(pairs, "lo", "hi"))
+
+
 def map_values(labels: DataFrame, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """labels with a value looked up for each label; background and unknown labels get 0."""
     found = table.select(F.col(key).alias("label"), F.col(value).alias(out))
@@ -119,26 +161,28 @@ def scatter_volumes(labels: DataFrame, table: DataFrame, key: str = "label", val
     """
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                ids = np.unique(as_array(row))
-                ids = ids[ids > 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row[c], np.int32)) for c in CHUNK] + [pa.array(ids)], [*CHUNK, "label"])
+        yield from to_columns(map(own_labels, block_rows(batches)), [*CHUNK, "label"])
+
+    def own_labels(row: dict) -> list[np.ndarray]:
+        ids = np.unique(as_array(row))
+        ids = ids[ids > 0].astype(np.int64)
+        return [np.full(len(ids), row[c], np.int32) for c in CHUNK] + [ids]
 
     own = few_blocks(labels.select(*_NAMES)).mapInArrow(seen, "cz int, cy int, cx int, label long")
     pairs = own.join(table.select(F.col(key).alias("label"), F.col(value).cast("long").alias("value")), "label")
     by_chunk = pairs.groupBy(*CHUNK).agg(F.sort_array(F.collect_list(F.struct("label", "value"))).alias("pairs"))
     joined = labels.select(*_NAMES).join(by_chunk, list(CHUNK), "left")
 
+    def value_of(row: dict) -> dict:
+        a, found = as_array(row), row["pairs"] or []
+        out = np.zeros(a.shape, np.int64)
+        if found:
+            k, v = np.array([p["label"] for p in found]), np.array([p["value"] for p in found])
+            at = np.minimum(np.searchsorted(k, a), len(k) - 1)
+            out = np.where(k[at] == a, v[at], 0)
+        return as_row(row, out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                a, found = as_array(row), row["pairs"] or []
-                out = np.zeros(a.shape, np.int64)
-                if found:
-                    k, v = np.array([p["label"] for p in found]), np.array([p["value"] for p in found])
-                    at = np.minimum(np.searchsorted(k, a), len(k) - 1)
-                    out = np.where(k[at] == a, v[at], 0)
-                yield to_batch([as_row(row, out)])
+        yield from to_batches(map(value_of, block_rows(batches)))
 
     return few_blocks(joined).mapInArrow(run, BLOCK)

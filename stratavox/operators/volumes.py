@@ -6,7 +6,7 @@ is ordinary SQL; it suits sparse data, that is, everything after the threshold.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,34 +42,78 @@ def to_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], _KINDS[n]) for n in _NAMES], _NAMES)
 
 
+#: Bytes of blocks, and voxels, that go back to the JVM together: small blocks share a batch, so that what a batch costs is
+#: shared too, and both sides have work meanwhile.
+BACK_BYTES, BACK_VOXELS = 1 << 18, 1 << 16
+
+
+def to_batches(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """Block rows in batches of BACK_BYTES, or of one larger block."""
+    held: list[dict] = []
+    size = 0
+    for r in rows:
+        if held and size + len(r["data"]) > BACK_BYTES:
+            yield to_batch(held)
+            held, size = [], 0
+        held.append(r)
+        size += len(r["data"]) + 200  # the other columns
+    if held:
+        yield to_batch(held)
+
+
+def to_columns(parts: Iterable[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns of several blocks in batches of about BACK_VOXELS rows."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for p in parts:
+        held.append(p)
+        size += len(p[0])
+        if size >= BACK_VOXELS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+
+
+def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    return (row for b in batches for row in b.to_pylist())
+
+
 def map_blocks(blocks: DataFrame, fn: Kernel) -> DataFrame:
     """fn over each block alone, without its neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield to_batch([as_row(row, fn(as_array(row)))])
+        yield from to_batches(as_row(row, fn(as_array(row))) for row in block_rows(batches))
 
     return few_blocks(blocks.select(*_NAMES)).mapInArrow(run, BLOCK)
 
 
-def map_aligned(fn: Kernel, *volumes: DataFrame) -> DataFrame:
-    """fn over the blocks of several volumes on one chunk grid: an equi-join on the chunk, then one pass."""
-    joined, count = volumes[0].select(*_NAMES), len(volumes)
+def align(*volumes: DataFrame) -> DataFrame:
+    """One row per chunk with the blocks of several volumes on one chunk grid: an equi-join on the chunk."""
+    joined = volumes[0].select(*_NAMES)
     for i, other in enumerate(volumes[1:], 1):
         joined = joined.join(other.select(*CHUNK, F.struct("nz", "ny", "nx", "dtype", "data").alias(f"other{i}")), list(CHUNK))
+    return joined
+
+
+def map_aligned(fn: Kernel, *volumes: DataFrame) -> DataFrame:
+    """fn over the blocks of several volumes on one chunk grid: an equi-join on the chunk, then one pass."""
+    joined, count = align(*volumes), len(volumes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                arrays = [as_array(row)] + [as_array(row[f"other{i}"]) for i in range(1, count)]
-                if len({a.shape for a in arrays}) > 1:
-                    raise ValueError("the volumes have different chunk grids")
-                yield to_batch([as_row(row, fn(*arrays))])
+        yield from to_batches(as_row(row, fn(*aligned_arrays(row, count))) for row in block_rows(batches))
 
     return few_blocks(joined).mapInArrow(run, BLOCK)
 
 
+def aligned_arrays(row: dict, count: int) -> list[np.ndarray]:
+    """The blocks of a row of align()."""
+    arrays = [as_array(row)] + [as_array(row[f"other{i}"]) for i in range(1, count)]
+    if len({a.shape for a in arrays}) > 1:
+        raise ValueError("the volumes have different chunk grids")
+    return arrays
+
+
 def map_overlap(blocks: DataFrame, fn: Kernel, depth: int) -> DataFrame:
     """fn over each block with `depth` voxels of its neighbours around it; the result is cut back to the block.
 
@@ -118,16 +162,17 @@ def map_overlap(blocks: DataFrame, fn: Kernel, depth: int) -> DataFrame:
 def blocks_to_voxels(blocks: DataFrame, sparse: bool = False) -> DataFrame:
     """(cz, cy, cx, z, y, x, v); sparse leaves out zeros."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for row in block_rows(batches):
+            a = as_array(row)
+            flat = np.flatnonzero(a) if sparse else np.arange(a.size)
+            for at in range(0, len(flat), BACK_VOXELS):
+                i = flat[at : at + BACK_VOXELS]
+                zyx = np.unravel_index(i, a.shape)
+                yield [np.full(len(i), row[c], np.int32) for c in CHUNK] + [k + row[o] for k, o in zip(zyx, ("z0", "y0", "x0"), strict=True)] + [a.ravel()[i].astype(np.int64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                a = as_array(row)
-                flat = np.flatnonzero(a) if sparse else np.arange(a.size)
-                for at in range(0, len(flat), 1 << 18):
-                    i = flat[at : at + (1 << 18)]
-                    zyx = np.unravel_index(i, a.shape)
-                    cols = [np.full(len(i), row[c], np.int32) for c in CHUNK] + [k + row[o] for k, o in zip(zyx, ("z0", "y0", "x0"), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(a.ravel()[i].astype(np.int64))], [*CHUNK, *COORDS, "v"])
+        yield from to_columns(parts(batches), [*CHUNK, *COORDS, "v"])
 
     return few_blocks(blocks.select(*_NAMES)).mapInArrow(run, "cz int, cy int, cx int, z long, y long, x long, v long")
 
@@ -154,16 +199,18 @@ def rechunk(blocks: DataFrame, chunk: Sequence[int]) -> DataFrame:
     """The same volume on another chunk grid. Blocks are cut where the new grid cuts them, so pieces, not voxels, move."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                a, lo = as_array(row), [row["z0"], row["y0"], row["x0"]]
-                first = [o // n for o, n in zip(lo, chunk, strict=True)]
-                last = [(o + s - 1) // n for o, s, n in zip(lo, a.shape, chunk, strict=True)]
-                for d in np.ndindex(*[z - f + 1 for f, z in zip(first, last, strict=True)]):
-                    c = [f + i for f, i in zip(first, d, strict=True)]
-                    at = [slice(max(k * n, o) - o, min((k + 1) * n, o + s) - o) for k, n, o, s in zip(c, chunk, lo, a.shape, strict=True)]
-                    start = [o + x.start for o, x in zip(lo, at, strict=True)]
-                    yield to_batch([as_row(dict(zip((*CHUNK, "z0", "y0", "x0"), c + start, strict=True)), a[tuple(at)])])
+        yield from to_batches(pieces(batches))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for row in block_rows(batches):
+            a, lo = as_array(row), [row["z0"], row["y0"], row["x0"]]
+            first = [o // n for o, n in zip(lo, chunk, strict=True)]
+            last = [(o + s - 1) // n for o, s, n in zip(lo, a.shape, chunk, strict=True)]
+            for d in np.ndindex(*[z - f + 1 for f, z in zip(first, last, strict=True)]):
+                c = [f + i for f, i in zip(first, d, strict=True)]
+                at = [slice(max(k * n, o) - o, min((k + 1) * n, o + s) - o) for k, n, o, s in zip(c, chunk, lo, a.shape, strict=True)]
+                start = [o + x.start for o, x in zip(lo, at, strict=True)]
+                yield as_row(dict(zip((*CHUNK, "z0", "y0", "x0"), c + start, strict=True)), a[tuple(at)])
 
     def join(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -246,6 +293,23 @@ def stride(voxels: DataFrame, steps: Sequence[int]) -> DataFrame:
     return out.withColumns({c: F.expr(f"{c} div {n}") for c, n in zip(COORDS, steps, strict=True)})
 
 
+def stride_blocks(blocks: DataFrame, steps: Sequence[int]) -> DataFrame:
+    """stride() of a block table: the voxels are picked inside each block, so only they leave it. Blocks keep their places in
+    the chunk grid; origins and sizes are those of the new volume, and a block in which no voxel is picked is left out."""
+
+    def picked(row: dict) -> Iterator[dict]:
+        a, lo = as_array(row), [row[o] for o in ("z0", "y0", "x0")]
+        first = [-o % n for o, n in zip(lo, steps, strict=True)]
+        if all(f < s for f, s in zip(first, a.shape, strict=True)):
+            new = {o: (v + f) // n for o, v, f, n in zip(("z0", "y0", "x0"), lo, first, steps, strict=True)}
+            yield as_row(row | new, a[tuple(slice(f, None, n) for f, n in zip(first, steps, strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from to_batches(r for row in block_rows(batches) for r in picked(row))
+
+    return few_blocks(blocks.select(*_NAMES)).mapInArrow(run, BLOCK)
+
+
 def reorient(voxels: DataFrame, orientation: tuple[int, int, int], shape: Sequence[int]) -> DataFrame:
     """Flip the axes with a negative number and permute: a projection of coordinates."""
     axes, flips = orient_axes(orientation)

@@ -138,7 +138,7 @@ def prepare_reference(e: Engine, ref: DataFrame, annot: DataFrame, shape: Sequen
 
 @step(["raw"], ["downsmpl1"])
 def reg_img_rough(e: Engine) -> dict:
-    return {"downsmpl1": V.stride(V.blocks_to_voxels(e.read("raw")), e.config.registration.downsample_rough).select(*COORDS, "v")}
+    return {"downsmpl1": V.blocks_to_voxels(V.stride_blocks(e.read("raw"), e.config.registration.downsample_rough)).select(*COORDS, "v")}
 
 
 @step(["downsmpl1"], ["downsmpl2"])
@@ -193,7 +193,7 @@ def label_thresholded(e: Engine) -> dict:
 
 def _volumes(e: Engine, name: str) -> DataFrame:
     blocks = e.read(name)
-    table = labels.component_table(labels.labelled_voxels(blocks), e.config.chunks.shape())
+    table = labels.block_component_table(blocks, e.config.chunks.shape())
     return labels.scatter_volumes(blocks, table)
 
 
@@ -240,8 +240,7 @@ def filter_watershed(e: Engine) -> dict:
 
 @step(["raw", "maxima_labels", "wshed_labels", "wshed_filt"], ["cells_raw"])
 def save_cells_table(e: Engine) -> dict:
-    regions = labels.labelled_voxels(e.read("wshed_labels")).join(V.blocks_to_voxels(e.read("wshed_filt"), sparse=True).select(*COORDS, F.col("v").alias("size")), list(COORDS))
-    cells = objects.extract_cells(V.blocks_to_voxels(e.read("raw"), sparse=True), labels.labelled_voxels(e.read("maxima_labels")), regions)
+    cells = objects.extract_from_blocks(*[e.read(n) for n in ("raw", "maxima_labels", "wshed_labels", "wshed_filt")])
     return {"cells_raw": objects.shift(cells, e.offset())}
 
 
@@ -252,9 +251,10 @@ def save_cells_table(e: Engine) -> dict:
 def transform_coords(e: Engine) -> dict:
     r = e.config.registration
     cells = e.read("cells_raw")
-    scaled = mapping.scale_coords(cells, r.downsample_rough, r.downsample_fine, [s.start for s in r.reg_trim.slices()])
-    moved = mapping.transform_points(scaled.select("label", *COORDS), e.transforms)
-    return {"cells_trfm": cells.join(moved.select("label", "z_trfm", "y_trfm", "x_trfm"), "label")}
+    kept = cells.select("*", *[F.col(c).alias(f"_{c}") for c in COORDS])  # places in the raw volume stay beside the new ones
+    scaled = mapping.scale_coords(kept, r.downsample_rough, r.downsample_fine, [s.start for s in r.reg_trim.slices()])
+    moved = mapping.transform_points(scaled, e.transforms)
+    return {"cells_trfm": moved.withColumns({c: F.col(f"_{c}") for c in COORDS}).select(*cells.columns, "z_trfm", "y_trfm", "x_trfm")}
 
 
 def atlas_shape(e: Engine) -> tuple[int, int, int]:

@@ -224,6 +224,12 @@ def stride_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.stride(X.voxels(spark, sf_dir), (3, 6, 6)).select(*COORDS, "v")
 
 
+@query(f"WITH {VOX} SELECT z // 3 AS z, y // 6 AS y, x // 5 AS x, v FROM vox WHERE z % 3 = 0 AND y % 6 = 0 AND x % 5 = 0")
+def stride_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same inside the blocks, with steps that don't divide a block."""
+    return V.blocks_to_voxels(V.stride_blocks(X.volume(spark, sf_dir), (3, 6, 5))).select(*COORDS, "v")
+
+
 @query(f"WITH {VOX} SELECT 31 - y AS z, z AS y, x, v FROM vox")
 def reorient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reorient(X.voxels(spark, sf_dir), (-2, 1, 3), (1 << 20, 32, 32)).select(*COORDS, "v")
@@ -421,6 +427,12 @@ def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {COMP} SELECT label, root, n, size FROM comp")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.block_component_table(_label_blocks(spark, sf_dir), X.CHUNK_SHAPE)
+
+
+@query(f"WITH RECURSIVE {COMP} SELECT label, root, n, size FROM comp")
+def component_sizes_of_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of labelled voxels."""
     return labels.component_table(_labels(spark, sf_dir), X.CHUNK_SHAPE)
 
 
@@ -433,7 +445,7 @@ def component_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_volume_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes written back into dense blocks."""
     blocks = _label_blocks(spark, sf_dir)
-    table = labels.component_table(labels.labelled_voxels(blocks), X.CHUNK_SHAPE)
+    table = labels.block_component_table(blocks, X.CHUNK_SHAPE)
     return V.blocks_to_voxels(labels.scatter_volumes(blocks, table), sparse=True).select(*COORDS, F.col("v").alias("size"))
 
 
@@ -476,6 +488,17 @@ def union_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cells_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreground components as both maxima and regions, with sizes across chunks."""
+    lab = settle(_label_blocks(spark, sf_dir), "labels")
+    sizes = labels.scatter_volumes(lab, labels.block_component_table(lab, X.CHUNK_SHAPE))
+    return objects.extract_from_blocks(X.volume(spark, sf_dir), lab, lab, sizes)
+
+
+@query(
+    f"WITH RECURSIVE {COMP}, first AS (SELECT label, min((z * 1000 + y) * 1000 + x) AS f, CAST(sum(v) AS DOUBLE) AS sum_intensity FROM lab GROUP BY label) "
+    "SELECT label, f // 1000000 AS z, f // 1000 % 1000 AS y, f % 1000 AS x, CAST(1 AS BIGINT) AS count, size AS volume, sum_intensity FROM first JOIN comp USING (label)"
+)
+def cells_extract_of_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from tables of voxels, by joins on the coordinates."""
     lab = _labels(spark, sf_dir)
     return objects.extract_cells(X.voxels(spark, sf_dir), lab, labels.component_volumes(lab, X.CHUNK_SHAPE))
 
@@ -503,11 +526,12 @@ def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = (1 << 20, X.GRID, X.GRID)
     mask = V.map_blocks(raw, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=60)))
     lab = settle(labels.label_blocks(mask, X.CHUNK_SHAPE, grid), "labels")
-    table = labels.component_table(labels.labelled_voxels(lab), X.CHUNK_SHAPE)
+    table = labels.block_component_table(lab, X.CHUNK_SHAPE)
     kept = settle(V.map_blocks(labels.scatter_volumes(lab, table), lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8)), "kept")
     maxima = settle(labels.label_blocks(stencils.local_maxima(raw, 1, kept), X.CHUNK_SHAPE, grid), "maxima")
-    regions = settle(labels.labelled_voxels(stencils.watershed(raw, maxima, kept)), "regions")
-    return objects.extract_cells(X.voxels(spark, sf_dir), labels.labelled_voxels(maxima), labels.component_volumes(regions, X.CHUNK_SHAPE))
+    regions = settle(stencils.watershed(raw, maxima, kept), "regions")
+    sizes = labels.scatter_volumes(regions, labels.block_component_table(regions, X.CHUNK_SHAPE))
+    return objects.extract_from_blocks(raw, maxima, regions, sizes)
 
 
 @query()
