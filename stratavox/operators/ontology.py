@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,17 +99,20 @@ def with_paths(onto: DataFrame) -> DataFrame:
     return onto.join(lines, "id")
 
 
-def roll_up(own: DataFrame, onto: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+def roll_up(own: DataFrame, onto: DataFrame, sums: tuple[str, ...], by: str | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """Each region's own value plus those of all its descendants; ids that the ontology lacks keep their own.
 
-    Two groupings, both combined on the map side: by region, then by ancestor. Regions without any value get 0.
+    Two groupings, both combined on the map side: by region, then by ancestor. Regions without any value get 0. With `by`, a
+    column such as the specimen, all its `groups` are rolled up at once, and each has a row for every region.
     """
+    key = ["id"] if by is None else ["id", by]
     zero = {c: F.coalesce(c, F.lit(0)) for c in sums}
     lines = closure(onto)
-    known = lines.join(own, "id").groupBy(F.col("ancestor").alias("id")).agg(*[F.sum(c).alias(c) for c in sums])
-    inside = onto.select("id").join(known, "id", "left")
-    outside = own.join(onto.select("id"), "id", "left_anti").select("id", *sums)
-    return inside.select("id", *sums).unionByName(outside).withColumns(zero)
+    known = lines.join(own, "id").groupBy(F.col("ancestor").alias("id"), *key[1:]).agg(*[F.sum(c).alias(c) for c in sums])
+    every = onto.select("id") if by is None else onto.select("id", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias(by))
+    inside = every.join(known, key, "left")
+    outside = own.join(onto.select("id"), "id", "left_anti").select(*key, *sums)
+    return inside.select(*key, *sums).unionByName(outside).withColumns(zero)
 
 
 def special_name(id_col: str = "id", name_col: str = "name") -> Column:
@@ -122,15 +125,17 @@ def with_regions(cells: DataFrame, onto: DataFrame) -> DataFrame:
     return cells.join(onto, "id", "left").withColumn("name", special_name())
 
 
-def group_cells(cells: DataFrame, onto: DataFrame) -> DataFrame:
+def group_cells(cells: DataFrame, onto: DataFrame, by: str | None = None, groups: Sequence[str] = ()) -> DataFrame:
     """Measures per region with roll-up, region columns, and iov = sum_intensity / volume (null if there is no volume).
 
-    Cells without an id are left out; ids outside the ontology, -1 and 0 among them, keep rows of their own.
+    Cells without an id are left out; ids outside the ontology, -1 and 0 among them, keep rows of their own. With `by`, the
+    same for each of the `groups` of that column, from one scan and one roll-up.
     """
-    own = cells.where("id is not null").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("count", "volume", "sum_intensity")])
-    total = roll_up(own, onto, ("count", "volume", "sum_intensity"))
+    key = ["id"] if by is None else ["id", by]
+    own = cells.where("id is not null").groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("count", "volume", "sum_intensity")])
+    total = roll_up(own, onto, ("count", "volume", "sum_intensity"), by, groups)
     named = total.join(with_parents(onto).select("id", *ANNOTATIONS), "id", "left").withColumn("name", special_name())
-    return named.select("id", *ANNOTATIONS, "count", "volume", "sum_intensity", F.try_divide(F.col("sum_intensity").cast("double"), F.col("volume").cast("double")).alias("iov"))
+    return named.select(*key, *ANNOTATIONS, "count", "volume", "sum_intensity", F.try_divide(F.col("sum_intensity").cast("double"), F.col("volume").cast("double")).alias("iov"))
 
 
 def outer_with_ontology(values: DataFrame, onto: DataFrame) -> DataFrame:

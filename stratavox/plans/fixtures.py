@@ -6,15 +6,11 @@ ontology: root 1, regions 10 + r_regionkey, nations 100 + n_nationkey. cells: on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.operators.volumes import as_row, few_blocks, to_batch
-from stratavox.plans.schema import BLOCK, CHUNK, ONTOLOGY
+from stratavox.plans.schema import ONTOLOGY
+from stratavox.sources import arrays
 
 SIDE, GRID = 4, 8
 CHUNK_SHAPE = (SIDE, SIDE, SIDE)
@@ -28,15 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived volume as blocks of 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.floor((np.array(e, np.float64) + 1) * 1000).astype(np.int32).reshape(CHUNK_SHAPE)
-                c = [i // (GRID * GRID), i // GRID % GRID, i % GRID]
-                yield to_batch([as_row(dict(zip((*CHUNK, "z0", "y0", "x0"), [*c, *(SIDE * k for k in c)], strict=True)), v)])
-
-    return few_blocks(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).mapInArrow(run, BLOCK)
+    return arrays.blocks_of_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", CHUNK_SHAPE, (GRID, GRID), 1, 1000)
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -636,9 +636,9 @@ _BY_SPECIMEN = f"""{CELLS}, own AS (SELECT specimen, id, count(*) AS count, sum(
 )"""
 
 
-def _specimens(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    onto, cells = X.ontology(spark, sf_dir), X.cells(spark, sf_dir)
-    return {s: ontology.group_cells(cells.where(F.col("specimen") == s), onto) for s in _SPECIMENS}
+def _specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All specimens from one scan and one roll-up."""
+    return ontology.group_cells(X.cells(spark, sf_dir), X.ontology(spark, sf_dir), "specimen", _SPECIMENS)
 
 
 @query(f"WITH RECURSIVE {_BY_SPECIMEN} SELECT id, specimen, 'count' AS measure, count AS value FROM agg UNION ALL SELECT id, specimen, 'volume', volume FROM agg")
@@ -652,7 +652,7 @@ def specimen_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT * FROM base LEFT JOIN wide USING (id)"
 )
 def specimen_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = combine.wide_table(spark, X.ontology(spark, sf_dir), _specimens(spark, sf_dir), ("count", "volume"))
+    wide = combine.wide_table(spark, X.ontology(spark, sf_dir), _specimens(spark, sf_dir), ("count", "volume"), _SPECIMENS)
     return wide.drop("color_hex_triplet", "parent_structure_id")
 
 

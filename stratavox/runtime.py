@@ -9,6 +9,8 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +102,23 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+@contextmanager
+def restored(spark: SparkSession, *keys: str) -> Iterator[None]:
+    """Settings of the session as they were before, whatever operators set meanwhile."""
+    before = {k: spark.conf.get(k, None) for k in (*keys, "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small text file from any store, hidden files too, which Spark's readers skip."""
     jvm = spark._jvm
