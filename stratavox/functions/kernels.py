@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -195,25 +196,96 @@ def label_volumes(labels: np.ndarray) -> np.ndarray:
     return np.where(ids == 0, 0, n)[inv].reshape(labels.shape)
 
 
+#: Voxels of a front that are flooded together; smaller fronts go voxel by voxel.
+FRONT = 512
+
+
 def watershed(block: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Flood from the markers, brightest voxels first and in order of arrival among equals, through faces and inside
-    the mask; every reached voxel takes the label it was reached from."""
-    nz, ny, nx = block.shape
-    v, inside = -block.astype(np.int64).ravel(), (mask > 0).ravel()
-    label = np.where(inside, markers.ravel(), 0)
-    queue = [(int(v[i]), k, int(i)) for k, i in enumerate(np.flatnonzero(label))]
-    heapq.heapify(queue)
-    arrival = len(queue)
-    while queue:
-        _, _, i = heapq.heappop(queue)
-        z, rest = divmod(i, ny * nx)
-        y, x = divmod(rest, nx)
-        for ok, j in ((z > 0, i - ny * nx), (y > 0, i - nx), (x > 0, i - 1), (x < nx - 1, i + 1), (y < ny - 1, i + nx), (z < nz - 1, i + ny * nx)):
-            if ok and inside[j] and not label[j]:
-                label[j] = label[i]
-                heapq.heappush(queue, (int(v[j]), arrival, j))
-                arrival += 1
-    return label.reshape(block.shape)
+    the mask; every reached voxel takes the label it was reached from.
+
+    Only voxels of the mask are numbered. They wait in one bucket for each brightness, in order of arrival. A large bucket is
+    flooded as a whole, each neighbour claimed by the first that reaches it; where a neighbour is brighter the front ends
+    before it, as what lies behind has to wait until the brighter voxel and all brighter ones beyond it are done.
+    """
+    inside = np.flatnonzero(mask > 0)
+    n = len(inside)
+    out = np.zeros(block.size, markers.dtype)
+    if not n:
+        return out.reshape(block.shape)
+    number = np.full([s + 2 for s in block.shape], n, np.int32)  # n: outside
+    zyx = [k + 1 for k in np.unravel_index(inside, block.shape)]
+    number[tuple(zyx)] = np.arange(n, dtype=np.int32)
+    _, ny, nx = number.shape
+    steps = np.array([-ny * nx, -nx, -1, 1, nx, ny * nx])
+    near = number.ravel()[np.ravel_multi_index(zyx, number.shape)[:, None] + steps]
+    levels, rank = np.unique(block.ravel()[inside], return_inverse=True)
+    ranks = array("q", (len(levels) - 1 - rank).astype(np.int64).tobytes())  # 0: brightest
+    labels = array("q", np.r_[markers.ravel()[inside].astype(np.int64), -1].tobytes())
+    rank_of, label_of, beside = np.frombuffer(ranks, np.int64), np.frombuffer(labels, np.int64), near.tolist() if n < 4 * FRONT else None
+    flat = array("i", np.ascontiguousarray(near, np.int32).tobytes())
+
+    buckets: dict[int, list[int]] = {}
+    active: list[int] = []
+
+    def add(voxels: np.ndarray) -> None:
+        r = rank_of[voxels]
+        order = np.argsort(r, kind="stable")
+        cuts = np.flatnonzero(np.diff(r[order])) + 1
+        for part in np.split(voxels[order], cuts):
+            if len(part):
+                k = ranks[int(part[0])]
+                if k in buckets:
+                    buckets[k].extend(part.tolist())
+                else:
+                    buckets[k] = part.tolist()
+                    heapq.heappush(active, k)
+
+    add(np.flatnonzero(label_of[:n]))
+    done: dict[int, int] = {}  # how far a bucket has been taken
+    while active:
+        level = active[0]
+        front, at, wait = buckets[level], done.get(level, 0), 0
+        brighter = False
+        while at < len(front) and not brighter:
+            if len(front) - at >= FRONT and at >= wait:
+                voxels = np.array(front[at:], np.int64)
+                reached = near[voxels].ravel()
+                free = np.flatnonzero(label_of[reached] == 0)
+                new, first = np.unique(reached[free], return_index=True)
+                first = free[first]
+                higher = first[rank_of[new] < level]
+                cut = int(higher.min()) // 6 if len(higher) else len(voxels)
+                mine = np.argsort(first, kind="stable")
+                mine = mine[first[mine] < 6 * cut]
+                label_of[new[mine]] = label_of[voxels[first[mine] // 6]]
+                add(new[mine].astype(np.int64))
+                at += cut
+                if cut <= FRONT // 4:
+                    wait = at + FRONT
+                continue
+            i = front[at]
+            at += 1
+            own = labels[i]
+            for j in beside[i] if beside else flat[6 * i : 6 * i + 6]:
+                if not labels[j]:
+                    labels[j] = own
+                    k = ranks[j]
+                    if k in buckets:
+                        buckets[k].append(j)
+                    else:
+                        buckets[k] = [j]
+                        heapq.heappush(active, k)
+                    if k < level:
+                        brighter = True
+        if at < len(front) or active[0] != level:
+            done[level] = at
+        else:
+            heapq.heappop(active)
+            buckets.pop(level)
+            done.pop(level, None)
+    out[inside] = label_of[:n]
+    return out.reshape(block.shape)
 
 
 def bspline3(t: np.ndarray) -> np.ndarray:
