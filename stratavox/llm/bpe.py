@@ -17,8 +17,8 @@ from stratavox.llm.blocks import WordMemo, map_batches, pick, strings, worker_ca
 from stratavox.llm.tokens import _byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Bytes of one generation of the memo of words, verdicts on pairs of tokens that are kept, texts that share a trie.
-WORD_BYTES, PAIRS, TEXTS = 40 << 20, 300_000, 500
+#: Bytes of one generation of the memo of words, verdicts on pairs of tokens and moves that are kept, texts that share a trie.
+WORD_BYTES, PAIRS, TEXTS = 56 << 20, 300_000, 500
 #: How the vocabulary's splitter cuts a text (fixed value).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters from here on may be letters in one table of Unicode and unknown in another.
@@ -43,12 +43,17 @@ class Merges:
         self.halves = halves
         self.right: dict[int, list[tuple[int, float]]] = {}
         self.left: dict[int, list[tuple[int, float]]] = {}
-        self.tokens = {raw: i for i, raw in self.bytes.items()}
+        tokens = {raw: i for i, raw in self.bytes.items()}
         self.packed = {i: np.array([i], "<u4").tobytes() for i in self.bytes}
-        #: The length of the longest token that ends in these two bytes, or is this one.
-        self.longest: dict[bytes, int] = {}
-        for raw in self.tokens:
-            self.longest[raw[-2:]] = max(len(raw), self.longest.get(raw[-2:], 1))
+        #: Beginnings of tokens by number; 0 is the empty one.
+        self.beginnings: dict[bytes, int] = {b"": 0}
+        for raw in tokens:
+            for k in range(1, len(raw) + 1):
+                self.beginnings.setdefault(raw[:k], len(self.beginnings))
+        #: (token, length) of the tokens that end a beginning, longest first.
+        self.ends = [tuple((tokens[raw[k:]], len(raw) - k) for k in range(len(raw)) if raw[k:] in tokens) for raw in self.beginnings]
+        self.spelled = list(self.beginnings)
+        self.moves: dict[int, int] = {}
         self.apart: dict[int, bool] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -66,6 +71,17 @@ class Merges:
             known[token] = out
         return known[token]
 
+    def move(self, state: int, byte: int) -> int:
+        """The longest beginning of a token that ends a text, from the one before its last byte: what can end there is a suffix
+        of it."""
+        raw = self.spelled[state] + bytes([byte])
+        while raw not in self.beginnings:
+            raw = raw[1:]
+        if len(self.moves) >= PAIRS:
+            self.moves.clear()
+        found = self.moves[state << 8 | byte] = self.beginnings[raw]
+        return found
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether the text of a and b is encoded as these two. They join if a merge over their border comes up while both its
         pieces are there; of equal merges the left one goes first."""
@@ -88,27 +104,28 @@ def encode_words(words: Iterable[bytes], merges: Merges) -> dict[bytes, bytes]:
     shorter prefix on the path; so the token of a new prefix is the one that ends it and stays apart from the last token of
     the prefix before it. Encodings of shared prefixes are worked out once.
     """
-    tokens, longest, bytes_of, packed, apart = merges.tokens, merges.longest, merges.bytes, merges.packed, merges.apart
+    moves, ends, bytes_of, packed, apart = merges.moves, merges.ends, merges.bytes, merges.packed, merges.apart
     out: dict[bytes, bytes] = {}
     last: list[int] = []
+    states: list[int] = []
     before = b""
     for w in sorted(words):
         shared, most = 0, min(len(w), len(before))
         while shared < most and w[shared] == before[shared]:
             shared += 1
-        del last[shared:]
-        for end in range(shared + 1, len(w) + 1):
-            start = end - min(end, longest.get(w[max(0, end - 2) : end], 1))
-            while True:
-                token = tokens.get(w[start:end])
-                if token is not None:
-                    if not start:
-                        break
-                    pair = last[start - 1] << 32 | token
-                    if apart[pair] if pair in apart else merges.stay_apart(last[start - 1], token):
-                        break
-                start += 1
+        del last[shared:], states[shared:]
+        state = states[-1] if shared else 0
+        for end in range(shared, len(w)):
+            move = state << 8 | w[end]
+            state = moves[move] if move in moves else merges.move(state, w[end])
+            for token, size in ends[state]:  # noqa: B007
+                if size > end:
+                    break
+                pair = last[end - size] << 32 | token
+                if apart[pair] if pair in apart else merges.stay_apart(last[end - size], token):
+                    break
             last.append(token)
+            states.append(state)
         ids, k = [], len(w)
         while k:
             ids.append(packed[last[k - 1]])

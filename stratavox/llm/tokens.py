@@ -11,7 +11,7 @@ import numpy as np
 from stratavox.llm.blocks import WordMemo, worker_cache
 
 #: Bytes of the memos of chunks and of words.
-CHUNK_BYTES, WORD_BYTES = 48 << 20, 28 << 20
+CHUNK_BYTES, WORD_BYTES = 72 << 20, 40 << 20
 #: Latin-1 letters in lower case, and marks that stand beside words. An apostrophe is none: it may begin a token of its own.
 _LETTERS = b"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _PLAIN = re.compile(rb"([" + _LETTERS + rb"]*)([!-&(-/:-@\[-`{-~]*)")
@@ -48,7 +48,11 @@ class ChunkTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.merge = self.tok.model.tokenize
         #: Strings of special tokens in any case: folded, other strings would look like them.
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
+        names = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, names)) or "(?!)", re.IGNORECASE)
+        same = os.path.commonprefix(names)
+        #: What they all begin with, up to the first letter: most texts lack it.
+        self.mark = same[: next((k for k, c in enumerate(same) if c.isalpha()), len(same))]
         self.letters, self.fold = _byte_letters(), _folded()
         self.words = WordMemo(self._word, WORD_BYTES)
         self.marks = WordMemo(self._marks, 1 << 20)
@@ -75,7 +79,7 @@ class ChunkTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         out, latin, other = [], self.latin.__getitem__, self.other.__getitem__
         for t in texts:
-            if self.special.search(t):
+            if self.mark in t and self.special.search(t):
                 out.append(b"".join(map(other, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
                 continue
             try:
