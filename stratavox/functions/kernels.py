@@ -116,22 +116,22 @@ def convolve_axes(block: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def gaussian(block: np.ndarray, sigma: float) -> np.ndarray:
-    return convolve_axes(block.astype(np.float32), gaussian_weights(sigma).astype(np.float32))
+def gaussian(block: np.ndarray, sigma: float, dtype: str = "f4") -> np.ndarray:
+    return convolve_axes(block.astype(dtype), gaussian_weights(sigma).astype(dtype))
 
 
-def gaussian_blur(block: np.ndarray, sigma: float) -> np.ndarray:
-    return to_uint16(gaussian(block, sigma))
+def gaussian_blur(block: np.ndarray, sigma: float, dtype: str = "f4") -> np.ndarray:
+    return to_uint16(gaussian(block, sigma, dtype))
 
 
-def dog(block: np.ndarray, sigma1: float = 1, sigma2: float = 4) -> np.ndarray:
+def dog(block: np.ndarray, sigma1: float = 1, sigma2: float = 4, dtype: str = "f4") -> np.ndarray:
     """Difference of two Gaussians."""
-    return to_uint16(gaussian(block, sigma1) - gaussian(block, sigma2))
+    return to_uint16(gaussian(block, sigma1, dtype) - gaussian(block, sigma2, dtype))
 
 
-def subtract_gaussian(block: np.ndarray, sigma: float = 101) -> np.ndarray:
+def subtract_gaussian(block: np.ndarray, sigma: float = 101, dtype: str = "f4") -> np.ndarray:
     """What is above the local mean."""
-    return to_uint16(block.astype(np.float32) - gaussian(block, sigma))
+    return to_uint16(block.astype(dtype) - gaussian(block, sigma, dtype))
 
 
 def local_maxima(block: np.ndarray, radius: int, mask: np.ndarray | None = None) -> np.ndarray:
@@ -311,6 +311,43 @@ def zoom_matrix(n: int, m: int) -> np.ndarray:
     return np.linalg.solve(basis.T, read.T).T
 
 
+def sample_places(n: int, m: int) -> np.ndarray:
+    """Where m samples lie among n, both ends aligned."""
+    return np.arange(m) * ((n - 1) / (m - 1)) if m > 1 else np.zeros(1)
+
+
+def spline_coefficients(f: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic spline through samples along the first axis, mirrored at both ends: one sweep forward and one
+    back through the three diagonals."""
+    n = len(f)
+    if n == 1:
+        return f.copy()
+    out, ratio = np.empty_like(f, np.float64), np.empty(n)
+    ratio[0], out[0] = 0.5, f[0] * 1.5
+    for i in range(1, n):
+        below = 1 / 6 if i < n - 1 else 1 / 3
+        pivot = 2 / 3 - below * ratio[i - 1]
+        ratio[i] = 1 / 6 / pivot
+        out[i] = (f[i] - below * out[i - 1]) / pivot
+    for i in range(n - 2, -1, -1):
+        out[i] -= ratio[i] * out[i + 1]
+    return out
+
+
+def resample_window(window: np.ndarray, start: int, n: int, at: np.ndarray) -> np.ndarray:
+    """The spline at places of an axis of n samples, from a window of the samples from `start` on that reaches far enough."""
+    c = spline_coefficients(window)
+    if n == 1:
+        return np.repeat(c, len(at), axis=0)
+    first = np.floor(at).astype(np.int64)
+    out = np.zeros((len(at), *window.shape[1:]))
+    for d in (-1, 0, 1, 2):
+        i = first + d
+        inside = np.clip(np.where(i < 0, -i, np.where(i > n - 1, 2 * (n - 1) - i, i)), 0, n - 1)
+        out += bspline3(at - i).reshape(-1, *[1] * (window.ndim - 1)) * c[inside - start]
+    return out
+
+
 def zoom(block: np.ndarray, factors: tuple[float, float, float]) -> np.ndarray:
     """Cubic spline resampling of a whole volume; each axis gets round(n * factor) samples."""
     out = block.astype(np.float64)

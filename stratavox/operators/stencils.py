@@ -21,16 +21,17 @@ def tophat(blocks: DataFrame, radius: int = 10, halo: int = 0) -> DataFrame:
     return _apply(blocks, partial(K.tophat, radius=radius), halo)
 
 
-def dog(blocks: DataFrame, sigma1: float = 1, sigma2: float = 4, halo: int = 0) -> DataFrame:
-    return _apply(blocks, partial(K.dog, sigma1=sigma1, sigma2=sigma2), halo)
+def dog(blocks: DataFrame, sigma1: float = 1, sigma2: float = 4, halo: int = 0, dtype: str = "f4") -> DataFrame:
+    """Difference of Gaussians, in single precision unless `dtype` says otherwise, as all filters with Gaussians."""
+    return _apply(blocks, partial(K.dog, sigma1=sigma1, sigma2=sigma2, dtype=dtype), halo)
 
 
-def gaussian_blur(blocks: DataFrame, sigma: float, halo: int = 0) -> DataFrame:
-    return _apply(blocks, partial(K.gaussian_blur, sigma=sigma), halo)
+def gaussian_blur(blocks: DataFrame, sigma: float, halo: int = 0, dtype: str = "f4") -> DataFrame:
+    return _apply(blocks, partial(K.gaussian_blur, sigma=sigma, dtype=dtype), halo)
 
 
-def subtract_gaussian(blocks: DataFrame, sigma: float = 101, halo: int = 0) -> DataFrame:
-    return _apply(blocks, partial(K.subtract_gaussian, sigma=sigma), halo)
+def subtract_gaussian(blocks: DataFrame, sigma: float = 101, halo: int = 0, dtype: str = "f4") -> DataFrame:
+    return _apply(blocks, partial(K.subtract_gaussian, sigma=sigma, dtype=dtype), halo)
 
 
 def erode(blocks: DataFrame, radius: int, halo: int = 0) -> DataFrame:
@@ -69,9 +70,9 @@ def mask_blocks(blocks: DataFrame, mask: DataFrame) -> DataFrame:
     return map_aligned(lambda b, m: np.where(m > 0, b, 0).astype(b.dtype), blocks, mask)
 
 
-def detection_front(blocks: DataFrame, radius: int = 10, sigma1: float = 1, sigma2: float = 4, sigma_mean: float = 101, value: float = 100) -> DataFrame:
+def detection_front(blocks: DataFrame, radius: int = 10, sigma1: float = 1, sigma2: float = 4, sigma_mean: float = 101, value: float = 100, dtype: str = "f4") -> DataFrame:
     """Top-hat, difference of Gaussians, subtraction of the local mean and threshold as one pass over the blocks."""
-    return map_blocks(blocks, K.chain(partial(K.tophat, radius=radius), partial(K.dog, sigma1=sigma1, sigma2=sigma2), partial(K.subtract_gaussian, sigma=sigma_mean), partial(K.threshold, value=value)))
+    return map_blocks(blocks, K.chain(partial(K.tophat, radius=radius), partial(K.dog, sigma1=sigma1, sigma2=sigma2, dtype=dtype), partial(K.subtract_gaussian, sigma=sigma_mean, dtype=dtype), partial(K.threshold, value=value)))
 
 
 def footprint(spark, radius: int, closed: bool = True) -> DataFrame:

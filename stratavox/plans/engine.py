@@ -11,8 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.functions import kernels as K
-from stratavox.operators import combine, labels, mapping, objects, ontology, raster, stencils
+from stratavox.operators import combine, labels, mapping, objects, ontology, raster, resample, stencils
 from stratavox.operators import volumes as V
 from stratavox.plans.catalog import Catalog, discover_projects
 from stratavox.plans.config import Config
@@ -144,9 +143,8 @@ def reg_img_rough(e: Engine) -> dict:
 @step(["downsmpl1"], ["downsmpl2"])
 def reg_img_fine(e: Engine) -> dict:
     shape = [int(n) + 1 for n in e.read("downsmpl1").agg(*[F.max(c) for c in COORDS]).first()]
-    one = V.voxels_to_blocks(e.read("downsmpl1"), shape, shape, "float64")
-    factors = e.config.registration.downsample_fine
-    fine = V.map_blocks(one, lambda b: np.rint(K.zoom(b, factors)))
+    slabs = V.voxels_to_blocks(e.read("downsmpl1"), resample.SLAB, shape, "float64")
+    fine = V.map_blocks(resample.zoom(slabs, shape, e.config.registration.downsample_fine), np.rint)
     return {"downsmpl2": V.blocks_to_voxels(fine).select(*COORDS, "v")}
 
 

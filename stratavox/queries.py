@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.functions import kernels as K
-from stratavox.operators import combine, labels, mapping, objects, ontology, raster, stencils
+from stratavox.operators import combine, labels, mapping, objects, ontology, raster, resample, stencils
 from stratavox.operators import volumes as V
 from stratavox.plans import fixtures as X
 from stratavox.plans.schema import COORDS
@@ -358,31 +358,83 @@ def maxima_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.maxima_1d(X.signal(spark, sf_dir), 2, "user_id", ("ts", "event_id")).select("event_id", "v")
 
 
-@query()
+#: rows of a Gaussian of width s along an axis of a chunk: weight of voxel j for voxel i, mirrored at both ends as often as need be
+_GAUSS = lambda name, s: f"""{name} AS (  -- width {s}
+  SELECT i, CASE WHEN m < 4 THEN m ELSE 7 - m END AS j, sum(w) AS w FROM (
+    SELECT i, ((i + k) % 8 + 8) % 8 AS m, w FROM (SELECT k, exp(-0.5 * (k / {s}::DOUBLE) ** 2) / sum(exp(-0.5 * (k / {s}::DOUBLE) ** 2)) OVER () AS w FROM range(-{int(4 * s + 0.5)}, {int(4 * s + 0.5)} + 1) r(k)), range(4) v(i)
+  ) GROUP BY ALL
+)"""
+_BLUR = lambda src, name: f"(SELECT a.vec_id, p.i AS iz, q.i AS iy, r.i AS ix, sum(a.v * p.w * q.w * r.w) AS g FROM {src} a JOIN {name} p ON p.j = a.z % 4 JOIN {name} q ON q.j = a.y % 4 JOIN {name} r ON r.j = a.x % 4 GROUP BY ALL)"
+_AT = lambda t: f"{t}.vec_id = v.vec_id AND {t}.iz = v.z % 4 AND {t}.iy = v.y % 4 AND {t}.ix = v.x % 4"
+_CUT = lambda e: f"CAST(floor(least(greatest({e}, 0), 65535)) AS BIGINT)"
+
+
+@query(f"WITH {VOX}, {_GAUSS('g1', 1)}, {_GAUSS('g4', 4)} SELECT z, y, x, {_CUT('a.g - b.g')} AS v FROM vox v JOIN {_BLUR('vox', 'g1')} a ON {_AT('a')} JOIN {_BLUR('vox', 'g4')} b ON {_AT('b')}")
 def gaussian_dog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.blocks_to_voxels(stencils.dog(X.volume(spark, sf_dir), 1, 4)).select(*COORDS, "v")
+    """In double precision here, so that SQL gives the same whole numbers."""
+    return V.blocks_to_voxels(stencils.dog(X.volume(spark, sf_dir), 1, 4, dtype="f8")).select(*COORDS, "v")
 
 
-@query()
+@query(f"WITH {VOX}, {_GAUSS('g2', 2)} SELECT z, y, x, {_CUT('a.g')} AS v FROM vox v JOIN {_BLUR('vox', 'g2')} a ON {_AT('a')}")
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.blocks_to_voxels(stencils.gaussian_blur(X.volume(spark, sf_dir), 2)).select(*COORDS, "v")
+    return V.blocks_to_voxels(stencils.gaussian_blur(X.volume(spark, sf_dir), 2, dtype="f8")).select(*COORDS, "v")
 
 
-@query()
+@query(f"WITH {VOX}, {_GAUSS('g101', 101)} SELECT z, y, x, {_CUT('v.v - a.g')} AS v FROM vox v JOIN {_BLUR('vox', 'g101')} a ON {_AT('a')}")
 def gaussian_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.blocks_to_voxels(stencils.subtract_gaussian(X.volume(spark, sf_dir), 101)).select(*COORDS, "v")
+    return V.blocks_to_voxels(stencils.subtract_gaussian(X.volume(spark, sf_dir), 101, dtype="f8")).select(*COORDS, "v")
 
 
-@query()
+_BALL2 = "(SELECT a.i AS dz, b.i AS dy, c.i AS dx FROM range(-2, 3) a(i), range(-2, 3) b(i), range(-2, 3) c(i) WHERE a.i * a.i + b.i * b.i + c.i * c.i <= 4) d"
+#: neighbours two voxels away lie inside the chunk or don't count: a mirrored voxel is nearer and in the ball as well
+_WITHIN = "ON b.vec_id = a.vec_id AND b.z = a.z + d.dz AND b.y = a.y + d.dy AND b.x = a.x + d.dx"
+
+
+@query(
+    f"WITH {VOX}, low AS (SELECT a.vec_id, a.z, a.y, a.x, min(b.v) AS v FROM vox a CROSS JOIN {_BALL2} JOIN vox b {_WITHIN} GROUP BY ALL), "
+    f"opened AS (SELECT a.vec_id, a.z, a.y, a.x, max(b.v) AS v FROM low a CROSS JOIN {_BALL2} JOIN low b {_WITHIN} GROUP BY ALL), "
+    "top AS (SELECT vec_id, z, y, x, greatest(vox.v - opened.v, 0) AS v FROM vox JOIN opened USING (vec_id, z, y, x)), "
+    f"{_GAUSS('g1', 1)}, {_GAUSS('g2', 2)}, {_GAUSS('g4', 4)}, "
+    f"dog AS (SELECT v.vec_id, z, y, x, {_CUT('a.g - b.g')} AS v FROM top v JOIN {_BLUR('top', 'g1')} a ON {_AT('a')} JOIN {_BLUR('top', 'g2')} b ON {_AT('b')}) "
+    f"SELECT z, y, x, CAST({_CUT('v.v - a.g')} >= 5 AS BIGINT) AS m FROM dog v JOIN {_BLUR('dog', 'g4')} a ON {_AT('a')}"
+)
 def detection_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four filters as one pass over the blocks."""
-    return V.blocks_to_voxels(stencils.detection_front(X.volume(spark, sf_dir), 2, 1, 2, 4, 5)).select(*COORDS, F.col("v").alias("m"))
+    return V.blocks_to_voxels(stencils.detection_front(X.volume(spark, sf_dir), 2, 1, 2, 4, 5, dtype="f8")).select(*COORDS, F.col("v").alias("m"))
 
 
-@query()
+#: rows of cubic-spline resampling of n samples to m: weight of sample j for the new one i. The coefficients of the spline are a
+#: sum over the samples with powers of sqrt(3) - 2, mirrored at both ends; four of them meet at each new sample
+_SPLINE = lambda name, n, m: f"""{name} AS (
+  SELECT i, CASE WHEN f < n THEN f ELSE 2 * (n - 1) - f END AS j, sum(w) AS w FROM (
+    SELECT i, n, ((c + k) % (2 * n - 2) + 2 * n - 2) % (2 * n - 2) AS f, sqrt(3) * (sqrt(3) - 2) ** abs(k) * b AS w FROM (
+      SELECT i, n, c, CASE WHEN t < 1 THEN 2 / 3::DOUBLE - t * t + t * t * t / 2 ELSE (2 - t) ** 3 / 6 END AS b FROM (
+        SELECT i, n, CAST(floor(p) AS BIGINT) + d AS c, abs(p - floor(p) - d) AS t FROM (SELECT i, {n} AS n, i * (({n} - 1) / ({m} - 1)::DOUBLE) AS p FROM range({m}) r(i)), range(-1, 3) s(d)
+      ) WHERE t < 2
+    ), range(-40, 41) u(k)
+  ) GROUP BY ALL
+)"""
+
+
+@query(
+    f"WITH {VOX}, {_SPLINE('s', 4, 3)} SELECT cz, cy, cx, CAST(round_even(round(sum(v * p.w * q.w), 6), 0) AS BIGINT) AS v FROM vox JOIN s p ON p.j = y % 4 JOIN s q ON q.j = x % 4 GROUP BY cz, cy, cx, z, p.i, q.i"
+)
 def zoom_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cubic spline resampling, here of each chunk."""
-    return V.blocks_to_voxels(V.map_blocks(X.volume(spark, sf_dir), lambda b: np.rint(K.zoom(b, (1.0, 0.75, 0.75))))).select("cz", "cy", "cx", "v")
+    """Cubic spline resampling, here of each chunk; sums a hair beside a half count as that half."""
+    return V.blocks_to_voxels(V.map_blocks(X.volume(spark, sf_dir), lambda b: np.rint(np.round(K.zoom(b, (1.0, 0.75, 0.75)), 6)))).select("cz", "cy", "cx", "v")
+
+
+@query(
+    f"WITH {VOX}, depth AS (SELECT max(z) + 1 AS n FROM vox), {_SPLINE('down', '(SELECT n FROM depth)', '(SELECT n // 2 FROM depth)')}, {_SPLINE('across', 32, 24)}, "
+    "by_z AS (SELECT i AS z, y, x, sum(v * w) AS v FROM vox JOIN down ON j = z GROUP BY ALL), by_y AS (SELECT z, i AS y, x, sum(v * w) AS v FROM by_z JOIN across ON j = y GROUP BY ALL), "
+    "by_x AS (SELECT z, y, i AS x, sum(v * w) AS v FROM by_y JOIN across ON j = x GROUP BY ALL) SELECT z, y, x, CAST(floor(v * 1000000 + 0.5) AS BIGINT) AS v_micro FROM by_x"
+)
+def zoom_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubic spline resampling of the whole volume in slabs; voxels of chunks that aren't there are 0."""
+    vox = X.voxels(spark, sf_dir)
+    shape = (vox.agg(F.max("z")).first()[0] + 1, X.SHAPE[1], X.SHAPE[2])
+    slabs = resample.zoom(V.voxels_to_blocks(vox, (8, 8, 8), shape, "float64"), shape, (0.5, 0.75, 0.75), (8, 8, 8))
+    return V.blocks_to_voxels(V.map_blocks(slabs, lambda b: np.floor(b * 1e6 + 0.5).astype(np.int64))).select(*COORDS, F.col("v").alias("v_micro"))
 
 
 # ---- labels -----------------------------------------------------------------------------------------------------------
