@@ -15,6 +15,44 @@ def test_tiff_round_trip(dtype, compress):
     assert tiff.from_bytes(tiff.to_bytes(a[0]), squeeze=False).shape == (1, 5, 7)
 
 
+@pytest.mark.parametrize("compress", [False, True, "lzw"])
+@pytest.mark.parametrize("predictor", [1, 2])
+@pytest.mark.parametrize("cut", [{"tile": (16, 32)}, {"rows": 4}, {}])
+def test_tiff_segments(compress, predictor, cut):
+    rng = np.random.default_rng(3)
+    for a in (rng.integers(0, 60000, (2, 37, 50)).astype("u2"), np.zeros((1, 90, 70), "u1"), np.cumsum(rng.integers(0, 3, (2, 20, 33)), axis=2).astype("i4")):
+        data = tiff.to_bytes(a, compress, predictor, **cut)
+        assert np.array_equal(tiff.from_bytes(data, squeeze=False), a)
+        for y, x in ((slice(3, 18), slice(20, 33)), (slice(0, 1), slice(0, 1)), (slice(5, 5), slice(None)), (slice(None), slice(30, 31))):
+            opened = []
+
+            def read(at, n, data=data, opened=opened):
+                opened.append(at)
+                return data[at : at + n]
+
+            page = list(tiff.pages(read))[-1]
+            opened.clear()
+            assert np.array_equal(page.decode(read, y, x), a[-1][y, x])
+            sh, sw = page.segment
+            want = len({(r // sh, c // sw) for r in range(*y.indices(page.shape[0])) for c in range(*x.indices(page.shape[1]))})
+            assert len(opened) == want
+
+
+def test_lzw_round_trips_and_known_bytes():
+    rng = np.random.default_rng(4)
+    cases = [b"", b"a", b"a" * 100_000, bytes(range(256)) * 40, rng.bytes(70_000), rng.integers(0, 3, 200_000).astype("u1").tobytes()]
+    for data in cases:
+        assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+    # 7 7 7 8 8 7 7 6 6: clear, 7, 258, 8, 8, 258, 6, 6, end, nine bits each
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    known = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == known
+    assert tiff.lzw_decode(known) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    with pytest.raises(ValueError):
+        tiff.lzw_decode(b"\x80\x7f\xff")
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         tiff.from_bytes(b"not a file at all")
