@@ -224,9 +224,12 @@ def rechunk(blocks: DataFrame, chunk: Sequence[int]) -> DataFrame:
     return few_blocks(blocks.select(*_NAMES)).mapInArrow(cut, BLOCK).groupBy(*CHUNK).applyInArrow(join, BLOCK)
 
 
-def prune_blocks(blocks: DataFrame, start: Sequence[int], stop: Sequence[int]) -> DataFrame:
-    """Only blocks that meet a box; the comparison of stored origins reaches the Parquet scan."""
-    for o, n, a, z in zip(("z0", "y0", "x0"), ("nz", "ny", "nx"), start, stop, strict=True):
+def prune_blocks(blocks: DataFrame, start: Sequence[int], stop: Sequence[int], chunk: Sequence[int] | None = None) -> DataFrame:
+    """Only blocks that meet a box; the comparison of stored origins reaches the scan. If the largest chunk is known, so does
+    the lower bound, as a comparison of its own."""
+    for i, (o, n, a, z) in enumerate(zip(("z0", "y0", "x0"), ("nz", "ny", "nx"), start, stop, strict=True)):
+        if chunk is not None:
+            blocks = blocks.where(F.col(o) > a - chunk[i])
         blocks = blocks.where((F.col(o) < z) & (F.col(o) + F.col(n) > a))
     return blocks
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -108,3 +110,55 @@ def test_single_files(spark, tmp_path):
         assert (read((tmp_path / name).read_bytes()) == a).all()
     with pytest.raises(ValueError):
         S.collect_volume(b, a.shape, "uint16", most=10)
+
+
+@pytest.mark.parametrize("cut", [{"tile": (16, 16)}, {"rows": 5}])
+@pytest.mark.parametrize("compress", [False, "lzw"])
+def test_a_box_of_a_large_file(spark, tmp_path, cut, compress):
+    a = np.random.default_rng(5).integers(0, 5000, (9, 60, 70)).astype(np.uint16)
+    (tmp_path / "a.tif").write_bytes(tiff.to_bytes(a, compress, **cut))
+    whole, part = tmp_path / "whole", tmp_path / "part"
+    whole.mkdir()
+    part.mkdir()
+    path, chunk = str(tmp_path / "a.tif"), (4, 20, 30)
+    assert (S.collect_volume(S.read_big_tiff(spark, path, chunk, opened=str(whole)), a.shape, "u2") == a).all()
+    box = ((5, 21, 0), (7, 39, 29))
+    near = S.read_big_tiff(spark, path, chunk, box, opened=str(part))
+    rows = near.collect()
+    assert [(r["z0"], r["y0"], r["x0"]) for r in rows] == [(4, 20, 0)]
+    assert (S.as_array(rows[0].asDict()) == a[4:8, 20:40, :30]).all()
+    count = lambda d: sum(int(f.read_text()) for f in d.iterdir())
+    # four pages; rows 20 to 39 and columns up to 29 meet 2 by 2 tiles of 16, or 4 strips of 5
+    assert count(part) == 4 * 4 and count(whole) > 5 * count(part)
+    q = near._jdf.queryExecution()
+    left = lambda plan: re.search(r"z0#\d+L [<>] (cast\()?-?\d", plan.toString())
+    assert left(q.analyzed()) and not left(q.executedPlan())  # Spark has handed these comparisons to the source
+
+
+def test_a_large_file_written_by_tasks(spark, tmp_path):
+    a = np.random.default_rng(6).integers(0, 5000, (7, 50, 40)).astype(np.uint16)
+    path = str(tmp_path / "sub" / "out.tif")
+    blocks = blocks_of(spark, a, (3, 20, 16)).repartition(5)
+    S.write_big_tiff(blocks, path, a.shape, "uint16")
+    with open(path, "rb") as f:
+        assert np.array_equal(tiff.from_bytes(f.read()), a)
+    assert (S.collect_volume(S.read_big_tiff(spark, path, (4, 20, 30)), a.shape, "u2") == a).all()
+    with pytest.raises(Exception, match="out.tif"):
+        S.write_big_tiff(blocks, path, a.shape, "uint16")
+    S.write_big_tiff(blocks.where("cz = 0"), path, a.shape, "uint16", overwrite=True)
+    with open(path, "rb") as f:
+        got = tiff.from_bytes(f.read())
+    assert np.array_equal(got[:3], a[:3]) and not got[3:].any()
+    with pytest.raises(Exception, match="outside the shape"):
+        S.write_big_tiff(blocks, path, (7, 50, 30), "uint16", overwrite=True)
+    assert [f.name for f in (tmp_path / "sub").iterdir()] == ["out.tif"]  # a failed write leaves the old file alone
+
+
+def test_stack_of_files_with_several_pages(spark, tmp_path):
+    a = np.random.default_rng(7).integers(0, 5000, (11, 6, 7)).astype(np.uint16)
+    for k, (lo, hi) in enumerate(((0, 4), (4, 5), (5, 11))):
+        (tmp_path / f"part{k * 6}.tif").write_bytes(tiff.to_bytes(a[lo:hi], "lzw"))
+    got = S.read_tiff_stack(spark, str(tmp_path), (4, 4, 4), multipage=True)
+    assert (S.collect_volume(got, a.shape, "u2") == a).all() and got.count() == 3 * 2 * 2
+    with pytest.raises(Exception, match="multipage=True"):
+        S.read_tiff_stack(spark, str(tmp_path), (4, 4, 4)).count()
