@@ -83,6 +83,13 @@ def footprint(spark, radius: int, closed: bool = True) -> DataFrame:
     return cube.where(d <= radius * radius if closed else d < radius * radius)
 
 
+def footprints(radii: DataFrame) -> DataFrame:
+    """(radius, dz, dy, dx) of the closed ball of each radius of a table: sequences of the row itself, no cross join."""
+    span = lambda c: F.explode(F.sequence(-F.col("radius"), F.col("radius"))).alias(c)
+    cube = radii.select("radius", span("dz")).select("*", span("dy")).select("*", span("dx"))
+    return cube.where("dz * dz + dy * dy + dx * dx <= radius * radius")
+
+
 def _frame(radius: int, by: str, *order: str):
     return Window.partitionBy(by).orderBy(*order).rowsBetween(-radius, radius)
 

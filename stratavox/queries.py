@@ -14,7 +14,9 @@ from stratavox.operators import combine, labels, mapping, objects, ontology, ras
 from stratavox.operators import volumes as V
 from stratavox.plans import fixtures as X
 from stratavox.plans.schema import COORDS
-from stratavox.runtime import settle
+from stratavox.runtime import settle, shared_dir
+from stratavox.sources import arrays
+from stratavox.sources import volumes as S
 from stratavox.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,6 +296,12 @@ def footprint_r3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.footprint(spark, 3)
 
 
+@query("SELECT DISTINCT r.l_linenumber AS radius, a.i AS dz, b.i AS dy, c.i AS dx FROM (SELECT DISTINCT l_linenumber FROM lineitem) r, range(-9, 10) a(i), range(-9, 10) b(i), range(-9, 10) c(i) WHERE a.i * a.i + b.i * b.i + c.i * c.i <= r.l_linenumber * r.l_linenumber")
+def footprint_of_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balls of all radii of a table."""
+    return stencils.footprints(X.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("radius")).distinct())
+
+
 @query(f"WITH {VOX} SELECT a.z, a.y, a.x, min(b.v) AS v FROM vox a CROSS JOIN {_BALL1} {_NEAR} GROUP BY ALL")
 def erode_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.blocks_to_voxels(stencils.erode(X.volume(spark, sf_dir), 1)).select(*COORDS, "v")
@@ -586,7 +594,27 @@ def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.extract_from_blocks(raw, maxima, regions, sizes)
 
 
-@query()
+#: labelled maxima inside the foreground: as `lab`, with the maxima in place of the foreground
+_MAXIMA = LAB.replace(f"fg AS (SELECT * FROM vox WHERE v >= {X.FOREGROUND})", f"fg AS (SELECT a.* FROM vox a CROSS JOIN {_BALL1} {_NEAR} WHERE a.v >= {X.FOREGROUND} GROUP BY ALL HAVING a.v = max(b.v))")
+#: one voxel of each chunk in turn leaves the queue and hands its label to its free neighbours, places 0 to 63
+_FLOOD = f"""chunk AS (
+  SELECT vec_id, list(v ORDER BY p) AS vs, list(label ORDER BY p) AS lab, coalesce(list({{'k': -v, 'n': n, 'i': p}}) FILTER (label > 0), []) AS q
+  FROM (SELECT vox.vec_id, vox.v, z % 4 * 16 + y % 4 * 4 + x % 4 AS p, coalesce(label, 0) AS label, count(label) OVER (PARTITION BY vox.vec_id ORDER BY z, y, x) AS n FROM vox LEFT JOIN lab USING (vec_id, z, y, x)) GROUP BY vec_id
+), flood(vec_id, vs, lab, q, n) AS (
+  SELECT vec_id, vs, lab, q, 100 FROM chunk UNION ALL
+  SELECT vec_id, vs, [CASE WHEN list_contains(nb, j) THEN lab[t + 1] ELSE lab[j + 1] END for j in range(64)],
+    list_concat(q[2:], [{{'k': -vs[j + 1], 'n': n + list_position(nb, j), 'i': j}} for j in nb]), n + len(nb)
+  FROM (
+    SELECT *, [j for j in [CASE WHEN t >= 16 THEN t - 16 END, CASE WHEN t // 4 % 4 > 0 THEN t - 4 END, CASE WHEN t % 4 > 0 THEN t - 1 END, CASE WHEN t % 4 < 3 THEN t + 1 END, CASE WHEN t // 4 % 4 < 3 THEN t + 4 END, CASE WHEN t < 48 THEN t + 16 END] if j IS NOT NULL AND vs[j + 1] >= {X.FOREGROUND} AND lab[j + 1] = 0] AS nb
+    FROM (SELECT vec_id, vs, lab, list_sort(q) AS q, n, list_sort(q)[1].i AS t FROM flood WHERE len(q) > 0)
+  )
+)"""
+
+
+@query(
+    f"WITH RECURSIVE {_MAXIMA}, {_FLOOD} SELECT 4 * (vec_id // 64) + p // 16 AS z, 4 * (vec_id // 8 % 8) + p // 4 % 4 AS y, 4 * (vec_id % 8) + p % 4 AS x, label "
+    "FROM (SELECT vec_id, unnest(lab) AS label, unnest(range(64)) AS p FROM flood WHERE len(q) = 0) WHERE label > 0"
+)
 def watershed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = X.volume(spark, sf_dir)
     mask = stencils.threshold(raw, X.FOREGROUND)
@@ -742,5 +770,67 @@ def streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_to_end(live.region_totals(cells), f"totals_{uuid.uuid4().hex}").select("id", "count", "volume")
 
 
+# ---- files ------------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    import uuid
+
+    return f"{shared_dir(spark)}/stratavox/{name}-{uuid.uuid4().hex}"
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    n = X.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    return (X.SIDE * (n // X.GRID**2 + 1), X.SHAPE[1], X.SHAPE[2])
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE z BETWEEN 5 AND 18 AND y BETWEEN 3 AND 28 AND x BETWEEN 9 AND 20")
+def tiff_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume as one TIFF file written by all tasks, and a box read back from it."""
+    path, shape = _scratch(spark, "volume") + ".tif", _shape(spark, sf_dir)
+    S.write_big_tiff(X.volume(spark, sf_dir), path, shape, "int32")
+    near = S.read_big_tiff(spark, path, (6, 10, 7), ((5, 3, 9), (19, 29, 21)))
+    return V.blocks_to_voxels(near).where("z between 5 and 18 and y between 3 and 28 and x between 9 and 20").select(*COORDS, "v")
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v FROM vox WHERE v <> 0")
+def zarr_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume as a chunked array on disk, a file for each chunk, and all of it read back."""
+    path = _scratch(spark, "volume") + ".zarr"
+    S.write_zarr(X.volume(spark, sf_dir), path, _shape(spark, sf_dir), X.CHUNK_SHAPE, "int32")
+    return V.blocks_to_voxels(S.read_volume(spark, path, X.CHUNK_SHAPE), sparse=True).select(*COORDS, "v")
+
+
+@query(f"WITH RECURSIVE {CELLS} SELECT id, count(*) AS count, CAST(sum(volume) AS DOUBLE) AS volume FROM cell GROUP BY id")
+def csv_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regional totals as the text table that users open elsewhere, read back."""
+    path = _scratch(spark, "totals")
+    _doubles(live.region_totals(X.cells(spark, sf_dir)), "volume").select("id", "count", "volume").orderBy("id").coalesce(1).write.csv(path, header=True)  # a row per region
+    return spark.read.csv(path, header=True, schema="id long, count long, volume double")
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in daily windows of a stream that is read to its end; windows stay open as long as nothing later has come."""
+    import uuid
+
+    events = live.stream_table(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    counts = live.windowed_counts(events, "ts", "kind", "1 day", "10000 days")
+    return live.run_to_end(counts, f"windows_{uuid.uuid4().hex}").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "kind", "n")
+
+
+@query(
+    f"WITH RECURSIVE {LAB} SELECT label, min((z * 1000 + y) * 1000 + x) // 1000000 AS z, min((z * 1000 + y) * 1000 + x) // 1000 % 1000 AS y, min((z * 1000 + y) * 1000 + x) % 1000 AS x, count(*) AS volume, CAST(sum(v) AS DOUBLE) AS sum_intensity FROM lab GROUP BY label"
+)
+def streaming_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of the chunks of a stream, appended batch by batch."""
+    path = _scratch(spark, "objects")
+    stream = live.stream_table(spark, f"{sf_dir}/embeddings.parquet")
+    blocks = lambda batch: arrays.blocks_of_arrays(batch, "vec_id", "embedding", X.CHUNK_SHAPE, (X.GRID, X.GRID), 1, 1000)
+    live.append_cells(stream, lambda batch: objects.threshold_objects(blocks(batch), X.FOREGROUND, X.CHUNK_SHAPE, (1, X.GRID, X.GRID)), path, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path).select("label", *COORDS, "volume", "sum_intensity")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return region_rollup(spark, "/root/testdata/sf0.001")
