@@ -579,40 +579,25 @@ def tuning_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.shift(X.voxels(spark, sf_dir).select(*COORDS, "v"), (10, 0, 5))
 
 
-@query()
-def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the raw volume to objects: filters, threshold, components, size filter, maxima, watershed, extraction."""
-    raw = X.volume(spark, sf_dir)
-    grid = (1 << 20, X.GRID, X.GRID)
-    mask = V.map_blocks(raw, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=60)))
-    lab = settle(labels.label_blocks(mask, X.CHUNK_SHAPE, grid), "labels")
-    table = labels.block_component_table(lab, X.CHUNK_SHAPE)
-    kept = settle(V.map_blocks(labels.scatter_volumes(lab, table), lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8)), "kept")
-    maxima = settle(labels.label_blocks(stencils.local_maxima(raw, 1, kept), X.CHUNK_SHAPE, grid), "maxima")
-    regions = settle(stencils.watershed(raw, maxima, kept), "regions")
-    sizes = labels.scatter_volumes(regions, labels.block_component_table(regions, X.CHUNK_SHAPE))
-    return objects.extract_from_blocks(raw, maxima, regions, sizes)
-
-
 #: labelled maxima inside the foreground: as `lab`, with the maxima in place of the foreground
 _MAXIMA = LAB.replace(f"fg AS (SELECT * FROM vox WHERE v >= {X.FOREGROUND})", f"fg AS (SELECT a.* FROM vox a CROSS JOIN {_BALL1} {_NEAR} WHERE a.v >= {X.FOREGROUND} GROUP BY ALL HAVING a.v = max(b.v))")
 #: one voxel of each chunk in turn leaves the queue and hands its label to its free neighbours, places 0 to 63
-_FLOOD = f"""chunk AS (
-  SELECT vec_id, list(v ORDER BY p) AS vs, list(label ORDER BY p) AS lab, coalesce(list({{'k': -v, 'n': n, 'i': p}}) FILTER (label > 0), []) AS q
-  FROM (SELECT vox.vec_id, vox.v, z % 4 * 16 + y % 4 * 4 + x % 4 AS p, coalesce(label, 0) AS label, count(label) OVER (PARTITION BY vox.vec_id ORDER BY z, y, x) AS n FROM vox LEFT JOIN lab USING (vec_id, z, y, x)) GROUP BY vec_id
-), flood(vec_id, vs, lab, q, n) AS (
-  SELECT vec_id, vs, lab, q, 100 FROM chunk UNION ALL
-  SELECT vec_id, vs, [CASE WHEN list_contains(nb, j) THEN lab[t + 1] ELSE lab[j + 1] END for j in range(64)],
-    list_concat(q[2:], [{{'k': -vs[j + 1], 'n': n + list_position(nb, j), 'i': j}} for j in nb]), n + len(nb)
+_FLOOD = """chunk AS (
+  SELECT vec_id, list(v ORDER BY p) AS vs, list(inside ORDER BY p) AS ms, list(label ORDER BY p) AS lab, coalesce(list({'k': -v, 'n': n, 'i': p}) FILTER (label > 0), []) AS q
+  FROM (SELECT vox.vec_id, vox.v, __INSIDE__ AS inside, z % 4 * 16 + y % 4 * 4 + x % 4 AS p, coalesce(label, 0) AS label, count(label) OVER (PARTITION BY vox.vec_id ORDER BY z, y, x) AS n FROM vox LEFT JOIN lab USING (vec_id, z, y, x)) GROUP BY vec_id
+), flood(vec_id, vs, ms, lab, q, n) AS (
+  SELECT vec_id, vs, ms, lab, q, 100 FROM chunk UNION ALL
+  SELECT vec_id, vs, ms, [CASE WHEN list_contains(nb, j) THEN lab[t + 1] ELSE lab[j + 1] END for j in range(64)],
+    list_concat(q[2:], [{'k': -vs[j + 1], 'n': n + list_position(nb, j), 'i': j} for j in nb]), n + len(nb)
   FROM (
-    SELECT *, [j for j in [CASE WHEN t >= 16 THEN t - 16 END, CASE WHEN t // 4 % 4 > 0 THEN t - 4 END, CASE WHEN t % 4 > 0 THEN t - 1 END, CASE WHEN t % 4 < 3 THEN t + 1 END, CASE WHEN t // 4 % 4 < 3 THEN t + 4 END, CASE WHEN t < 48 THEN t + 16 END] if j IS NOT NULL AND vs[j + 1] >= {X.FOREGROUND} AND lab[j + 1] = 0] AS nb
-    FROM (SELECT vec_id, vs, lab, list_sort(q) AS q, n, list_sort(q)[1].i AS t FROM flood WHERE len(q) > 0)
+    SELECT *, [j for j in [CASE WHEN t >= 16 THEN t - 16 END, CASE WHEN t // 4 % 4 > 0 THEN t - 4 END, CASE WHEN t % 4 > 0 THEN t - 1 END, CASE WHEN t % 4 < 3 THEN t + 1 END, CASE WHEN t // 4 % 4 < 3 THEN t + 4 END, CASE WHEN t < 48 THEN t + 16 END] if j IS NOT NULL AND ms[j + 1] AND lab[j + 1] = 0] AS nb
+    FROM (SELECT vec_id, vs, ms, lab, list_sort(q) AS q, n, list_sort(q)[1].i AS t FROM flood WHERE len(q) > 0)
   )
 )"""
 
 
 @query(
-    f"WITH RECURSIVE {_MAXIMA}, {_FLOOD} SELECT 4 * (vec_id // 64) + p // 16 AS z, 4 * (vec_id // 8 % 8) + p // 4 % 4 AS y, 4 * (vec_id % 8) + p % 4 AS x, label "
+    f"WITH RECURSIVE {_MAXIMA}, {_FLOOD.replace('__INSIDE__', f'vox.v >= {X.FOREGROUND}')} SELECT 4 * (vec_id // 64) + p // 16 AS z, 4 * (vec_id // 8 % 8) + p // 4 % 4 AS y, 4 * (vec_id % 8) + p % 4 AS x, label "
     "FROM (SELECT vec_id, unnest(lab) AS label, unnest(range(64)) AS p FROM flood WHERE len(q) = 0) WHERE label > 0"
 )
 def watershed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -622,6 +607,21 @@ def watershed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.labelled_voxels(stencils.watershed(raw, markers, mask)).select(*COORDS, "label")
 
 
+@query()
+def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the raw volume to objects: filters, threshold, components, size filter, maxima, watershed, extraction."""
+    raw = X.volume(spark, sf_dir)
+    grid = (1 << 20, X.GRID, X.GRID)
+    mask = V.map_blocks(raw, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=60)))
+    lab = settle(labels.label_blocks(mask, X.CHUNK_SHAPE, grid), "labels")
+    table = labels.block_component_table(lab, X.CHUNK_SHAPE)
+    kept = settle(V.map_blocks(labels.scatter_volumes(lab, table), lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8)), "kept")
+    maxima = settle(labels.label_blocks(stencils.local_maxima(raw, 1, kept), X.CHUNK_SHAPE, grid), "maxima")
+    regions = settle(stencils.watershed(raw, maxima, kept), "regions")
+    sizes = labels.scatter_volumes(regions, labels.block_component_table(regions, X.CHUNK_SHAPE))
+    return objects.extract_from_blocks(raw, maxima, regions, sizes)
+
+
 # ---- coordinates --------------------------------------------------------------------------------------------------------
 
 
@@ -649,6 +649,27 @@ def bspline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.transform_points(X.points(spark, sf_dir), steps).select("key", "z_trfm", "y_trfm", "x_trfm")
 
 
+_B3 = lambda t: f"(CASE WHEN abs({t}) < 1 THEN 2 / 3::DOUBLE - ({t}) ** 2 + abs({t}) ** 3 / 2 WHEN abs({t}) < 2 THEN (2 - abs({t})) ** 3 / 6 ELSE 0 END)"
+_PLACE = lambda c, a: f"{c} + coalesce(sum(((k * 3 + j * 5 + i * 7 + {a} * 11) % 13 - 6) / 10::DOUBLE * w), 0)"
+
+
+@query(
+    f"WITH {POINTS}, moved AS (SELECT row_number() OVER () AS n, key, 0.9::DOUBLE * (z - 16) + 15 AS z, 0.9::DOUBLE * (y - 16) + 16 AS y, 0.9::DOUBLE * (x - 16) + 17 AS x FROM pts), "
+    "placed AS (SELECT *, (z + 6) / 4 AS w, (y + 6) / 4 AS v, (x + 6) / 4 AS u FROM moved), near AS ("
+    f"SELECT n, k, j, i, {_B3('w - k')} * {_B3('v - j')} * {_B3('u - i')} AS w FROM (SELECT *, floor(w) - 1 + c.r AS k, floor(v) - 1 + b.r AS j, floor(u) - 1 + a.r AS i FROM placed, range(4) a(r), range(4) b(r), range(4) c(r) "
+    "WHERE floor(w) BETWEEN 1 AND 9 AND floor(v) BETWEEN 1 AND 9 AND floor(u) BETWEEN 1 AND 9)) "
+    f"SELECT key, CAST(floor(1000000 * ({_PLACE('any_value(z)', 2)}) + 0.5) AS BIGINT) AS z_micro, CAST(floor(1000000 * ({_PLACE('any_value(y)', 1)}) + 0.5) AS BIGINT) AS y_micro, CAST(floor(1000000 * ({_PLACE('any_value(x)', 0)}) + 0.5) AS BIGINT) AS x_micro "
+    "FROM moved LEFT JOIN near USING (n) GROUP BY n, key"
+)
+def bspline_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kind of chain with control points by a formula, in millionths of a voxel."""
+    z, y, x = np.indices((12, 12, 12))
+    grid = np.stack([((z * 3 + y * 5 + x * 7 + a * 11) % 13 - 6) / 10 for a in range(3)])
+    steps = [mapping.Affine(np.eye(3) * 0.9, np.array([1.0, 0, -1]), np.full(3, 16.0)), mapping.BSpline((12, 12, 12), np.full(3, 4.0), np.full(3, -6.0), grid)]
+    moved = mapping.transform_points(X.points(spark, sf_dir), steps)
+    return moved.select("key", *[F.floor(F.col(f"{c}_trfm") * 1e6 + 0.5).cast("long").alias(f"{c}_micro") for c in COORDS])
+
+
 @query(f"WITH {POINTS}, {ATLAS} SELECT key, CASE WHEN g.z BETWEEN 0 AND 31 AND g.y BETWEEN 0 AND 31 AND g.x BETWEEN 0 AND 31 THEN coalesce(a.id, 0) ELSE -1 END AS id FROM grid g LEFT JOIN atlas a ON a.z = g.z AND a.y = g.y AND a.x = g.x")
 def grid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.region_at(X.points(spark, sf_dir).drop("id"), X.atlas(spark), X.SHAPE, COORDS).select("key", "id")
