@@ -8,7 +8,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from stratavox.operators.mapping import natural_key, parse_parameters
+from stratavox.operators.mapping import parse_files
 from stratavox.plans.config import Config
 from stratavox.plans.engine import Engine, cells2csv, combine_projects
 from stratavox.runtime import read_text
@@ -24,9 +24,9 @@ def make_project(folder: str) -> str:
 
 
 def load_transforms(spark: SparkSession, folder: str) -> list:
-    """The transforms of TransformParameters.*.txt files of a folder, in natural order of their names."""
+    """The transforms of TransformParameters.*.txt files of a folder, as a chain or in natural order of their names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "TransformParameters.*.txt").load(folder).select("path").collect()
-    return [parse_parameters(read_text(spark, p)) for p in sorted((r["path"] for r in files), key=natural_key)]
+    return parse_files({r["path"]: read_text(spark, r["path"]) for r in files})
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,12 +63,57 @@ class BSpline:
         return out
 
 
+@dataclass(frozen=True)
+class Chain:
+    """A transform after another: second(first(x)), or with `add` the sum of both displacements."""
+
+    first: Affine | BSpline | Chain
+    second: Affine | BSpline | Chain
+    add: bool = False
+
+    def __call__(self, xyz: np.ndarray) -> np.ndarray:
+        moved = self.first(xyz)
+        return moved + self.second(xyz) - xyz if self.add else self.second(moved)
+
+
+def _fields(text: str) -> dict[str, list[str]]:
+    return {m[1]: re.findall(r'"[^"]*"|[^\s"]+', m[2]) for m in re.finditer(r"^\s*\((\w+)\s+(.*?)\)\s*(?://.*)?$", text, re.M)}
+
+
+def _turn(axis: int, angle: float) -> np.ndarray:
+    """Rotation about the x, y or z axis."""
+    c, s = np.cos(angle), np.sin(angle)
+    m, (i, j) = np.eye(3), ((1, 2), (2, 0), (0, 1))[axis]
+    m[i, i] = m[j, j] = c
+    m[i, j], m[j, i] = -s, s
+    return m
+
+
+def _versor(v: np.ndarray) -> np.ndarray:
+    """Rotation of a unit quaternion with the vector part v and a real part that is not negative."""
+    x, y, z = v
+    w = np.sqrt(max(0.0, 1 - v @ v))
+    cross = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + 2 * w * cross + 2 * cross @ cross
+
+
 def parse_parameters(text: str) -> Affine | BSpline:
-    """A transform parameter file of lines "(Name value ...)"; affine and cubic B-spline transforms in three dimensions."""
-    found = {m[1]: re.findall(r'"[^"]*"|[^\s"]+', m[2]) for m in re.finditer(r"^\s*\((\w+)\s+(.*?)\)\s*(?://.*)?$", text, re.M)}
+    """A transform parameter file of lines "(Name value ...)", without the one it may start from: translation, Euler, similarity,
+    affine and cubic B-spline transforms in three dimensions."""
+    found = _fields(text)
     number = lambda k: np.array([float(v) for v in found[k]])
     kind = found.get("Transform", [""])[0].strip('"')
     values = number("TransformParameters")
+    if len(values) != {"TranslationTransform": 3, "EulerTransform": 6, "SimilarityTransform": 7, "AffineTransform": 12}.get(kind, len(values)):
+        raise ValueError(f"{len(values)} parameters are no {kind}")
+    if kind == "TranslationTransform":
+        return Affine(np.eye(3), values[:3], np.zeros(3))
+    if kind == "EulerTransform":
+        x, y, z = (_turn(a, values[a]) for a in range(3))
+        late = found.get("ComputeZYX", ["false"])[0].strip('"') == "true"
+        return Affine(z @ y @ x if late else z @ x @ y, values[3:6], number("CenterOfRotationPoint"))
+    if kind == "SimilarityTransform":
+        return Affine(values[6] * _versor(values[:3]), values[3:6], number("CenterOfRotationPoint"))
     if kind == "AffineTransform":
         return Affine(values[:9].reshape(3, 3), values[9:12], number("CenterOfRotationPoint"))
     if kind == "BSplineTransform":
@@ -77,12 +122,47 @@ def parse_parameters(text: str) -> Affine | BSpline:
     raise ValueError(f"no support for transform {kind!r}")
 
 
+def parse_chain(read: Callable[[str], str], name: str) -> Affine | BSpline | Chain:
+    """The transform of a parameter file with those it starts from: each file names the one before it, or none, and says how
+    both combine. `read` gives the text of a file by the name that another file has for it; a circle is an error."""
+    steps: list[tuple[Affine | BSpline, bool]] = []
+    seen: set[str] = set()
+    at: str | None = name
+    while at is not None:
+        if at in seen:
+            raise ValueError(f"{at} starts from itself")
+        seen.add(at)
+        text = read(at)
+        found = _fields(text)
+        steps.append((parse_parameters(text), found.get("HowToCombineTransforms", ["Compose"])[0].strip('"') == "Add"))
+        before = [found[k][0].strip('"') for k in ("InitialTransformParameterFileName", "InitialTransformParametersFileName") if k in found]
+        at = before[0] if before and before[0] != "NoInitialTransform" else None
+    whole: Affine | BSpline | Chain = steps[-1][0]
+    for step, add in reversed(steps[:-1]):
+        whole = Chain(whole, step, add)
+    return whole
+
+
+def parse_files(texts: Mapping[str, str]) -> list[Affine | BSpline | Chain]:
+    """Transforms to be applied in order, from parameter files by name. Files that name the one they start from are one chain,
+    which ends in the file that no other names; files without such names are taken in natural order."""
+    by = {name.rsplit("/", 1)[-1]: text for name, text in texts.items()}
+    links = {n: [found[k][0].strip('"').rsplit("/", 1)[-1] for k in ("InitialTransformParameterFileName", "InitialTransformParametersFileName") if k in found] for n, found in ((n, _fields(t)) for n, t in by.items())}
+    named = {x for to in links.values() for x in to[:1] if x != "NoInitialTransform"}
+    if not named:
+        return [parse_parameters(by[n]) for n in sorted(by, key=natural_key)]
+    ends = sorted(set(by) - named, key=natural_key)
+    if len(ends) != 1 or named - set(by):
+        raise ValueError(f"the files {sorted(by)} are not one chain: ends {ends}, missing {sorted(named - set(by))}")
+    return [parse_chain(lambda n: by[n.rsplit("/", 1)[-1]], ends[0])]
+
+
 def natural_key(name: str) -> list:
     """Sort key with numbers as numbers: img2 before img10."""
     return [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", name)]
 
 
-def transform_points(points: DataFrame, transforms: Sequence[Affine | BSpline], out: Sequence[str] = ("z_trfm", "y_trfm", "x_trfm")) -> DataFrame:
+def transform_points(points: DataFrame, transforms: Sequence[Affine | BSpline | Chain], out: Sequence[str] = ("z_trfm", "y_trfm", "x_trfm")) -> DataFrame:
     """Points with transformed coordinates beside their own: the transforms in order, all on one Arrow batch at a time.
 
     A chain of affine transforms alone is plain column arithmetic. Rows with a null coordinate get nulls.
@@ -140,7 +220,7 @@ def region_at(points: DataFrame, atlas: DataFrame, shape: Sequence[int], coords:
     return found.withColumn("id", F.when(F.coalesce(inside, F.lit(False)), F.coalesce("_id", F.lit(0))).otherwise(INVALID[0]).cast("long")).drop("_z", "_y", "_x", "_id")
 
 
-def resample_voxels(fixed: DataFrame, moving: DataFrame, transforms: Sequence[Affine | BSpline], missing: int = 0) -> DataFrame:
+def resample_voxels(fixed: DataFrame, moving: DataFrame, transforms: Sequence[Affine | BSpline | Chain], missing: int = 0) -> DataFrame:
     """Image transform, nearest voxel: each fixed voxel takes the value of moving where the transform sends it."""
     sent = transform_points(fixed.select(*COORDS), transforms, ("tz", "ty", "tx"))
     keyed = sent.select(*COORDS, *[rounded(f"t{c}").alias(f"_{c}") for c in COORDS])

@@ -79,8 +79,8 @@ class Pipeline:
         raise NotImplementedError("image registration is outside this engine: give its parameter files with load_transforms()")
 
     def load_transforms(self, files: Sequence[str]) -> None:
-        """Transform parameter files, in natural order of their names, for transform_coords."""
-        self.transforms = [mapping.parse_parameters(read_text(self.spark, f)) for f in sorted(files, key=mapping.natural_key)]
+        """Transform parameter files for transform_coords, as a chain or in natural order of their names."""
+        self.transforms = mapping.parse_files({f: read_text(self.spark, f) for f in files})
 
     def make_tuning_arr(self, *, overwrite: bool = False) -> None:
         if overwrite or not Catalog(self.spark, self.proj_dir, True).exists("raw"):

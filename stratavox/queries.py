@@ -445,6 +445,23 @@ def zoom_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.blocks_to_voxels(V.map_blocks(slabs, lambda b: np.floor(b * 1e6 + 0.5).astype(np.int64))).select(*COORDS, F.col("v").alias("v_micro"))
 
 
+#: as `s`, but with the spline read at i * step + start
+_READ = lambda name, n, m, step, start: _SPLINE(name, n, m).replace(f"i * (({n} - 1) / ({m} - 1)::DOUBLE)", f"i * {step}::DOUBLE + {start}")
+
+
+@query(
+    f"WITH {VOX}, {_READ('a', 28, 16, 0.8, 1.5)}, {_READ('b', 32, 20, 1.25, 0.4)}, {_READ('c', 32, 24, 0.9, 3.3)}, "
+    "by_z AS (SELECT i AS z, y, x, sum(v * w) AS v FROM vox JOIN a ON j = z WHERE z < 28 GROUP BY ALL), by_y AS (SELECT z, i AS y, x, sum(v * w) AS v FROM by_z JOIN b ON j = y GROUP BY ALL), "
+    "by_x AS (SELECT z, y, i AS x, sum(v * w) AS v FROM by_y JOIN c ON j = x GROUP BY ALL) SELECT z, y, x, CAST(floor(v * 1000000 + 0.5) AS BIGINT) AS v_micro FROM by_x"
+)
+def image_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image transform by cubic splines: another grid laid over the first 28 layers."""
+    vox, shape = X.voxels(spark, sf_dir).where("z < 28"), (28, *X.SHAPE[1:])
+    move = mapping.Affine(np.diag([0.9, 1.25, 0.8]), np.array([3.3, 0.4, 1.5]), np.zeros(3))
+    made = resample.transform_volume(V.voxels_to_blocks(vox, (7, 8, 16), shape, "float64"), shape, (16, 20, 24), [move], (10, 12, 16))
+    return V.blocks_to_voxels(V.map_blocks(made, lambda b: np.floor(b * 1e6 + 0.5).astype(np.int64))).select(*COORDS, F.col("v").alias("v_micro"))
+
+
 # ---- labels -----------------------------------------------------------------------------------------------------------
 
 
