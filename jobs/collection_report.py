@@ -23,9 +23,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import command_line, counted, log, seen
+from jobs.common import command_line, log
 from stratavox.operators.ontology import group_cells
-from stratavox.runtime import restored
+from stratavox.runtime import counted, restored, seen
 
 #: Words of a text, as the text operators count them.
 WORDS = r"[^\x20\x09-\x0D]+"

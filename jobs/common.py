@@ -1,4 +1,4 @@
-"""What the jobs share: settings, the command line, counts of what was read and written."""
+"""What the jobs share: settings, the command line, tables that may not be there yet."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pathlib import Path
 from typing import Any
 
 import yaml
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from stratavox.runtime import path_exists, read_text
 
@@ -32,20 +30,6 @@ def settings(spark: SparkSession, job_file: str, path: str | None) -> dict[str,
     return own | (given or {})
 
 
-def counted(df: DataFrame, **more) -> tuple[DataFrame, Observation]:
-    """The same rows, with their number and other sums observed as they go by, without a pass of their own."""
-    by = Observation()
-    return df.observe(by, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in more.items()]), by
-
-
-def seen(by: Observation, name: str) -> int:
-    """An observed sum; 0 where Spark knew beforehand that there are no rows and left the counting out of the plan."""
-    try:
-        return by.get[name]
-    except Py4JJavaError:
-        return 0
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table that may not have been written yet."""
     return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)

@@ -22,9 +22,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import command_line, counted, log, read_or_empty, seen
+from jobs.common import command_line, log, read_or_empty
 from stratavox.operators.objects import threshold_objects
-from stratavox.runtime import restored
+from stratavox.runtime import counted, restored, seen
 from stratavox.sources.arrays import blocks_of_arrays
 from stratavox.streaming.live import stream_table
 

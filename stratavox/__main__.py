@@ -1,4 +1,4 @@
-"""python -m stratavox make-project DIR | run DIR [--raw PATH] [--tuning] [--steps A,B] [--overwrite] | combine ROOT OUT"""
+"""python -m stratavox make-project DIR | run DIR [--raw PATH] [--tuning] [--steps A,B] [--overwrite] | combine ROOT OUT | batch ROOT OUT"""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from stratavox.operators.mapping import parse_files
 from stratavox.plans.config import Config
-from stratavox.plans.engine import Engine, cells2csv, combine_projects
+from stratavox.plans.engine import Engine, cells2csv, combine_batch, combine_projects, run_projects
 from stratavox.runtime import read_text
 
 
@@ -42,6 +42,9 @@ def main(argv: list[str] | None = None) -> None:
     join = sub.add_parser("combine")
     join.add_argument("root")
     join.add_argument("out")
+    batch = sub.add_parser("batch", help="all steps of all projects, then one report; failures are set aside")
+    batch.add_argument("root")
+    batch.add_argument("out")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     if args.command == "make-project":
@@ -51,6 +54,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "combine":
         combine_projects(spark, args.root, args.out)
         return
+    if args.command == "batch":
+        run_projects(spark, args.root)
+        combine_batch(spark, args.root, args.out)
+        return
     config = Config.parse(read_text(spark, f"{args.folder}/config.yaml"))
     found = f"{args.folder.rstrip('/')}/registration/parameters"
     engine = Engine(spark, args.folder, config, args.tuning)

@@ -13,6 +13,7 @@ FOLDERS = {
     "maxima": "*cellcount", "maxima_labels": "*cellcount", "wshed_labels": "*cellcount", "wshed_volumes": "*cellcount", "wshed_filt": "*cellcount",
     "cells_raw": "*analysis", "cells_trfm": "*analysis", "cells": "*analysis", "cells_agg": "*analysis", "cells_agg_csv": "*analysis",
     "ref": "registration", "annot": "registration", "onto": "registration", "transforms": "registration", "downsmpl1": "registration", "downsmpl2": "registration", "trimmed": "registration", "bounded": "registration", "regresult": "registration",
+    "log": "*log",
     "points_raw": "*visual", "heatmap_raw": "*visual", "points_trfm": "*visual", "heatmap_trfm": "*visual", "comb_reg": "visual", "comb_cellc": "*visual", "comb_heatmap": "*visual",
 }
 
@@ -47,6 +48,9 @@ class Catalog:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.read(name)
 
+    def append(self, name: str, df: DataFrame) -> None:
+        df.coalesce(1).write.mode("append").parquet(self.path(name))
+
     def write_csv(self, name: str, df: DataFrame) -> None:
         """One file with a header; only for aggregates, whose rows are bounded by the ontology."""
         df.coalesce(1).write.mode("overwrite").csv(self.path(name), header=True)

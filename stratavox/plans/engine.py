@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import datetime
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,11 @@ from stratavox.operators import volumes as V
 from stratavox.plans.catalog import Catalog, discover_projects
 from stratavox.plans.config import Config
 from stratavox.plans.schema import CHUNK, COORDS, MEASURES
-from stratavox.runtime import read_text, settle
+from stratavox.runtime import counted, read_text, seen, settle
 from stratavox.sources.volumes import read_volume
 
 log = logging.getLogger("stratavox")
+LOG = "step string, table string, rows long, bytes long, seconds double, ended timestamp"
 
 
 @dataclass(frozen=True)
@@ -69,13 +72,24 @@ class Engine:
                 continue
             if gone := self.catalog.missing(s.reads):
                 raise FileNotFoundError(f"{name} needs {', '.join(gone)}")
-            began = time.monotonic()
             for out, df in s.run(self).items():
-                self.catalog.write(out, df)
-            log.info("step=%s tuning=%s seconds=%.2f", name, self.tuning, time.monotonic() - began)
+                began = time.monotonic()
+                rows, by = counted(df, bytes=F.length("data") if "data" in df.columns else F.lit(0))
+                self.catalog.write(out, rows)
+                self._note(name, out, seen(by), seen(by, "bytes"), time.monotonic() - began)
             ran.append(name)
         return ran
 
+    def _note(self, step: str, table: str, rows: int, size: int, seconds: float) -> None:
+        """A row of the log table, of what went by while the table was written."""
+        log.info("step=%s tuning=%s table=%s rows=%s bytes=%s seconds=%.2f", step, self.tuning, table, rows, size, seconds)
+        self.catalog.append("log", self.spark.createDataFrame([(step, table, rows, size, seconds, datetime.now())], LOG))
+
+    def log_table(self) -> DataFrame:
+        """(step, table, rows, bytes, seconds, ended) of the tables written so far: rows are blocks where a table has blocks, of so
+        many bytes."""
+        return self.read("log")
+
     # ---- volume facts -------------------------------------------------------------------------------------------
 
     def grid(self, name: str = "raw") -> tuple[int, int, int]:
@@ -343,6 +357,67 @@ def combine_projects(spark: SparkSession, root: str, out: str) -> DataFrame:
     return done
 
 
+QUARANTINE = "specimen string, stage string, reason string"
+
+
+def run_projects(spark: SparkSession, root: str, steps: Sequence[str] | None = None, overwrite: bool = False, transforms: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """The steps of every project under a folder; one that fails leaves the others alone. Returns (specimen, stage, reason) of the
+    failures, which also go to the table `quarantine` under the folder."""
+    failed = []
+    for name in discover_projects(spark, root):
+        stage = "configuration"
+        try:
+            e = Engine(spark, f"{root}/{name}", Config.parse(read_text(spark, f"{root}/{name}/config.yaml")), transforms=(transforms or {}).get(name, ()))
+            for stage in steps or [*STEPS]:  # noqa: B007
+                e.run([stage], overwrite)
+        except Exception as e:
+            log.exception("specimen=%s stage=%s failed", name, stage)
+            failed.append((name, stage, f"{type(e).__name__}: {e}"[:500]))
+    spark.createDataFrame(failed, QUARANTINE).coalesce(1).write.mode("overwrite").parquet(f"{root}/quarantine")
+    return spark.read.schema(QUARANTINE).parquet(f"{root}/quarantine")
+
+
+def _usable(spark: SparkSession, root: str, name: str) -> tuple[str, str, dict]:
+    """The path of a project's mapped cells, why they can't be used (or nothing), and the reference they were mapped to."""
+    table = Catalog(spark, f"{root}/{name}")
+    try:
+        reference = Config.parse(read_text(spark, f"{root}/{name}/config.yaml")).to_dict()["reference"]
+    except Exception as e:
+        return table.path("cells"), f"configuration: {e}"[:500], {}
+    if not table.exists("cells"):
+        return table.path("cells"), "its cells are not complete", reference
+    try:
+        lacking = {"id", *MEASURES[:3]} - set(table.read("cells").columns)
+    except Exception as e:
+        return table.path("cells"), f"its cells can't be read: {e}"[:500], reference
+    return table.path("cells"), f"columns lacking: {', '.join(sorted(lacking))}" if lacking else "", reference
+
+
+def combine_batch(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """The cells of all projects under a folder as one report, from one scan and one roll-up keyed by specimen.
+
+    Projects without a valid configuration, without complete and readable cells, or mapped to another atlas than most, are rows
+    of the table `quarantine`; the others are complete in `report`, partitioned by specimen. Returns the report.
+    """
+    names = discover_projects(spark, root)
+    found = {n: _usable(spark, root, n) for n in names}
+    key = lambda reference: tuple(sorted((k, str(v)) for k, v in reference.items()))
+    votes = Counter(key(ref) for _, why, ref in found.values() if not why)
+    common = votes.most_common(1)[0][0] if votes else None
+    reason = {n: why or ("" if key(ref) == common else "mapped to another atlas than most") for n, (_, why, ref) in found.items()}
+    spark.createDataFrame([(n, "combine", why) for n, why in reason.items() if why], QUARANTINE).coalesce(1).write.mode("overwrite").parquet(f"{out}/quarantine")
+    good = [n for n in names if not reason[n]]
+    if not good:
+        raise FileNotFoundError(f"no usable project under {root}")
+    place = F.url_decode(F.replace(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+/cells/[^/]+$", 1), F.lit("+"), F.lit("%2B")))
+    read = spark.read.parquet(*[found[n][0] for n in good]).select(place.alias("specimen"), "id", *MEASURES[:3])
+    cells, by = counted(read)
+    agg = ontology.group_cells(cells, Catalog(spark, f"{root}/{good[0]}").read("onto"), "specimen", good)
+    agg.write.mode("overwrite").partitionBy("specimen").parquet(f"{out}/report")
+    log.info("read %s cells of %s specimens, %s set aside", seen(by), len(good), len(names) - len(good))
+    return spark.read.parquet(f"{out}/report")
+
+
 def update_config(path: str, new: str) -> Config:
     """Validate a configuration file, then make it the project's."""
     config = Config.read(new)

@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, the same for all operators: the setting is read when a plan runs, so an
 #: operator must not change it for others. Operators that want fewer rows slice batches in the task.
@@ -113,6 +115,20 @@ def restored(spark: SparkSession, *keys: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def counted(df: DataFrame, **sums: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, with their number as `rows` and other sums observed as they go by, without a pass of their own."""
+    by = Observation()
+    return df.observe(by, F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]), by
+
+
+def seen(by: Observation, name: str = "rows") -> int:
+    """An observed sum; 0 where Spark knew beforehand that there are no rows and left the counting out of the plan."""
+    try:
+        return by.get[name]
+    except Py4JJavaError:
+        return 0
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in any store that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
