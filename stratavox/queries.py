@@ -17,6 +17,7 @@ from stratavox.plans.schema import COORDS
 from stratavox.runtime import settle, shared_dir
 from stratavox.sources import arrays
 from stratavox.sources import volumes as S
+from stratavox.streaming import components as merging
 from stratavox.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -870,5 +871,18 @@ def streaming_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("label", *COORDS, "volume", "sum_intensity")
 
 
+@query(f"WITH RECURSIVE {COMP} SELECT label, root, n, size FROM comp")
+def streaming_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components across the chunks of a stream, merged batch by batch."""
+    path = _scratch(spark, "components")
+
+    def label(batch: DataFrame) -> DataFrame:
+        blocks = arrays.blocks_of_arrays(batch, "vec_id", "embedding", X.CHUNK_SHAPE, (X.GRID, X.GRID), 1, 1000)
+        return labels.label_blocks(stencils.threshold(blocks, X.FOREGROUND), X.CHUNK_SHAPE, (1 << 20, X.GRID, X.GRID))
+
+    merging.merge_arrivals(live.stream_table(spark, f"{sf_dir}/embeddings.parquet"), label, f"{path}/state", f"{path}/checkpoint", X.CHUNK_SHAPE).awaitTermination()
+    return merging.component_table(spark, f"{path}/state")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return region_rollup(spark, "/root/testdata/sf0.001")

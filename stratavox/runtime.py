@@ -65,11 +65,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that settle() has written; results that still read them must have been written out. Runs by
-    itself when the driver ends."""
+@contextmanager
+def settled_within(spark: SparkSession) -> Iterator[None]:
+    """Tables that settle() writes inside go at the end, when all that reads them has been written out: for drivers that live
+    long, such as streams."""
+    before = len(_settled)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that settle() has written, but for the first `keep`; results that still read them must have been written
+    out. Runs by itself when the driver ends."""
     jvm = spark._jvm
-    while _settled:
+    while len(_settled) > keep:
         path = _settled.pop()
         try:
             p = jvm.org.apache.hadoop.fs.Path(path)
