@@ -109,6 +109,13 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def one_text(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, text): one row for each of so few ids (id, y) that they can be broadcast, combined before the shuffle, however often
+    an id is repeated."""
+    found = pick(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id")
+    return found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def crc_bucket(key: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary") if isinstance(key, str) else key) % F.lit(n)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.blocks import crc_bucket, map_batches, pick, raw_bytes
+from stratavox.llm.blocks import crc_bucket, map_batches, one_text, pick, raw_bytes
 
 #: Labelled rows that the model is fitted on, those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
@@ -183,10 +183,14 @@ def label_sample(labels: DataFrame, id_col: str, label_col: str, use: Column | N
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", use: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit on at most `sample_rows` labelled rows that `use` admits; only their features reach the driver."""
+    """Fit on at most `sample_rows` labelled documents that `use` admits; only their features reach the driver.
+
+    Of documents that share an id one text is learned from, that with the smallest hash; of several labels of an id the mean
+    decides, half counting as 1. Null texts count as empty, ids that are null or have no document add nothing, other columns
+    don't matter; without rows the model gives all texts one score.
+    """
     ids = label_sample(labels, id_col, label_col, use, sample_rows)
-    # sample_rows ids at most: a proven bound for the broadcast
-    chosen = pick(docs, id=id_col, text=text_col).join(F.broadcast(ids), "id").select("y", "text")
+    chosen = one_text(docs, ids, id_col, text_col).select("y", "text")
     got = extract(chosen, ("y",), "text").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(FEATURES)))
     return AdditiveModel.fit(x, got["y"].to_numpy(float))

@@ -15,10 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.blocks import WordMemo, crc_bucket, map_batches, pick, strings
+from stratavox.llm.blocks import WordMemo, crc_bucket, map_batches, one_text, pick, strings
 
 #: Labelled documents of each class that the model is fitted on, those with the smallest hash of the id.
 SAMPLE_ROWS = 1000
+#: Characters of the longest text that is learned from.
+MOST_CHARS = 200_000
 #: Hashed weights of the emission features.
 TABLE = 1 << 18
 #: Tokens of one segment of the parallel forward-backward pass.
@@ -272,8 +274,14 @@ def fit(texts: list[str], toxic: list[int], weight: list[float], steps: int = 80
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", use: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> TagModel:
-    """Fit on at most `sample_rows` labelled documents of each class that `use` admits (their whole texts)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", use: Column | None = None, sample_rows: int = SAMPLE_ROWS, most_chars: int = MOST_CHARS) -> TagModel:
+    """Fit on at most `sample_rows` labelled documents of each class that `use` admits, by their whole texts; those of more than
+    `most_chars` characters are not learned from, so what reaches the driver has a bound.
+
+    Of documents that share an id one text is learned from, that with the smallest hash; of several labels of an id the mean
+    decides, half counting as 1. Null texts and ids that are null or have no document add nothing, other columns don't matter;
+    without rows every text gets the same score.
+    """
     found = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull())
     if use is not None:
         found = found.where(use)
@@ -286,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if few is None:
         return fit([], [], [])
     # two times sample_rows ids at most: a proven bound for the broadcast
-    rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(few), "id").where("text is not null").select("y", "text").collect()
+    some = docs.where(docs[text_col].isNotNull() & (F.length(docs[text_col]) <= most_chars))
+    rows = one_text(some, few, id_col, text_col).select("y", "text").collect()
     n = Counter(int(r["y"]) for r in rows)
     return fit([r["text"] for r in rows], [int(r["y"]) for r in rows], [total[int(r["y"])] / n[int(r["y"])] / sum(total.values()) * len(rows) for r in rows])
 

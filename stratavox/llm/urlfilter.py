@@ -36,9 +36,10 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """One name for a url whatever its scheme, the case of its host and its fragment; null without ://."""
+    """One name for a url whatever its scheme, the case of its host and its fragment; null without :// or a host, as such urls name
+    no page that others could mean."""
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    return F.when((F.instr(url, "://") > 0) & (host_of(url) != ""), F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
 
 
 def resolved(base: Column, link: Column) -> Column:
@@ -86,7 +87,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
     The longest rule that fits a url decides it. Urls that redirects (src, dst), refresh tags or canonical
     links join are aliases of one another, by connected components; a url without a rule takes its
     component's decision, where an explicit allow comes before a block, and is allowed if there is none.
-    Null urls and urls without ://: empty host and path, no rule, no alias, allowed. Repeated rows are
+    Null urls and urls without ://: empty host and path, no rule, no alias, allowed; urls with an empty host have no rule and no
+    alias either. Repeated rows are
     judged each; a url given by a redirect but not by a page still passes its rule on.
     """
     base = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
@@ -111,7 +113,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
     ends = ends.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "node": node_of(F.col("url"))})
     decided = ruled(ends).join(roots, "node").groupBy("root").agg(F.max(F.col("best.action") == "allow").alias("allow"), F.max(F.col("best.action") == "block").alias("block"))
     alias = roots.join(decided, "root").select("node", F.when(F.col("allow"), "allow").when(F.col("block"), "block").alias("said")).where("said is not null")
-    all_rows = own.withColumn("node", node_of(F.col("url"))).join(alias, "node", "left")
+    # rows without a node get keys of their own, which no alias has, instead of meeting in one task
+    node = F.coalesce(node_of(F.col("url")), F.concat(F.lit("\0"), F.col("page_id").cast("string"), F.lit("/"), F.monotonically_increasing_id().cast("string")))
+    all_rows = own.withColumn("node", node).join(alias, "node", "left")
     verdict = F.coalesce(F.col("best.action"), "said", F.lit("allow"))
     by = F.when(F.col("best").isNotNull(), "rule").when(F.col("said").isNotNull(), "alias").otherwise("default")
     return all_rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), by.alias("decided_by"))
@@ -128,7 +132,7 @@ def oracle_sql(rules: Sequence[tuple[str, str]] = RULES, redirects: str = "") ->
     host = host_sql
     path = lambda u: f"coalesce(regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
     rest = lambda u: f"regexp_extract({u}, '^(?s:.*?)://[^/?#]*([^#]*)', 1)"
-    node = lambda u: f"CASE WHEN {u} LIKE '%://%' THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
+    node = lambda u: f"CASE WHEN {u} LIKE '%://%' AND {host(u)} <> '' THEN {host(u)} || CASE WHEN {rest(u)} = '' THEN '/' ELSE {rest(u)} END END"
     return f"""
 WITH RECURSIVE rules(host, path, rule, action) AS (VALUES {values}),
 tags AS (
@@ -136,7 +140,7 @@ tags AS (
 ), links AS (
   SELECT src, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1) AS dst FROM tags{" UNION ALL " + redirects if redirects else ""}
 ), edges AS (
-  SELECT {node('src')} AS a, {node('dst')} AS b FROM links WHERE dst LIKE '%://%'
+  SELECT {node('src')} AS a, {node('dst')} AS b FROM links WHERE {node('src')} IS NOT NULL AND {node('dst')} IS NOT NULL
 ), linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, b FROM linked UNION SELECT r.a, e.b FROM reach r JOIN linked e ON r.b = e.a),
 urls AS (
