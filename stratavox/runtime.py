@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, the same for all operators: the setting is read when a plan runs, so an
 #: operator must not change it for others. Operators that want fewer rows slice batches in the task.
-ARROW_BYTES = 32 << 20
+ARROW_BYTES = 4 << 20
 _settled: list[str] = []
 
 
