@@ -108,11 +108,10 @@ def roll_up(own: DataFrame, onto: DataFrame, sums: tuple[str, ...], by: str | No
     key = ["id"] if by is None else ["id", by]
     zero = {c: F.coalesce(c, F.lit(0)) for c in sums}
     lines = closure(onto)
-    known = lines.join(own, "id").groupBy(F.col("ancestor").alias("id"), *key[1:]).agg(*[F.sum(c).alias(c) for c in sums])
+    # an id without an ancestor, not even itself, is outside the ontology
+    total = own.join(lines, "id", "left").groupBy(F.coalesce("ancestor", "id").alias("id"), *key[1:]).agg(*[F.sum(c).alias(c) for c in sums])
     every = onto.select("id") if by is None else onto.select("id", F.explode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias(by))
-    inside = every.join(known, key, "left")
-    outside = own.join(onto.select("id"), "id", "left_anti").select(*key, *sums)
-    return inside.select(*key, *sums).unionByName(outside).withColumns(zero)
+    return every.join(total, key, "full").select(*key, *sums).withColumns(zero)
 
 
 def special_name(id_col: str = "id", name_col: str = "name") -> Column:

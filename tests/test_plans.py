@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
+
 from stratavox import queries as Q
-from stratavox.operators import labels
+from stratavox.operators import labels, objects, resample
 from stratavox.operators import volumes as V
 from stratavox.plans import fixtures as X
 
@@ -36,3 +38,39 @@ def test_no_query_multiplies_tables(spark, small):
     for name in ("region_rollup", "atlas_rollup", "specimen_pivot", "raster_spheres_closed", "grid_lookup", "cells_extract"):
         p = plan(Q.QUERIES[name](spark, small))
         assert "NestedLoop" not in p and "Cartesian" not in p, name
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as with tables that are too large for it
+    yield
+    spark.conf.set(key, before)
+
+
+def exchanged(p: str) -> list[str]:
+    """What rows are dealt by, for each shuffle of a plan."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", p)
+
+
+def test_objects_and_strides_stay_in_their_blocks(spark, small, no_broadcast):
+    raw = X.volume(spark, small)
+    lab = labels.label_blocks(raw, X.CHUNK_SHAPE, (1 << 20, X.GRID, X.GRID))
+    for df in (objects.threshold_objects(raw, X.FOREGROUND, X.CHUNK_SHAPE, (1, X.GRID, X.GRID)), labels.block_label_sizes(lab), labels.block_face_voxels(lab), V.stride_blocks(raw, (3, 6, 6))):
+        assert "Exchange" not in plan(df)
+    keys = exchanged(plan(objects.extract_from_blocks(raw, lab, lab, lab)))
+    assert keys and all(re.sub(r"#\d+", "", k) == "cz, cy, cx" for k in keys)  # blocks meet by chunk, no voxel is shuffled
+
+
+def test_all_specimens_come_from_one_scan(spark, small):
+    p = plan(Q.QUERIES["specimen_pivot"](spark, small))
+    assert len(re.findall(r"FileScan parquet [^\n]*l_returnflag", p)) == 1
+
+
+def test_image_transforms_meet_by_chunk(spark, small, no_broadcast):
+    moving = V.voxels_to_blocks(X.voxels(spark, small).where("z < 28"), (8, 8, 8), (28, 32, 32), "float64")
+    p = plan(resample.transform_volume(moving, (28, 32, 32), (10, 10, 10), [], (5, 5, 5)))
+    assert "NestedLoop" not in p and "Cartesian" not in p
+    keys = {re.sub(r"#\d+L?", "", k) for k in exchanged(p)}
+    assert {"cz, cy, cx", "tz, ty, tx"} <= keys and not keys & {"z, y, x", "_z, _y, _x"}
