@@ -311,9 +311,14 @@ def collect_volume(blocks: DataFrame, shape: Sequence[int], dtype: str, most: in
     return a
 
 
-def write_single(blocks: DataFrame, path: str, shape: Sequence[int], dtype: str) -> None:
-    """A small volume as one TIFF or NIfTI file, by the suffix."""
-    a = collect_volume(blocks, shape, dtype)
+def write_single(blocks: DataFrame, path: str, shape: Sequence[int], dtype: str, most: int = 1 << 28) -> None:
+    """A volume as one TIFF or NIfTI file, by the suffix. Up to `most` bytes are put together on the driver; a larger TIFF file is
+    written by the tasks, a larger NIfTI file is refused."""
+    nifti_file = bool(re.search(r"\.nii(\.gz)?$", path))
+    if not nifti_file and int(np.prod(shape)) * np.dtype(dtype).itemsize > most:
+        write_big_tiff(blocks, path, shape, dtype, overwrite=True)
+        return
+    a = collect_volume(blocks, shape, dtype, max(most, 1 << 30) if nifti_file else most)
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "wb") as f:
-        f.write(nifti.to_bytes(a, path.endswith(".gz")) if re.search(r"\.nii(\.gz)?$", path) else tiff.to_bytes(a))
+        f.write(nifti.to_bytes(a, path.endswith(".gz")) if nifti_file else tiff.to_bytes(a))

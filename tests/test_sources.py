@@ -162,3 +162,12 @@ def test_stack_of_files_with_several_pages(spark, tmp_path):
     assert (S.collect_volume(got, a.shape, "u2") == a).all() and got.count() == 3 * 2 * 2
     with pytest.raises(Exception, match="multipage=True"):
         S.read_tiff_stack(spark, str(tmp_path), (4, 4, 4)).count()
+
+
+def test_single_files_of_any_size(spark, tmp_path):
+    a = np.random.default_rng(9).integers(0, 5000, (5, 20, 30)).astype(np.uint16)
+    blocks = blocks_of(spark, a, (2, 20, 16))
+    for most, big in ((1 << 20, False), (100, True)):
+        S.write_single(blocks, str(tmp_path / "a.tif"), a.shape, "uint16", most)
+        data = (tmp_path / "a.tif").read_bytes()
+        assert np.array_equal(tiff.from_bytes(data), a) and (data[2] == 43) == big
