@@ -439,11 +439,16 @@ def zoom_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     "by_x AS (SELECT z, y, i AS x, sum(v * w) AS v FROM by_y JOIN across ON j = x GROUP BY ALL) SELECT z, y, x, CAST(floor(v * 1000000 + 0.5) AS BIGINT) AS v_micro FROM by_x"
 )
 def zoom_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cubic spline resampling of the whole volume in slabs; voxels of chunks that aren't there are 0."""
+    """Cubic spline resampling of the whole volume in slabs; voxels of chunks that aren't there are 0, and layers that read none
+    that is there have no row."""
     vox = X.voxels(spark, sf_dir)
     shape = (vox.agg(F.max("z")).first()[0] + 1, X.SHAPE[1], X.SHAPE[2])
-    slabs = resample.zoom(V.voxels_to_blocks(vox, (8, 8, 8), shape, "float64"), shape, (0.5, 0.75, 0.75), (8, 8, 8))
-    return V.blocks_to_voxels(V.map_blocks(slabs, lambda b: np.floor(b * 1e6 + 0.5).astype(np.int64))).select(*COORDS, F.col("v").alias("v_micro"))
+    blocks = V.fill_blocks(V.voxels_to_blocks(vox, (8, 8, 8), shape, "float64"), (8, 8, 8), shape, 2 * resample.REACH_SQL)
+    slabs = resample.zoom(blocks, shape, (0.5, 0.75, 0.75), (8, 8, 8), gaps=True)
+    out = V.blocks_to_voxels(V.map_blocks(slabs, lambda b: np.floor(b * 1e6 + 0.5).astype(np.int64)))
+    there = X.table(spark, sf_dir, "embeddings").selectExpr(f"vec_id div {X.GRID**2} * {X.SIDE} AS first").selectExpr("first", f"first + {X.SIDE - 1} AS last")
+    layers = resample.reached_layers(there, shape[0], resample.zoomed(shape[0], 0.5))
+    return out.join(layers, "z", "left_semi").select(*COORDS, F.col("v").alias("v_micro"))
 
 
 #: as `s`, but with the spline read at i * step + start
@@ -459,7 +464,8 @@ def image_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image transform by cubic splines: another grid laid over the first 28 layers."""
     vox, shape = X.voxels(spark, sf_dir).where("z < 28"), (28, *X.SHAPE[1:])
     move = mapping.Affine(np.diag([0.9, 1.25, 0.8]), np.array([3.3, 0.4, 1.5]), np.zeros(3))
-    made = resample.transform_volume(V.voxels_to_blocks(vox, (7, 8, 16), shape, "float64"), shape, (16, 20, 24), [move], (10, 12, 16))
+    blocks = V.fill_blocks(V.voxels_to_blocks(vox, (7, 8, 16), shape, "float64"), (7, 8, 16), shape, shape[0])
+    made = resample.transform_volume(blocks, shape, (16, 20, 24), [move], (10, 12, 16))
     return V.blocks_to_voxels(V.map_blocks(made, lambda b: np.floor(b * 1e6 + 0.5).astype(np.int64))).select(*COORDS, F.col("v").alias("v_micro"))
 
 

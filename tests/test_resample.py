@@ -1,6 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import oracle
+from stratavox import queries as Q
 from stratavox.functions import kernels as K
 from stratavox.operators import resample
 from stratavox.operators import volumes as V
@@ -38,3 +41,23 @@ def test_nothing_is_resampled_where_all_samples_stay(spark):
     blocks = blocks_of(spark, np.ones((4, 8, 8), np.uint16), (4, 4, 4))
     assert resample.zoom(blocks, (4, 8, 8), (1.0, 1.0, 1.0)) is blocks
     assert V.blocks_to_voxels(blocks).count() == 256
+
+
+def test_absent_chunks_are_zeros_as_in_sql(spark, small, tmp_path):
+    """Chunks missing inside a block row, at the end, and a gap wider than a spline reads."""
+    for t in oracle.TABLES:
+        if t != "embeddings":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    given = spark.read.parquet(f"{small}/embeddings.parquet").where("vec_id < 141 AND vec_id NOT BETWEEN 20 AND 60 OR vec_id >= 490")
+    given.withColumn("vec_id", F.expr("IF(vec_id < 490, vec_id, vec_id + 64 * 50)")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("zoom_volume", "image_affine"):
+        got, want = oracle.both(spark, str(tmp_path), Q.QUERIES[name], Q.ORACLE_SQL[name])
+        assert got == want
+
+
+def test_gaps_are_zeros(spark):
+    a = np.random.default_rng(3).integers(0, 5000, (12, 8, 8)).astype(np.uint16)
+    a[4:8, :4] = 0
+    blocks = blocks_of(spark, a, (4, 4, 4)).where("NOT (cz = 1 AND cy = 0)")
+    got = resample.zoom(V.fill_blocks(blocks, (4, 4, 4), a.shape, 12), a.shape, (0.5, 0.5, 1.0), (4, 4, 4), gaps=True)
+    assert np.abs(collect_volume(got, (6, 4, 8), "f8") - K.zoom(a, (0.5, 0.5, 1.0))).max() < 1e-9
