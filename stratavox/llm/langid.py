@@ -8,17 +8,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.llm.blocks import crc_bucket, filter_rows, map_batches, pick, strings
+from stratavox.runtime import settle
 
 #: Characters of an n-gram; each takes 16 bits, so a 4-gram is a 64-bit key.
 ORDER = 4
 #: Bits of a character inside a key.
 WIDTH = 16
-#: Training documents that the rejection threshold is calibrated on.
-CALIBRATION_ROWS = 4000
+#: Rows of a language beyond which its quantiles are looked for among the values above the approximate TAIL quantile only.
+FEW_ROWS, TAIL = 1000, 0.99
 #: n-grams of a language that a task gathers before it counts them.
 GATHER = 1_000_000
 #: Share of the texts of a language that may lie over the calibrated quantile; bits a symbol by which the limit stands above it,
@@ -212,11 +213,31 @@ class KneserNey:
         return [UNKNOWN if e else self.langs[i] for i, e in zip(best, blank, strict=True)], np.where(blank, 0.0, score), np.where(blank, np.nan, low), blank | over
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", use: Column | None = None, calibration_rows: int = CALIBRATION_ROWS) -> KneserNey:
-    """Fit on all rows with a language that `use` admits, then calibrate the rejection threshold.
+def upper_quantiles(values: DataFrame, q: float) -> dict[int, float]:
+    """The quantile q, at least 0.999, of the values (j, v) of each group, over all rows, as numpy gives it.
 
-    The threshold is calibrated on at most `calibration_rows` of them, those with the smallest hash of the id, and so that it
-    rejects at most REJECTED of the texts of a language: `limit` stands MARGIN above that quantile of the cross-entropy of long
+    An approximate quantile far below q bounds the values that are sorted to a hundredth; of them only the two around the place
+    of the quantile reach the driver.
+    """
+    if q < 0.999:
+        raise ValueError("only quantiles near the end")
+    group = values.groupBy("j").agg(F.count("*").alias("n"), F.percentile_approx("v", TAIL, F.lit(10_000)).alias("tail"))
+    bounds = settle(group.select("j", "n", F.when(F.col("n") > FEW_ROWS, F.col("tail")).alias("tail")), "bounds")
+    above = values.join(F.broadcast(bounds), "j").where("tail IS NULL OR v >= tail")  # a row a language
+    placed = above.select("j", "v", "n", F.row_number().over(Window.partitionBy("j").orderBy(F.desc("v"))).alias("from_top"))
+    place = (F.col("n") - 1) * F.lit(q)
+    found = placed.where((F.col("n") - F.col("from_top") == F.floor(place)) | (F.col("n") - F.col("from_top") == F.ceil(place)))
+    out: dict[int, float] = {}
+    for j, rows in found.toPandas().groupby("j"):
+        low, high, at = rows["v"].min(), rows["v"].max(), (rows["n"].iloc[0] - 1) * q
+        out[int(j)] = float(low + (high - low) * (at - np.floor(at)))
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", use: Column | None = None) -> KneserNey:
+    """Fit on all rows with a language that `use` admits, then calibrate the rejection threshold on all of them.
+
+    It rejects at most REJECTED of the texts of a language: `limit` stands MARGIN above that quantile of the cross-entropy of long
     texts in their own language, `slack` is that quantile of what texts are above it, times the root of their n-grams. Both
     are raised by what learning from the same texts has gained, which goes with more text.
 
@@ -231,28 +252,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not model.langs:
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    few = pick(rows, id=id_col).orderBy(F.xxhash64("id"), "id").limit(calibration_rows).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         own = {x: i for i, x in enumerate(m.langs)}
         for b in batches:
-            ce, size, letters = m.cross_entropy(strings(b.column(1)))
-            j = np.array([own[x] for x in b.column(0).to_pylist()], np.int64)
+            # a text without a letter is nothing to judge, and its language may have no other
+            j, texts = np.array([own.get(x, 0) for x in b.column(0).to_pylist()], np.int64), strings(b.column(1))
+            ce, size, letters = m.cross_entropy(texts)
             ok = letters > 0
             yield pa.RecordBatch.from_arrays([pa.array(j[ok]), pa.array(ce[np.arange(len(j)), j][ok] if len(j) else np.zeros(0)), pa.array(size[ok])], ["j", "ce", "size"])
 
-    # at most calibration_rows ids: a proven bound for the broadcast
-    sample = pick(rows, id=id_col, lang=lang_col, text=text_col).join(F.broadcast(few), "id", "left_semi").select("lang", "text")
-    seen = map_batches(sample, run, "j long, ce double, size long").toPandas()
+    seen = settle(map_batches(pick(rows, lang=lang_col, text=text_col), run, "j long, ce double, size long"), "cross-entropy")
     quantile = 1 - REJECTED
-    model.limit, model.slack = np.zeros(len(model.langs)), np.zeros(len(model.langs))
-    for j in range(len(model.langs)):
-        own = seen[seen["j"] == j]
-        long = own.loc[own["size"] >= 200, "ce"]
-        model.limit[j] = (np.quantile(long, quantile) if len(long) else -model.floor[j]) + model.optimism[j] + MARGIN
-        over = (own["ce"] + model.optimism[j] - model.limit[j]) * np.sqrt(own["size"])
-        model.slack[j] = max(LEAST_SLACK, np.quantile(over, quantile)) if len(over) else LEAST_SLACK
+    long = upper_quantiles(seen.where("size >= 200").select("j", F.col("ce").alias("v")), quantile)
+    names = range(len(model.langs))
+    model.limit = np.array([long.get(j, -model.floor[j]) + model.optimism[j] + MARGIN for j in names])
+    beyond = docs.sparkSession.createDataFrame([(j, float(model.limit[j] - model.optimism[j])) for j in names], "j long, least double")
+    over = upper_quantiles(seen.join(F.broadcast(beyond), "j").select("j", ((F.col("ce") - F.col("least")) * F.sqrt("size")).alias("v")), quantile)
+    model.slack = np.array([max(LEAST_SLACK, over.get(j, LEAST_SLACK)) for j in names])
     shared.unpersist()
     return model
 

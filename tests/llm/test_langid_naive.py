@@ -81,3 +81,36 @@ def test_other_languages_and_random_letters_are_rejected(spark, small):
     assert model.judge(letters + other)[3].all()
     texts = [r["text"] for r in docs.where("text is not null").collect()]
     assert model.judge(texts)[3].mean() <= 0.002
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1001, 5000])
+def test_upper_quantiles_are_those_of_all_rows(spark, n):
+    rng = np.random.default_rng(n)
+    values = {0: rng.normal(size=n), 3: np.round(rng.normal(size=n), 1), 5: np.zeros(n)}
+    rows = spark.createDataFrame([(j, float(v)) for j, a in values.items() for v in a], "j long, v double").repartition(5)
+    for q in (0.999, 0.9995, 1.0):
+        got = langid.upper_quantiles(rows, q)
+        assert got.keys() == values.keys() and all(got[j] == pytest.approx(np.quantile(a, q), rel=1e-12, abs=1e-12) for j, a in values.items())
+    assert langid.upper_quantiles(rows.where("false"), 0.999) == {}
+
+
+def check_thresholds(model, docs):
+    """limit and slack by numpy over every row."""
+    rows = docs.where("lang IS NOT NULL").select("lang", "text").collect()
+    ce, size, letters = model.cross_entropy([r["text"] or "" for r in rows])
+    for j, lang in enumerate(model.langs):
+        own = np.array([r["lang"] == lang for r in rows]) & (letters > 0)
+        base = np.quantile(ce[own & (size >= 200), j], 1 - langid.REJECTED)
+        assert model.limit[j] == pytest.approx(base + model.optimism[j] + langid.MARGIN, rel=1e-9)
+        over = (ce[own, j] + model.optimism[j] - model.limit[j]) * np.sqrt(size[own])
+        assert model.slack[j] == pytest.approx(max(langid.LEAST_SLACK, np.quantile(over, 1 - langid.REJECTED)), rel=1e-9)
+
+
+def many(spark):
+    """Some 9,000 rows, more than the 4,000 that the threshold was once calibrated on."""
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 9000")
+
+
+def test_thresholds_come_from_every_training_row(spark):
+    docs = many(spark).where(langid.learnable())
+    check_thresholds(langid.train(many(spark), use=langid.learnable()), docs)
