@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stratavox.llm import langid
 
 TEXTS = {"aa": ["the cat sat on the mat", "a dog and a cat", "the the the"], "bb": ["le chat est la", "un chien et le chat", "où est-il"]}
@@ -114,3 +115,10 @@ def many(spark):
 def test_thresholds_come_from_every_training_row(spark):
     docs = many(spark).where(langid.learnable())
     check_thresholds(langid.train(many(spark), use=langid.learnable()), docs)
+
+
+def test_the_pipeline_rejects_by_thresholds_of_all_its_documents(spark, monkeypatch):
+    models = []
+    monkeypatch.setattr(langid, "keep_known", lambda docs, model: models.append(model) or docs)
+    corpus_pipeline.language(spark, many(spark), "")
+    check_thresholds(models[0], many(spark))
