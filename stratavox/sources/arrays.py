@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratavox.operators.volumes import as_row, few_blocks, to_batches
+from stratavox.operators.volumes import as_row, few_blocks, slices, to_batches
 from stratavox.plans.schema import BLOCK, CHUNK
 
 
@@ -27,6 +27,6 @@ def blocks_of_arrays(table: DataFrame, id_col: str, values_col: str, chunk: Sequ
         return as_row(dict(zip((*CHUNK, "z0", "y0", "x0"), [*c, *(n * k for n, k in zip(chunk, c, strict=True))], strict=True)), v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from to_batches(block(i, e) for b in batches for i, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from to_batches(block(i, e) for b in slices(batches) for i, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
 
     return few_blocks(table.select(id_col, values_col)).mapInArrow(run, BLOCK)

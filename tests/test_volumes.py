@@ -142,3 +142,16 @@ def test_points_and_spheres_by_hand(spark):
     assert raster.count_spheres(one, (40, 40, 40), 3).count() == 123 and raster.mark_spheres(one, (40, 40, 40), 3).count() == 93
     assert raster.count_spheres(one, (60, 60, 60), 9).count() == len(K.ball(9))
     assert raster.mark_spheres(many, (1, 1, 4), 2).agg({"n": "max"}).first()[0] == 1
+
+
+def test_few_rows_of_a_large_batch_are_python_objects_at_once():
+    import tracemalloc
+
+    one = V.as_row(dict.fromkeys(("cz", "cy", "cx", "z0", "y0", "x0"), 1), np.ones((4, 4, 4), np.int32))
+    batch = V.to_batch([one] * 10_000)
+    tracemalloc.start()
+    n = sum(1 for r in V.block_rows(iter([batch])) if V.as_array(r).shape == (4, 4, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10_000 and peak < 2 << 20
+    assert list(V.block_rows(iter([batch.slice(0, 0), batch.slice(0, 300)]))) == [one] * 300
