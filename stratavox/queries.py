@@ -473,8 +473,7 @@ def image_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _label_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = stencils.threshold(X.volume(spark, sf_dir), X.FOREGROUND)
-    return labels.label_blocks(mask, X.CHUNK_SHAPE, (1 << 20, X.GRID, X.GRID))
+    return labels.label_blocks(X.volume(spark, sf_dir), X.CHUNK_SHAPE, (1 << 20, X.GRID, X.GRID), partial(K.threshold, value=X.FOREGROUND))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -633,16 +632,16 @@ def watershed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detect_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the raw volume to objects: filters, threshold, components, size filter, maxima, watershed, extraction."""
-    raw = X.volume(spark, sf_dir)
+    """From the raw volume to objects: filters, threshold, components, size filter, maxima, watershed, extraction. Each table that
+    is written takes one pass over its blocks, so a task holds one Python process."""
+    raw = settle(X.volume(spark, sf_dir), "raw")
     grid = (1 << 20, X.GRID, X.GRID)
-    mask = V.map_blocks(raw, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=60)))
-    lab = settle(labels.label_blocks(mask, X.CHUNK_SHAPE, grid), "labels")
+    lab = settle(labels.label_blocks(raw, X.CHUNK_SHAPE, grid, K.chain(partial(K.tophat, radius=2), partial(K.threshold, value=60))), "labels")
     table = labels.block_component_table(lab, X.CHUNK_SHAPE)
-    kept = settle(V.map_blocks(labels.scatter_volumes(lab, table), lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8)), "kept")
-    maxima = settle(labels.label_blocks(stencils.local_maxima(raw, 1, kept), X.CHUNK_SHAPE, grid), "maxima")
+    kept = settle(labels.scatter_volumes(lab, table, kernel=lambda b: ((b >= 1) & (b <= 1000)).astype(np.uint8)), "kept")
+    maxima = settle(labels.label_blocks(raw, X.CHUNK_SHAPE, grid, lambda b, m: K.local_maxima(b, 1, m), [kept]), "maxima")
     regions = settle(stencils.watershed(raw, maxima, kept), "regions")
-    sizes = labels.scatter_volumes(regions, labels.block_component_table(regions, X.CHUNK_SHAPE))
+    sizes = settle(labels.scatter_volumes(regions, labels.block_component_table(regions, X.CHUNK_SHAPE)), "sizes")
     return objects.extract_from_blocks(raw, maxima, regions, sizes)
 
 

@@ -74,3 +74,38 @@ def test_image_transforms_meet_by_chunk(spark, small, no_broadcast):
     assert "NestedLoop" not in p and "Cartesian" not in p
     keys = {re.sub(r"#\d+L?", "", k) for k in exchanged(p)}
     assert {"cz, cy, cx", "tz, ty, tx"} <= keys and not keys & {"z, y, x", "_z, _y, _x"}
+
+
+def python_steps(p: str) -> int:
+    """The most Python steps between two exchanges, scans or joins of a plan: processes that a task holds at once."""
+    most = run = 0
+    for line in p.split("\n"):
+        if re.search(r"MapInArrow|FlatMapGroupsInArrow", line):
+            run += 1
+            most = max(most, run)
+        elif re.search(r"Exchange|Scan|Join", line):
+            run = 0
+    return most
+
+
+def test_a_task_of_the_detection_holds_one_python_process(spark, small, monkeypatch):
+    written = []
+    settle = Q.settle
+    monkeypatch.setattr(Q, "settle", lambda df, name: written.append((name, python_steps(plan(df)))) or settle(df, name))
+    last = python_steps(plan(Q.QUERIES["detect_cells"](spark, small)))
+    assert dict(written) == dict.fromkeys(("raw", "labels", "kept", "maxima", "regions", "sizes"), 1) and last == 1
+    assert python_steps(plan(Q.QUERIES["label_in_chunk"](spark, small))) == 3
+
+
+def test_kernels_go_into_the_pass_that_labels_or_scatters(spark, small):
+    grid = (1 << 20, X.GRID, X.GRID)
+    raw = X.volume(spark, small).localCheckpoint()
+    mask = V.map_blocks(raw, lambda b: (b >= X.FOREGROUND).astype("u1")).localCheckpoint()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    lab = labels.label_blocks(mask, X.CHUNK_SHAPE, grid)
+    assert rows(labels.label_blocks(raw, X.CHUNK_SHAPE, grid, lambda b: b >= X.FOREGROUND)) == rows(lab)
+    both = V.map_aligned(lambda b, m: ((b % 2 == 0) & (m > 0)).astype("u1"), raw, mask)
+    assert rows(labels.label_blocks(raw, X.CHUNK_SHAPE, grid, lambda b, m: (b % 2 == 0) & (m > 0), [mask])) == rows(labels.label_blocks(both, X.CHUNK_SHAPE, grid))
+    table = labels.block_label_sizes(lab)
+    few = lambda b: (b > 2).astype("u1")
+    assert rows(labels.scatter_volumes(lab, table, value="n", kernel=few)) == rows(V.map_blocks(labels.scatter_volumes(lab, table, value="n"), few))
