@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratavox.llm import langid
@@ -122,3 +123,16 @@ def test_the_pipeline_rejects_by_thresholds_of_all_its_documents(spark, monkeypa
     monkeypatch.setattr(langid, "keep_known", lambda docs, model: models.append(model) or docs)
     corpus_pipeline.language(spark, many(spark), "")
     check_thresholds(models[0], many(spark))
+
+
+def test_the_pipeline_keeps_odd_texts_that_a_sample_would_not_show(spark):
+    """Twelve odd texts, more than one in a thousand, under ids that the 4,000 smallest hashes leave out: thresholds of all rows
+    leave them, those of such a sample reject them."""
+    docs = many(spark).where("lang = 'en'")
+    rng = random.Random(1)
+    last = docs.orderBy(F.xxhash64("doc_id").desc()).limit(12).select("doc_id").collect()
+    odd = {r["doc_id"]: " ".join("".join(rng.choice("etaoinshrd") for _ in range(rng.randint(2, 9))) for _ in range(60)) for r in last}
+    docs = docs.join(spark.createDataFrame(list(odd.items()), "doc_id long, odd string"), "doc_id", "left")
+    docs = docs.withColumn("text", F.coalesce("odd", "text")).select(*corpus_pipeline.COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").select("doc_id").collect()}
+    assert docs.count() > 5000 and kept.issuperset(odd)
